@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from vestigo.functions.numbers import clamp
+from vestigo.functions.numbers import clamp, rnd
 
 # Legal plate patterns and their base scores.
 OLD_4L3N = "^[A-Z]{4}[0-9]{3}$"
@@ -76,18 +76,26 @@ def spaceless(c: Column) -> Column:
     return F.regexp_replace(F.upper(F.trim(F.coalesce(c, F.lit("")))), " ", "")
 
 
+_LETTERS, _DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+
+
+def shape(c: Column) -> Column:
+    """Letters as L, digits as D, anything else as it is; no regular expression needed."""
+    return F.translate(c, _LETTERS + _DIGITS, "L" * 26 + "D" * 10)
+
+
 def validator_pattern(c: Column) -> Column:
-    bounded = F.length(c).between(7, 8)
+    s = shape(c)
     return (
-        F.when(bounded & c.rlike(OLD_4L3N), "old_4l3n")
-        .when(bounded & c.rlike(OLD_3L4N), "old_3l4n")
-        .when(bounded & c.rlike(MERCOSUL), "mercosul")
+        F.when(s == "LLLLDDD", "old_4l3n")
+        .when(s == "LLLDDDD", "old_3l4n")
+        .when(s == "LLLDLDD", "mercosul")
         .otherwise("invalid")
     )
 
 
 def confusable_count(c: Column) -> Column:
-    return F.length(F.regexp_replace(c, "[^" + "".join(CONFUSABLE) + "]", ""))
+    return F.length(c) - F.length(F.translate(c, "".join(CONFUSABLE), ""))
 
 
 def check_sum_ok(c: Column) -> Column:
@@ -100,46 +108,48 @@ def check_sum_ok(c: Column) -> Column:
     return (total % 9) == (F.substring(c, 6, 2).try_cast("int") % 9)
 
 
-def validation(c: Column, strict: bool = False) -> Column:
-    """Struct(pattern, valid, score, suspicious, issues) for a cleaned text."""
-    pattern = validator_pattern(c)
+def with_validation(df: DataFrame, text: str, out: str = "v", strict: bool = False) -> DataFrame:
+    """Add a struct (pattern, valid, score, suspicious, issues) for a cleaned text column.
+
+    Built in steps, so that each intermediate value is computed once per row; the closing generator
+    keeps later filters on the verdict from re-deriving it.
+    """
+    c = F.col(text)
     base = (
-        F.when(pattern == "old_4l3n", SCORE_4L3N)
-        .when(pattern == "old_3l4n", SCORE_3L4N)
-        .when(pattern == "mercosul", SCORE_MERCOSUL)
+        F.when(F.col("_pattern") == "old_4l3n", SCORE_4L3N)
+        .when(F.col("_pattern") == "old_3l4n", SCORE_3L4N)
+        .when(F.col("_pattern") == "mercosul", SCORE_MERCOSUL)
+    )
+    known, mercosul = F.col("_pattern") != "invalid", F.col("_pattern") == "mercosul"
+    suspicious, checked = F.col("_suspicious"), F.col("_checked")
+    steps = (
+        df.withColumn("_pattern", validator_pattern(c))
+        .withColumn("_base", base)
+        .withColumn("_suspicious", F.when(known, confusable_count(c)).otherwise(0))
+        .withColumn("_checked", F.when(mercosul, F.coalesce(check_sum_ok(c), F.lit(False))).otherwise(False))
+        .withColumn("_soft", F.col("_base") - 0.1 * suspicious + F.when(checked, 0.05).otherwise(0.0))
     )
-    known = pattern != "invalid"
-    suspicious = F.when(known, confusable_count(c)).otherwise(0)
-    mercosul = pattern == "mercosul"
-    checked = F.coalesce(check_sum_ok(c), F.lit(False))
+    hard = F.lit(strict) & (suspicious > 0)
+    raw = F.when(hard, F.col("_base") - 0.2).otherwise(F.col("_soft"))
     length_issue = (
-        F.when(F.length(c) < 7, ISSUE_SHORT)
-        .when(F.length(c) > 8, ISSUE_LONG)
-        .when(~known, ISSUE_PATTERN)
+        F.when(F.length(c) < 7, ISSUE_SHORT).when(F.length(c) > 8, ISSUE_LONG).when(~known, ISSUE_PATTERN)
     )
     word = "caracteres suspeitos detectados" if strict else "caracteres potencialmente OCR-confuso"
     issues = F.array_compact(
         F.array(
             length_issue,
             F.when(suspicious > 0, F.concat_ws(" ", suspicious.cast("string"), F.lit(word))),
-            F.when(mercosul & ~checked & (F.lit(not strict) | (suspicious == 0)), F.lit(ISSUE_CHECK)),
+            F.when(mercosul & ~checked & ~hard, F.lit(ISSUE_CHECK)),
         )
     )
-    soft = base - 0.1 * suspicious + F.when(mercosul & checked, 0.05).otherwise(0.0)
-    if strict:
-        hard = suspicious > 0
-        raw = F.when(hard, base - 0.2).otherwise(soft)
-        valid = known & ~hard & (soft >= 0.5)
-    else:
-        raw, valid = soft, known & (soft >= 0.5)
-    score = F.when(known, clamp(raw, 0.0, 1.0)).otherwise(0.0)
-    return F.struct(
-        pattern.alias("pattern"),
-        valid.alias("valid"),
-        score.alias("score"),
+    verdict = F.struct(
+        F.col("_pattern").alias("pattern"),
+        (known & ~hard & (F.col("_soft") >= 0.5)).alias("valid"),
+        F.when(known, clamp(raw, 0.0, 1.0)).otherwise(0.0).alias("score"),
         suspicious.alias("suspicious"),
         issues.alias("issues"),
     )
+    return steps.select(*df.columns, F.explode(F.array(verdict)).alias(out))
 
 
 def _alternatives(ch: Column) -> Column:
@@ -185,5 +195,61 @@ def neighbour_variants(c: Column) -> Column:
 
 
 def slot_hint(c: Column) -> Column:
-    """Shape of a text: letters as L, digits as D."""
-    return F.regexp_replace(F.regexp_replace(c, "[A-Z]", "L"), "[0-9]", "D")
+    """Shape of a fragment; whatever is neither letter nor digit shows as a question mark."""
+    marked = F.regexp_replace(F.regexp_replace(c, "[^\\p{L}\\p{N}]", "?"), "\\p{L}", "L")
+    return F.regexp_replace(marked, "\\p{N}", "D")
+
+
+def norm_fragment(c: Column) -> Column:
+    return F.regexp_replace(F.upper(F.coalesce(c, F.lit(""))), "[^\\p{L}\\p{N}]", "")
+
+
+def letters_of(c: Column) -> Column:
+    return F.length(F.regexp_replace(c, "[^\\p{L}]", ""))
+
+
+def digits_of(c: Column) -> Column:
+    return F.length(F.regexp_replace(c, "[^\\p{N}]", ""))
+
+
+def fragment_kind(c: Column) -> Column:
+    n = F.length(c)
+    return (
+        F.when(n <= 0, "indefinido")
+        .when(n == 1, "caractere_isolado")
+        .when(n == 2, "par_de_caracteres")
+        .when(n <= 4, "fragmento_curto")
+        .otherwise("fragmento_parcial")
+    )
+
+
+def keep_fragment(c: Column, confidence: Column, support: Column, sources: Column) -> Column:
+    """Short fragments need any backing; longer ones a mixed shape, confidence or a second engine."""
+    n = F.length(c)
+    mixed = (letters_of(c) > 0) & (digits_of(c) > 0)
+    backed = (support >= 1) | (sources >= 1)
+
+    def strong(floor: float) -> Column:
+        return mixed | (confidence >= floor) | (support >= 2)
+
+    return (
+        F.when((n < 1) | (n > 6), False)
+        .when(n == 1, (confidence >= 18.0) | backed)
+        .when(n == 2, (confidence >= 16.0) | backed)
+        .when(n == 3, strong(32.0))
+        .when(n == 4, strong(36.0))
+        .otherwise(strong(46.0))
+    )
+
+
+def fragment_priority(c: Column, confidence: Column, support: Column, sources: Column) -> Column:
+    n = F.length(c)
+    mixed = (letters_of(c) > 0) & (digits_of(c) > 0)
+    total = (
+        F.when(n <= 2, 3.2).when(n <= 4, 2.0).otherwise(1.1)
+        + F.least(F.lit(5.0), support * 1.6)
+        + F.least(F.lit(3.0), sources * 0.55)
+        + F.least(F.lit(9.0), confidence / 12.0)
+        + F.when(mixed, 1.3).when(n <= 2, 0.8).otherwise(0.2)
+    )
+    return F.when(n <= 0, 0.0).otherwise(rnd(total, 4))

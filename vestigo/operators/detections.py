@@ -195,14 +195,13 @@ def _merge_in_order(detections: DataFrame, threshold: float, cap: int) -> DataFr
         union = (ax2 - ax1) * (ay2 - ay1) + (bx2 - bx1) * (by2 - by1) - inter
         return inter / union if union > 0.0 else 0.0
 
-    def add(kept: list, box: tuple) -> list:
+    def add(kept: list, box: tuple) -> None:
         for slot, other in enumerate(kept):
             if overlap(box, other) >= threshold:
                 if box[at["confidence"]] > other[at["confidence"]]:
                     kept[slot] = box
-                return kept
+                return
         kept.append(box)
-        return kept
 
     def close(kept: list) -> list:
         ranked = sorted(kept, key=lambda b: -b[at["confidence"]])[:cap]

@@ -14,8 +14,8 @@ from vestigo.functions.plates import (
     norm_plate,
     pattern_quality,
     spaceless,
-    validation,
     validator_pattern,
+    with_validation,
 )
 from vestigo.operators.spread import falling_bucket, spread_rank
 
@@ -324,7 +324,7 @@ def engine_status(runs: DataFrame, reads: DataFrame, idle: dict[str, str], guard
 def validate_reads(texts: DataFrame, strict: bool = False) -> DataFrame:
     """Validation verdict once per distinct text, with the number of reads behind it."""
     counted = texts.groupBy(spaceless(F.col("text")).alias("text")).agg(F.count(F.lit(1)).alias("reads"))
-    v = counted.withColumn("v", validation(F.col("text"), strict))
+    v = with_validation(counted, "text", strict=strict)
     return v.select(
         "text",
         "reads",
@@ -351,15 +351,13 @@ def suggest_corrections(texts: DataFrame, top: int = 3, mode: str = "all_positio
     distinct = texts.select(spaceless(F.col("text")).alias("text")).distinct()
     # Only legal shapes have confusables to swap; test the shape before anything costly.
     shaped = distinct.where((validator_pattern(F.col("text")) != "invalid") & (confusable_count(F.col("text")) > 0))
-    open_cases = shaped.where(~validation(F.col("text"))["valid"])
-    tried = (
-        open_cases.select("text", F.posexplode(variants(F.col("text"))).alias("_pos", "suggestion"))
-        .where(validator_pattern(F.col("suggestion")) != "invalid")
-        .withColumn("v", validation(F.col("suggestion")))
+    open_cases = with_validation(shaped, "text").where(~F.col("v.valid"))
+    tried = open_cases.select("text", F.posexplode(variants(F.col("text"))).alias("_pos", "suggestion")).where(
+        validator_pattern(F.col("suggestion")) != "invalid"
     )
     best = Window.partitionBy("text").orderBy(F.col("score").desc(), "_pos")
     return (
-        tried.where("v.valid")
+        with_validation(tried, "suggestion").where("v.valid")
         .withColumn("score", rnd(F.col("v.score"), 6))
         .withColumn("rank", F.row_number().over(best).cast("bigint"))
         .where(F.col("rank") <= top)
@@ -441,11 +439,10 @@ def detection_ocr_join(
         .join(image_scores, "evidence_id", "left")
         .withColumn("det_conf", F.coalesce("_det", F.lit(0.3)))
         .withColumn("ocr_conf", F.col("best_avg_conf"))
-        .withColumn("validation", validation(F.col("best_text")))
         .withColumn("quality_issue", F.lit(""))
         .withColumn("blur", F.lit("unknown"))
     )
-    scored = confidence_level(joined)
+    scored = confidence_level(with_validation(joined, "best_text", out="validation"))
     blank = F.col("best_text") == ""
     lifted = (
         F.col("_det").isNull()
@@ -473,17 +470,21 @@ def light_frame_confidence(frames: DataFrame, detections: DataFrame, reads: Data
     first = detections.groupBy("evidence_id").agg(
         F.min_by(F.coalesce("confidence", F.lit(0.5)), "det_id").alias("_det")
     )
-    text = F.coalesce("r.text", F.lit(""))
-    conf = F.coalesce("r.confidence", F.lit(0.0))
-    valid = F.when(text == "", False).otherwise(validation(text)["valid"])
-    blend = conf * 0.6 + F.coalesce("_det", F.lit(0.2)) * 0.4
-    return (
+    joined = (
         frames.join(top, "evidence_id", "left")
         .join(first, "evidence_id", "left")
         .select(
             "evidence_id",
-            text.alias("best_text"),
-            valid.alias("valid"),
-            clamp(rnd(blend * F.when(valid, 1.1).otherwise(0.7), 4), 0.0, 1.0).alias("frame_confidence"),
+            F.coalesce("r.text", F.lit("")).alias("best_text"),
+            F.coalesce("r.confidence", F.lit(0.0)).alias("_conf"),
+            F.coalesce("_det", F.lit(0.2)).alias("_det"),
         )
     )
+    valid = F.col("v.valid")
+    blend = F.col("_conf") * 0.6 + F.col("_det") * 0.4
+    return with_validation(joined, "best_text").select(
+        "evidence_id",
+        "best_text",
+        valid.alias("valid"),
+        clamp(rnd(blend * F.when(valid, 1.1).otherwise(0.7), 4), 0.0, 1.0).alias("frame_confidence"),
+    )

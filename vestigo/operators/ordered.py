@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from typing import Any
 
 import pandas as pd
@@ -15,11 +15,12 @@ def ordered_fold(
     order: Sequence[str],
     columns: Sequence[str],
     start: Callable[[], Any],
-    add: Callable[[Any, tuple], Any],
+    add: Callable[[Any, tuple], Iterable[tuple] | None],
     close: Callable[[Any], list[tuple]],
     schema: T.StructType,
 ) -> DataFrame:
-    """Read each key's rows in order and emit `close(state)` rows, prefixed by the key.
+    """Read each key's rows in order; `add(state, row)` updates the state and may emit rows, and
+    `close(state)` emits the last ones. Emitted rows are prefixed by the key.
 
     Spark partitions by key and sorts (spilling as needed); a key's rows stream through as Arrow
     batches, so a long key costs time in its task but not memory.
@@ -37,7 +38,9 @@ def ordered_fold(
                     if opened:
                         done.extend((current, *out) for out in close(state))
                     current, state, opened = k, start(), True
-                state = add(state, row)
+                made = add(state, row)
+                if made:
+                    done.extend((current, *out) for out in made)
             if done:
                 yield pd.DataFrame(done, columns=names)
         if opened:

@@ -41,65 +41,63 @@ def falling_bucket(score: Column, low: float, high: float, buckets: int = 256) -
     return F.least(F.lit(buckets), F.greatest(F.lit(-1), F.floor(share * buckets))).cast("int")
 
 
+def value_bucket(v: Column, steps: int) -> Column:
+    """Bucket number that ascends with any double, narrow near zero and in proportion beyond it."""
+    return F.floor(F.asinh(v) * steps)
+
+
 def spread_quantiles(
     df: DataFrame,
     keys: Sequence[str],
     value: str,
     wanted: dict[str, float],
     nearest: bool = False,
-    buckets: int = 1024,
+    steps: int = 512,
 ) -> DataFrame:
     """Exact quantiles per key without bringing a key's values together.
 
-    The value range of a key is cut into equal buckets and counted; only the buckets that hold a
-    wanted rank are opened, as value counts. Linear interpolation, or the nearest rank.
+    Equal values are counted together, the counts are summed into ordered buckets, and only the
+    buckets that hold a wanted rank are opened. Linear interpolation, or the nearest rank.
     """
     keys = list(keys)
     rows = df.select(*keys, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
     if not keys:
         rows, keys = rows.withColumn("_all", F.lit(1)), ["_all"]
-    # Equal values are counted together before anything else is shuffled.
-    counts = rows.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
-    stats = counts.groupBy(*keys).agg(
-        F.min("_v").alias("_low"), F.max("_v").alias("_high"), F.sum("_c").alias("_n")
+    counts = (
+        rows.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c")).withColumn("_b", value_bucket(F.col("_v"), steps))
     )
-    span = F.col("_high") - F.col("_low")
-    bucket = F.when(span > 0, F.least(F.lit(buckets - 1), F.floor((F.col("_v") - F.col("_low")) / span * buckets)))
-    cut = counts.join(stats, keys).withColumn("_b", F.coalesce(bucket, F.lit(0)).cast("int"))
     upto = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
     sizes = (
-        cut.groupBy(*keys, "_b")
-        .agg(F.sum("_c").alias("_size"), F.first("_n").alias("_n"))
+        counts.groupBy(*keys, "_b")
+        .agg(F.sum("_c").alias("_size"))
+        .withColumn("_n", F.sum("_size").over(Window.partitionBy(*keys)))
         .withColumn("_end", F.sum("_size").over(upto))
         .withColumn("_start", F.col("_end") - F.col("_size"))
     )
     probs = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(float(p)).alias("p")) for n, p in wanted.items()])
     at = (F.col("_n") - 1) * F.col("_q.p")
-    if nearest:
-        places = F.array(F.bround(at, 0).cast("bigint"))
-    else:
-        places = F.array_distinct(F.array(F.floor(at), F.ceil(at)))
+    low = F.bround(at, 0).cast("bigint") if nearest else F.floor(at)
+    high = low if nearest else F.ceil(at)
     ranks = (
         sizes.withColumn("_q", F.explode(probs))
-        .withColumn("_rank", F.explode(places))
+        .withColumn("_rank", F.explode(F.array_distinct(F.array(low, high))))
         .where((F.col("_rank") >= F.col("_start")) & (F.col("_rank") < F.col("_end")))
         .select(*keys, "_b", "_start", F.col("_q.name").alias("_name"), at.alias("_at"), "_rank")
     )
-    opened = cut.join(ranks.select(*keys, "_b").distinct(), [*keys, "_b"], "left_semi")
-    inside = Window.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    values = opened.withColumn("_vend", F.sum("_c").over(inside)).withColumn(
-        "_vstart", F.col("_vend") - F.col("_c")
-    )
-    inner = F.col("_rank") - F.col("_start")
-    hits = values.select(*keys, "_b", "_v", "_vstart", "_vend").join(ranks, [*keys, "_b"]).where(
-        (inner >= F.col("_vstart")) & (inner < F.col("_vend"))
+    inside = Window.partitionBy(*keys, "_name", "_rank").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    last = F.col("_start") + F.col("_vend")
+    hits = (
+        counts.join(ranks, [*keys, "_b"])
+        .withColumn("_vend", F.sum("_c").over(inside))
+        .where((F.col("_rank") < last) & (F.col("_rank") >= last - F.col("_c")))
     )
+    part = F.col("_at") - F.floor("_at")
     picked = hits.groupBy(*keys, "_name").agg(
         F.min_by("_v", "_rank").alias("_lo"), F.max_by("_v", "_rank").alias("_hi"), F.first("_at").alias("_at")
     )
-    part = F.col("_at") - F.floor("_at")
-    found = picked.withColumn("_value", F.col("_lo") if nearest else F.col("_lo") + (F.col("_hi") - F.col("_lo")) * part)
-    wide = found.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("_name") == n, F.col("_value"))).alias(n) for n in wanted]
+    found = F.col("_lo") if nearest else F.col("_lo") + (F.col("_hi") - F.col("_lo")) * part
+    return (
+        picked.groupBy(*keys)
+        .agg(*[F.max(F.when(F.col("_name") == n, found)).alias(n) for n in wanted])
+        .drop("_all")
     )
-    return wide.drop("_all")

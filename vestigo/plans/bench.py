@@ -471,9 +471,11 @@ def config_summary(spark, sf):
 @query(
     "config_selection",
     _CONFIG_SQL
-    + """ SELECT segment, config AS best_config, avg_score AS best_score, configs FROM (SELECT *, count(*) OVER
-    (PARTITION BY segment) AS configs, row_number() OVER (PARTITION BY segment ORDER BY avg_score DESC, exact_rate DESC,
-    avg_similarity DESC, config) AS n FROM summary) WHERE n = 1""",
+    + """, placed AS (SELECT segment, config, avg_score, row_number() OVER (PARTITION BY segment ORDER BY avg_score DESC,
+      exact_rate DESC, avg_similarity DESC, config) AS place FROM summary),
+    counted AS (SELECT segment, count(*) AS configs FROM summary GROUP BY segment)
+    SELECT p.segment, p.config AS best_config, p.avg_score AS best_score, c.configs FROM placed p JOIN counted c
+    ON c.segment = p.segment WHERE p.place = 1""",
 )
 def config_selection(spark, sf):
     return B.config_selection(_scored(spark, sf))

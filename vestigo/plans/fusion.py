@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from vestigo.functions.plates import norm_plate, spaceless, validation
+from vestigo.functions.plates import norm_plate, spaceless, with_validation
 from vestigo.operators import fusion as U
 from vestigo.operators.detections import prioritize_detections
 from vestigo.plans.derived import load, read, with_tables
@@ -285,15 +285,15 @@ def _confidence_cases(spark, sf):
     reads = load(spark, sf, "reads")
     scores = load(spark, sf, "image_scores")
     det = load(spark, sf, "detections").select("evidence_id", F.col("det_id").alias("read_id"), F.col("confidence").alias("det_conf"))
-    return (
+    cases = (
         reads.withColumn("text", spaceless(F.col("text")))
         .withColumn("ocr_conf", U.norm_conf(F.col("confidence")))
         .join(det, ["evidence_id", "read_id"])
         .join(scores, "evidence_id", "left")
-        .withColumn("validation", validation(F.col("text")))
         .withColumn("quality_issue", F.lit(""))
         .withColumn("blur", F.lit("unknown"))
     )
+    return with_validation(cases, "text", out="validation")
 
 
 _LEVELS = """CASE WHEN overall_confidence >= 0.85 THEN 'high' WHEN overall_confidence >= 0.65 THEN 'medium'
