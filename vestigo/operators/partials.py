@@ -13,6 +13,7 @@ from vestigo.functions.plates import (
     slot_hint,
 )
 from vestigo.functions.times import minute_index, minute_range
+from vestigo.operators.spread import settle
 
 # Region words that mean the whole scene; caps.
 SCENE_WORDS = ("raw_input", "full_image", "scene", "ocr_result", "whole_image")
@@ -86,7 +87,7 @@ def partial_sources(results: DataFrame, candidates: DataFrame) -> DataFrame:
         F.lit("top_candidate").alias("source_type"),
         F.coalesce("support_count", one).alias("_support"),
     )
-    pooled = raw.unionByName(whole).unionByName(short)
+    pooled = settle(raw.unionByName(whole).unionByName(short), "text")
     t, support = F.col("text"), F.col("_support")
     named_region = F.when(F.col("source_type") == "top_candidate", F.col("_r")).otherwise(_text_or(F.col("_r"), F.lit("ocr_result")))
     kept = (

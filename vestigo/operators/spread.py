@@ -12,6 +12,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
+def settle(df: DataFrame, *names: str) -> DataFrame:
+    """Compute the named columns once. The optimizer copies a column's whole derivation into every
+    expression that reads it; passing it through a generator stops that where it is long."""
+    rest = [c for c in df.columns if c not in names]
+    return df.select(*rest, F.inline(F.array(F.struct(*names)))).select(*df.columns)
+
+
 def spread_rank(
     df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequence[Column], out: str, total: str | None = None
 ) -> DataFrame:

@@ -6,7 +6,9 @@ SQL twin start from the same rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
+
+from vestigo.operators.spread import settle
 
 # A line is identified by order, line number, part and supplier together.
 _LINE_ID = "(CAST(l_linenumber AS BIGINT)*10000000+l_partkey)*100000+l_suppkey"
@@ -171,8 +173,14 @@ TABLES["misreads"] = (
 )
 
 
-# Tables whose named column is a long derivation, settled once on loading.
-_BUILT = {"reads": "text", "misreads": "text", "config_rows": "observed"}
+# Columns that are a long derivation, settled once on loading.
+_BUILT = {
+    "reads": ["text"],
+    "misreads": ["text"],
+    "config_rows": ["expected", "observed"],
+    "engine_results": ["w1", "w2", "text", "c1", "c2"],
+    "short_candidates": ["text"],
+}
 
 
 def add(name: str, base: str, *stages: list[str]) -> None:
@@ -191,10 +199,7 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         df = df.selectExpr(*stage)
     built = _BUILT.get(name)
     if built:
-        # The text is put together from many parts here; a generator keeps the optimizer from
-        # repeating that in every expression that reads the column.
-        rest = [c for c in df.columns if c != built]
-        df = df.select(*rest, F.explode(F.array(built)).alias(built))
+        df = settle(df, *built)
     return df
 
 
