@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from vestigo.functions.numbers import clamp, exact_sum, rnd
 from vestigo.functions.text import norm_upper
+from vestigo.operators.spread import settle
 
 # Brand aliases.
 BRAND_ALIASES = {
@@ -212,15 +213,19 @@ def expand_similar(
     room = lambda n: F.greatest(F.lit(0), F.lit(MIN_CANDIDATES) - n)
     plain = F.transform("_own", lambda x: _fields(x["maker"], x["model"], x["base_conf"], False, x["seq"]).withField("synthetic", x["synthetic"]))
     near_conf = rnd(F.greatest(F.lit(8.0), lead["base_conf"] * 0.72), 2)
-    filled = (
-        joined.withColumn("_0", F.coalesce(plain, none))
-        .withColumn("_k0", names(F.col("_0")))
-        .withColumn("_1", F.slice(fresh(F.col("_kin"), F.col("_k0")), F.lit(1), F.greatest(F.lit(1), room(F.size("_0")))))
-        .withColumn("_1", F.transform("_1", lambda x: x.withField("base_conf", near_conf)))
-        .withColumn("_k1", F.concat("_k0", names(F.col("_1"))))
-        .withColumn("_2", F.slice(fresh(F.col("_local"), F.col("_k1")), F.lit(1), room(F.size("_k1"))))
-        .withColumn("_k2", F.concat("_k1", names(F.col("_2"))))
-        .withColumn("_3", F.slice(fresh(F.col("_seeds"), F.col("_k2")), F.lit(1), room(F.size("_k2"))))
+    first = joined.withColumn("_0", F.coalesce(plain, none)).withColumn("_near", near_conf)
+    first = settle(first.withColumn("_k0", names(F.col("_0"))), "_0", "_near", "_k0")
+    kin_left = F.slice(fresh(F.col("_kin"), F.col("_k0")), F.lit(1), F.greatest(F.lit(1), room(F.size("_0"))))
+    second = settle(
+        first.withColumn("_1", F.zip_with(kin_left, F.array_repeat("_near", F.size(kin_left)), lambda x, c: x.withField("base_conf", c))), "_1"
+    )
+    second = second.withColumn("_k1", F.concat("_k0", names(F.col("_1"))))
+    third = settle(
+        second.withColumn("_2", F.slice(fresh(F.col("_local"), F.col("_k1")), F.lit(1), room(F.size("_k1")))), "_2"
+    )
+    third = third.withColumn("_k2", F.concat("_k1", names(F.col("_2"))))
+    filled = settle(
+        third.withColumn("_3", F.slice(fresh(F.col("_seeds"), F.col("_k2")), F.lit(1), room(F.size("_k2")))), "_3"
     )
 
     def turned(name: str, turn: int) -> Column:

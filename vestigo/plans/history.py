@@ -231,7 +231,7 @@ def official_validation(spark, sf):
     return v.select("record_id", "status", "is_official", *[F.concat_ws(",", a).alias(a) for a in arrays])
 
 
-_NORM_UPPER = f"trim(regexp_replace(upper(translate({{0}}, '{ACCENTED}', '{PLAIN}')), '[^A-Z0-9]+', ' ', 'g'))"
+_NORM_UPPER = f"trim(regexp_replace(upper(replace(translate({{0}}, '{ACCENTED}', '{PLAIN}'), 'ß', 'ss')), '[^A-Z0-9]+', ' ', 'g'))"
 _OWN = "regexp_replace(upper(coalesce(placa, '')), '[^A-Z0-9]', '', 'g')"
 _SCORE_SQL = (
     _OFFICIAL_SQL
