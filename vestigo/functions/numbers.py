@@ -20,7 +20,8 @@ def exact_avg(c: Column) -> Column:
 
 
 def clamp(c: Column, low: float, high: float) -> Column:
-    return F.greatest(F.lit(low), F.least(F.lit(high), c))
+    """Value brought into a range; null stays null, which greatest and least alone would not keep."""
+    return F.when(c.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), c)))
 
 
 def safe_double(c: Column, default: float = 0.0) -> Column:

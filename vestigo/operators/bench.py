@@ -288,7 +288,7 @@ def detector_calibration(results: DataFrame, min_area: float = 4500.0) -> DataFr
     joined = counts.withColumn("_one", one)
     for part in (aspect, tolerance, area):
         joined = joined.join(part.withColumn("_one", one), "_one", "left")
-    floor = F.least(F.lit(min_area), F.col("a15") * 0.90)
+    floor = F.when(F.col("a15").isNotNull(), F.least(F.lit(min_area), F.col("a15") * 0.90))
     return joined.select(
         "usable",
         samples.alias("scene_samples"),

@@ -367,7 +367,7 @@ def suggest_corrections(texts: DataFrame, top: int = 3, mode: str = "all_positio
 
 def confidence_level(cases: DataFrame) -> DataFrame:
     """Integrated confidence. `cases`: det_conf, ocr_conf, validation struct, quality, quality_issue, blur."""
-    det, ocr = clamp(F.col("det_conf"), 0.0, 1.0), clamp(F.col("ocr_conf"), 0.0, 1.0)
+    det, ocr = [clamp(F.coalesce(c, F.lit(0.0)), 0.0, 1.0) for c in ("det_conf", "ocr_conf")]
     val, quality = F.col("validation.score"), F.coalesce("quality", F.lit(0.5))
     overall = (
         det * LEVEL_WEIGHTS["detection"]

@@ -445,7 +445,7 @@ def rank_vehicle_candidates(
     """
     kinds = F.when(F.col("match_type") == "exact", 0.12).when(F.col("match_type") == "partial", 0.07).otherwise(0.0)
     flag = lambda name, value: F.when(F.col(name), value).otherwise(0.0)
-    boost = F.coalesce(F.least(F.lit(0.15), F.col("best_score") * 0.1), F.lit(0.0))
+    boost = F.least(F.lit(0.15), F.coalesce("best_score", F.lit(0.0)) * 0.1)
     score = (
         F.col("clip_score") * 0.80
         + flag("has_class", 0.08)
