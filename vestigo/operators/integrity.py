@@ -99,17 +99,25 @@ def chain_build(entries: DataFrame, fields: list[str], secret: str = "", segment
 def chain_verify(chain: DataFrame, fields: list[str], secret: str = "", segment: int = SEGMENT) -> DataFrame:
     """Check every entry against its own contents and against the entry before it.
 
-    Entries meet their predecessor by (chain, seq), so a long chain spreads over all tasks; only the
-    first entry of a later segment is checked against the seal instead.
+    Entries meet their predecessor by (chain, seq), so a long chain spreads over all tasks; the first
+    entry of a later segment is checked against the seal of the segment before.
     """
+    seg = F.floor((F.col("seq") - 1) / segment)
+    opens = ((F.col("seq") - 1) % segment == 0) & (F.col("seq") > 1)
+    sealed = chain.where(opens).select("chain_id", (seg - 1).alias("_seg"))
+    seals = (
+        chain.withColumn("_seg", seg)
+        .join(sealed, ["chain_id", "_seg"], "left_semi")
+        .groupBy("chain_id", "_seg")
+        .agg(F.array_sort(F.collect_list(F.struct("seq", *fields))).alias("_e"))
+        .select("chain_id", ((F.col("_seg") + 1) * segment + 1).alias("seq"), sha256(F.to_json("_e")).alias("_seal"))
+    )
     before = chain.select("chain_id", (F.col("seq") + 1).alias("seq"), F.col("entry_hash").alias("_before"))
-    joined = chain.join(before, ["chain_id", "seq"], "left")
+    joined = chain.join(before, ["chain_id", "seq"], "left").join(seals, ["chain_id", "seq"], "left")
     material = canonical_json({**{f: F.col(f) for f in fields}, "prev_entry_hash": F.col("prev_entry_hash")})
     signature, digest = _entry_hash(F.col("_m"), F.col("prev_entry_hash"), secret)
-    opens = (F.col("seq") - 1) % segment == 0
-    linked = F.when(F.col("seq") == 1, F.col("prev_entry_hash") == "").when(opens, F.lit(True)).otherwise(
-        F.coalesce(F.col("_before") == F.col("prev_entry_hash"), F.lit(False))
-    )
+    expected = F.when(F.col("seq") == 1, "").when(opens, F.col("_seal")).otherwise(F.col("_before"))
+    linked = F.coalesce(expected == F.col("prev_entry_hash"), F.lit(False))
     return joined.withColumn("_m", material).select(
         "chain_id",
         "seq",

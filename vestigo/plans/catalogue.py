@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vestigo.plans import bench, detections, fusion, history, hypotheses, integrity, quality, vehicles, video  # noqa: F401  (imports register queries)
+from vestigo.plans import bench, detections, fusion, history, hypotheses, integrity, quality, sources, vehicles, video  # noqa: F401  (imports register queries)
 from vestigo.plans.registry import ORACLES, QUERIES, Query
 
 

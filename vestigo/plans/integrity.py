@@ -81,7 +81,7 @@ def chain_build(spark, sf):
     + """ SELECT chain_id, count(*) AS entries, coalesce(min(CASE WHEN seq >= 3 AND seq = 3 THEN seq END), -1) AS first_break FROM walk GROUP BY chain_id""",
 )
 def chain_verify(spark, sf):
-    """The built chains with the payload of every third entry changed: the break is found where it was made."""
+    """The built chains with the payload of each third entry changed: the break is found where it was made."""
     built = I.chain_build(entries(spark, sf), FIELDS)
     touched = built.withColumn("payload_hash", F.when(F.col("seq") == 3, F.sha2("payload_hash", 256)).otherwise(F.col("payload_hash")))
     return I.first_break(I.chain_verify(touched, FIELDS))
