@@ -94,8 +94,8 @@ def _tile(threshold: float) -> list[Column]:
     base = _class_ratio(threshold)
     width = F.greatest(F.lit(1e-9), F.col("x2") - F.col("x1"))
     height = F.greatest(F.lit(1e-9), F.col("y2") - F.col("y1"))
-    wide = F.floor(F.log(F.lit(base), width))
-    high = F.floor(F.log(F.lit(base), height))
+    wide = F.floor(F.log(base, width))
+    high = F.floor(F.log(base, height))
     return [wide.alias("_w"), high.alias("_h")]
 
 

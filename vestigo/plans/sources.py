@@ -181,7 +181,7 @@ add(
     [
         "'in/' || CAST(l_orderkey AS STRING) || '_' || CAST((CAST(l_linenumber AS BIGINT)*10000000+l_partkey)*100000+l_suppkey AS STRING) || "
         "CASE l_partkey%5 WHEN 0 THEN '.JPG' WHEN 1 THEN '.png' WHEN 2 THEN '.pdf' WHEN 3 THEN '.exe' ELSE '.tif' END AS path",
-        "CASE WHEN l_suppkey%13=0 THEN 0 ELSE CAST(l_extendedprice*1000 AS BIGINT) END AS size_bytes",
+        "CASE WHEN l_suppkey%13=0 THEN 0 ELSE CAST(floor(l_extendedprice*1000) AS BIGINT) END AS size_bytes",
         "CASE l_suppkey%6 WHEN 0 THEN 'FFD8FFE0' WHEN 1 THEN '89504E470D0A1A0A' WHEN 2 THEN '25504446' WHEN 3 THEN '52494646AAAAAAAA57454250' "
         "WHEN 4 THEN '49492A00' ELSE '0000' END AS header_hex",
         "CASE WHEN l_linenumber%3=0 THEN 'image/jpeg' WHEN l_linenumber%3=1 THEN '' ELSE 'application/octet-stream' END AS content_type",

@@ -18,13 +18,17 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_OWN: list[str] = []
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by the cluster; a scratch folder only where none is named."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = tempfile.mkdtemp(prefix="vestigo-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named
+    if named:
+        return named
+    if not _OWN:
+        _OWN.append(tempfile.mkdtemp(prefix="vestigo-ckpt-"))
+    return _OWN[0]
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
