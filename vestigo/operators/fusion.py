@@ -48,8 +48,8 @@ def normalize_reads(reads: DataFrame) -> DataFrame:
     )
 
 
-def fuse_reads(reads: DataFrame) -> DataFrame:
-    """Candidates per evidence from normalised reads: support, scores, agreement, chosen engine.
+def text_candidates(reads: DataFrame) -> DataFrame:
+    """Candidate texts of each evidence with support and score, before engines are compared.
 
     One row per (evidence, text, engine) first, so repeated readings shrink before the shuffle.
     """
@@ -61,34 +61,29 @@ def fuse_reads(reads: DataFrame) -> DataFrame:
         F.min("read_id").alias("first_read"),
         F.max("read_id").alias("last_read"),
     )
-    executed = votes.groupBy("evidence_id").agg(F.count_distinct("engine").alias("engines_executed"))
     fused = votes.groupBy("evidence_id", "text").agg(
         F.sum("votes").alias("support_count"),
         exact_sum(F.col("sum_conf")).alias("sum_conf"),
         F.max("bbox").alias("bbox_likelihood"),
-        F.count("engine").alias("engine_support_count"),
         F.min("first_read").alias("first_read"),
         # The engine that reached the highest vote last.
         F.max_by("engine", F.struct("votes", "last_read")).alias("engine"),
+        # Engines are a short, fixed list.
+        F.array_sort(F.collect_set(F.nullif(F.trim("engine"), F.lit("")))).alias("engines"),
     )
     avg = F.col("sum_conf") / F.col("support_count")
     quality = pattern_quality(F.col("text"))
     bonus = 1.0 + F.least(F.lit(REPEAT_CAP), REPEAT_BONUS * (F.col("support_count") - 1))
     blend = avg * CONF_WEIGHT + quality * PATTERN_WEIGHT + F.col("bbox_likelihood") * BOX_WEIGHT
-    agreement = F.when(
-        F.col("engines_executed") > 1,
-        rnd(F.col("engine_support_count") / F.col("engines_executed") * 100.0, 1),
-    ).otherwise(0.0)
-    return fused.join(executed, "evidence_id").select(
+    return fused.select(
         "evidence_id",
         "text",
         "engine",
+        "engines",
         rnd(avg, 4).alias("avg_conf"),
         rnd(blend * bonus, 4).alias("score"),
         "support_count",
-        "engine_support_count",
-        "engines_executed",
-        agreement.alias("agreement_ratio"),
+        F.size("engines").cast("bigint").alias("engine_support_count"),
         rnd(F.col("sum_conf"), 4).alias("weighted_support"),
         quality.alias("pattern_quality"),
         rnd(F.col("bbox_likelihood"), 4).alias("bbox_likelihood"),
@@ -96,6 +91,20 @@ def fuse_reads(reads: DataFrame) -> DataFrame:
     )
 
 
+def _all_engines() -> Column:
+    return F.array_sort(F.array_distinct(F.flatten(F.collect_set("engines"))))
+
+
+def fuse_reads(reads: DataFrame) -> DataFrame:
+    """Candidates per evidence from normalised reads: support, scores, agreement, chosen engine."""
+    candidates = text_candidates(reads)
+    executed = candidates.groupBy("evidence_id").agg(F.size(_all_engines()).cast("bigint").alias("engines_executed"))
+    share = rnd(F.col("engine_support_count") / F.col("engines_executed") * 100.0, 1)
+    return candidates.join(executed, "evidence_id").withColumn(
+        "agreement_ratio", F.when(F.col("engines_executed") > 1, share).otherwise(0.0)
+    )
+
+
 def candidate_engine(reads: DataFrame) -> DataFrame:
     """Representative engine of each candidate text."""
     votes = reads.groupBy("evidence_id", "text", "engine").agg(
@@ -106,12 +115,19 @@ def candidate_engine(reads: DataFrame) -> DataFrame:
     )
 
 
+def _weak() -> Column:
+    short = (F.length("text") < MIN_LENGTH) & (F.col("pattern_quality") < MIN_PATTERN)
+    return short | (F.col("score") < MIN_SCORE)
+
+
+def _plausible() -> Column:
+    quality = F.col("pattern_quality")
+    return (quality >= 0.60) | ((F.length("text") >= 6) & (quality >= 0.20))
+
+
 def rank_and_filter(candidates: DataFrame) -> DataFrame:
     """Drop weak candidates unless that would drop all of an evidence's; rank the rest by score."""
-    weak = ((F.length("text") < MIN_LENGTH) & (F.col("pattern_quality") < MIN_PATTERN)) | (
-        F.col("score") < MIN_SCORE
-    )
-    marked = candidates.withColumn("_keep", ~weak)
+    marked = candidates.withColumn("_keep", ~_weak())
     totals = marked.groupBy("evidence_id").agg(
         F.count(F.lit(1)).alias("_all"), F.count_if("_keep").alias("_kept")
     )
@@ -127,23 +143,35 @@ def rank_and_filter(candidates: DataFrame) -> DataFrame:
     )
 
 
-def _plausible() -> Column:
-    quality = F.col("pattern_quality")
-    return (quality >= 0.60) | ((F.length("text") >= 6) & (quality >= 0.20))
+def _verdicts(evidence: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Best candidate of every evidence and the engines behind it, in one aggregation.
 
-
-def best_candidate(evidence: DataFrame, ranked: DataFrame) -> DataFrame:
-    """First plausible candidate of every evidence, with a warning where there is none."""
-    picked = ranked.groupBy("evidence_id").agg(
-        F.count(F.lit(1)).alias("candidates"),
-        F.min_by(
-            F.struct("text", "engine", "avg_conf", "score", "engine_support_count", "engines_executed"),
-            F.when(_plausible(), F.col("rank")),
-        ).alias("b"),
-    )
-    n = F.coalesce("candidates", F.lit(0))
-    return evidence.join(picked, "evidence_id", "left").select(
-        *[evidence[c] for c in evidence.columns],
+    The leader is found as a minimum, both among all candidates and among those that are not weak;
+    which of the two counts is known once the evidence's totals are. No ranking is needed.
+    """
+    keep = ~_weak()
+    order = F.struct((-F.col("score")).alias("neg"), F.col("first_read"))
+    row = F.struct("text", "engine", "avg_conf", "score", "engines")
+    found = candidates.groupBy("evidence_id").agg(
+        F.count(F.lit(1)).alias("_all"),
+        F.count_if(keep).alias("_kept"),
+        F.min_by(row, F.when(_plausible(), order)).alias("_any"),
+        F.min_by(row, F.when(_plausible() & keep, order)).alias("_strong"),
+        _all_engines().alias("_engines"),
+    )
+    whole = (F.col("_all") == 1) | (F.col("_kept") == 0)
+    chosen = found.select(
+        "evidence_id",
+        F.when(whole, F.col("_all")).otherwise(F.col("_kept")).alias("_n"),
+        F.when(whole, F.col("_any")).otherwise(F.col("_strong")).alias("b"),
+        F.size("_engines").alias("_ran"),
+    )
+    n = F.coalesce("_n", F.lit(0))
+    ran = F.coalesce("_ran", F.lit(0))
+    backers = F.when(F.col("b").isNull(), 0).otherwise(F.size("b.engines"))
+    crossed = (ran > 1) & (backers > 0)
+    return evidence.join(chosen, "evidence_id", "left").select(
+        *evidence.columns,
         F.coalesce("b.text", F.lit("")).alias("best_text"),
         F.coalesce("b.engine", F.lit("none")).alias("best_engine"),
         F.coalesce("b.avg_conf", F.lit(0.0)).alias("best_avg_conf"),
@@ -153,44 +181,24 @@ def best_candidate(evidence: DataFrame, ranked: DataFrame) -> DataFrame:
         .when(F.col("b").isNull(), "best_candidate_low_plausibility")
         .otherwise("")
         .alias("warning"),
+        ran.cast("bigint").alias("engines_executed"),
+        backers.cast("bigint").alias("engines_supporting_best"),
+        F.concat_ws(",", "b.engines").alias("supporting_engines"),
+        F.when(crossed, rnd(backers / ran * 100.0, 1)).otherwise(0.0).alias("consensus_ratio"),
+        F.when(crossed, "cross_engine_consensus").otherwise("single_engine_or_no_consensus").alias("consensus_basis"),
     )
 
 
-def consensus(best: DataFrame, reads: DataFrame) -> DataFrame:
-    """Share of executed engines that support the best text; needs more than one engine."""
-    votes = reads.where(F.trim("engine") != "").groupBy("evidence_id", "text", "engine").agg(F.lit(1).alias("_one"))
-    executed = votes.groupBy("evidence_id").agg(F.count_distinct("engine").alias("engines_executed"))
-    backing = (
-        votes.withColumnRenamed("text", "best_text")
-        .join(best.where(F.col("best_text") != "").select("evidence_id", "best_text"), ["evidence_id", "best_text"], "left_semi")
-        .groupBy("evidence_id")
-        .agg(F.array_sort(F.collect_set("engine")).alias("engines"))
-    )
-    ran = F.coalesce("engines_executed", F.lit(0))
-    backers = F.coalesce(F.size("engines"), F.lit(0))
-    backers = F.greatest(backers, F.lit(0))
-    crossed = (ran > 1) & (backers > 0)
-    return (
-        best.join(executed, "evidence_id", "left")
-        .join(backing, "evidence_id", "left")
-        .select(
-            *[best[c] for c in best.columns],
-            ran.cast("bigint").alias("engines_executed"),
-            backers.cast("bigint").alias("engines_supporting_best"),
-            F.concat_ws(",", "engines").alias("supporting_engines"),
-            F.when(crossed, rnd(backers / ran * 100.0, 1)).otherwise(0.0).alias("consensus_ratio"),
-            F.when(crossed, "cross_engine_consensus")
-            .otherwise("single_engine_or_no_consensus")
-            .alias("consensus_basis"),
-        )
-    )
+def best_candidate(evidence: DataFrame, candidates: DataFrame) -> DataFrame:
+    """First plausible candidate of every evidence, with a warning where there is none."""
+    columns = ["best_text", "best_engine", "best_avg_conf", "best_score", "candidates", "warning"]
+    return _verdicts(evidence, candidates).select(*evidence.columns, *columns)
 
 
 def fused_verdict(evidence: DataFrame, reads: DataFrame) -> DataFrame:
-    """Flagship: raw reads to one best text per evidence with consensus."""
-    clean = normalize_reads(reads)
-    ranked = rank_and_filter(fuse_reads(clean))
-    return consensus(best_candidate(evidence, ranked), clean)
+    """Flagship: raw reads to one best text per evidence, with the share of executed engines that
+    support it; consensus needs more than one engine."""
+    return _verdicts(evidence, text_candidates(normalize_reads(reads)))
 
 
 def plate_analyses(detections: DataFrame, reads: DataFrame, cap: int = PLATE_CANDIDATE_CAP) -> DataFrame:

@@ -215,7 +215,7 @@ def manifest_summary(spark, sf):
     LEFT JOIN ranked k ON k.evidence_id = e.evidence_id AND k.text = e.expected_text GROUP BY ALL""",
 )
 def candidate_rank(spark, sf):
-    ranked = U.rank_and_filter(U.fuse_reads(clean(spark, sf)))
+    ranked = U.rank_and_filter(U.text_candidates(clean(spark, sf)))
     return B.candidate_rank(ranked, load(spark, sf, "expected_plates"))
 
 

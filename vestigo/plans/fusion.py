@@ -77,12 +77,12 @@ def evidence(spark, sf):
 
 
 def best(spark, sf):
-    return U.best_candidate(evidence(spark, sf), U.rank_and_filter(U.fuse_reads(clean(spark, sf))))
+    return U.best_candidate(evidence(spark, sf), U.text_candidates(clean(spark, sf)))
 
 
 @query("fuse_reads", FUSED_SQL + " SELECT * EXCLUDE (first_read) FROM fused")
 def fuse_reads(spark, sf):
-    return U.fuse_reads(clean(spark, sf)).drop("first_read")
+    return U.fuse_reads(clean(spark, sf)).drop("first_read", "engines")
 
 
 @query(
@@ -97,7 +97,7 @@ def candidate_engine(spark, sf):
 
 @query("rank_and_filter", FUSED_SQL + " SELECT evidence_id, text, score, rank FROM ranked")
 def rank_and_filter(spark, sf):
-    ranked = U.rank_and_filter(U.fuse_reads(clean(spark, sf)))
+    ranked = U.rank_and_filter(U.text_candidates(clean(spark, sf)))
     return ranked.select("evidence_id", "text", "score", "rank")
 
 

@@ -300,7 +300,7 @@ _AMB = "CASE substr(text, i, 1) " + " ".join(f"WHEN '{k}' THEN '{' ou '.join(v[:
     FROM protocol_cases c LEFT JOIN sg ON sg.case_id = c.case_id LEFT JOIN rv ON rv.case_id = c.case_id""",
 )
 def ocr_record(spark, sf):
-    ranked = U.rank_and_filter(U.fuse_reads(clean(spark, sf))).withColumnRenamed("evidence_id", "case_id")
+    ranked = U.rank_and_filter(U.text_candidates(clean(spark, sf))).withColumnRenamed("evidence_id", "case_id")
     return Q.ocr_record(cases(spark, sf), ranked)
 
 

@@ -12,6 +12,7 @@ from vestigo.plans.derived import add, load, read, with_tables
 from vestigo.plans.history import _EVENT_SQL, _UPSERT, webhook_events
 from vestigo.plans.integrity import FIELDS, _CHAIN_SQL, entries
 from vestigo.plans.registry import query, r, xsum
+from vestigo.plans.video import TRACK_SQL
 from vestigo.plans.vehicles import REFERENCE_SQL, NORM, reference
 from vestigo.session import checkpoint_dir
 from vestigo.sources import files as S, webhooks as W
@@ -332,7 +333,7 @@ def latency_windows_stream(spark, sf):
     return done.select("stage", F.col("window_start").cast("bigint").alias("window_start"), "n", "errors")
 
 
-@query("track_vehicles_stream")
+@query("track_vehicles_stream", TRACK_SQL + " SELECT video_id, det_id, track AS track_id FROM t")
 def track_vehicles_stream(spark, sf):
     base = scratch(spark, "tracks")
     boxes = load(spark, sf, "track_detections").select("video_id", "det_id", "timestamp_seconds", "x1", "y1", "x2", "y2")

@@ -242,8 +242,7 @@ def elect_frame(spark, sf):
     return T.elect_frame(frames(spark, sf))
 
 
-@query(
-    "track_vehicles",
+TRACK_SQL = (
     with_tables("track_detections", recursive=True)
     + f""", o AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY timestamp_seconds, det_id) AS rn FROM track_detections),
     b AS (SELECT video_id, rn, {{'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}} AS b FROM o),
@@ -253,7 +252,14 @@ def elect_frame(spark, sf):
         CASE WHEN slot > 0 THEN slot ELSE len(last)+1 END
       FROM (SELECT n.video_id, n.rn, n.b, w.last, coalesce(list_position([{iou_sql('n.b.', 'k.')} >= 0.4 for k in w.last], true), 0) AS slot
         FROM walk w JOIN b n ON n.video_id = w.video_id AND n.rn = w.rn+1)),
-    t AS (SELECT o.*, w.track FROM o JOIN walk w ON w.video_id = o.video_id AND w.rn = o.rn),
+    t AS (SELECT o.*, w.track FROM o JOIN walk w ON w.video_id = o.video_id AND w.rn = o.rn)"""
+)
+
+
+@query(
+    "track_vehicles",
+    TRACK_SQL
+    + f""",
     v AS (SELECT video_id, track, text, row_number() OVER (PARTITION BY video_id, track ORDER BY count(*) DESC, min(rn)) AS place
       FROM t WHERE text <> '' GROUP BY video_id, track, text)
     SELECT t.video_id, t.track AS track_id, coalesce(max(CASE WHEN v.place = 1 THEN v.text END), '') AS consolidated_plate,
