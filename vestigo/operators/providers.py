@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from vestigo.functions.numbers import clamp, exact_sum, rnd
 from vestigo.functions.plates import norm_plate
 from vestigo.functions.text import mask_tail, norm_upper
+from vestigo.operators.spread import settle
 
 # Field aliases, first one present wins.
 ALIASES = {
@@ -111,17 +112,17 @@ def trust_weight(kind: Column) -> Column:
 def unify_provider_records(raw: DataFrame, masked: bool = True) -> DataFrame:
     """Raw answers (`payload` JSON, `host`) to one wide record each; blanks are null.
 
-    Each level of nesting is parsed once into a map, and the aliases are looked up in the maps.
+    Each level of nesting is parsed once, into the fields that any alias names.
     """
-    as_map = "map<string,string>"
-    parsed = raw.withColumn("_m", F.from_json("payload", as_map))
+    names = list(dict.fromkeys([*(a for aliases in ALIASES.values() for a in aliases), *NESTED]))
+    schema = ", ".join(f"`{n}` string" for n in names)
+    parsed = raw.withColumn("_root", F.from_json("payload", schema))
     for name in NESTED:
-        parsed = parsed.withColumn(f"_m_{name}", F.from_json(F.try_element_at("_m", F.lit(name)), as_map))
-    levels = [f"_m_{name}" for name in reversed(NESTED)] + ["_m"]
+        parsed = parsed.withColumn(f"_in_{name}", F.from_json(F.col("_root")[name], schema))
+    levels = [f"_in_{name}" for name in reversed(NESTED)] + ["_root"]
 
     def field(aliases: list[str]) -> Column:
-        options = [F.try_element_at(F.col(level), F.lit(a)) for a in aliases for level in levels]
-        return F.nullif(F.coalesce(*options), F.lit(""))
+        return F.nullif(F.coalesce(*[F.col(level)[a] for a in aliases for level in levels]), F.lit(""))
 
     columns = []
     for name, aliases in ALIASES.items():
@@ -132,6 +133,8 @@ def unify_provider_records(raw: DataFrame, masked: bool = True) -> DataFrame:
     kind = source_kind(F.lower("host"))
     keep = [c for c in raw.columns if c != "payload"]
     wide = parsed.select(*keep, kind.alias("source_kind"), trust_weight(kind).alias("trust_weight"), *columns)
+    # Later steps read every field many times over; the lookups are done once.
+    wide = settle(wide, "source_kind", *ALIASES)
     return mask_sensitive(wide) if masked else wide
 
 

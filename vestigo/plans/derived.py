@@ -192,9 +192,22 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# Tables whose derivation costs far more than moving the raw rows.
+_COSTLY = {*_BUILT, "provider_answers"}
+
+
+def _over_all_cores(df: DataFrame) -> DataFrame:
+    """Spread a table that comes as fewer splits than there are cores (one small file, in tests); a
+    large table already has more splits than that and is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     base, stages = TABLES[name]
     df = read(spark, sf_dir, base)
+    if name in _COSTLY:
+        df = _over_all_cores(df)
     for stage in stages:
         df = df.selectExpr(*stage)
     built = _BUILT.get(name)
