@@ -1,8 +1,8 @@
-"""Session settings the jobs rely on, and durable lineage cuts."""
+"""Session settings the jobs rely on, the shared scratch folder, and durable lineage cuts."""
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,17 +18,22 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
-_OWN: list[str] = []
-
-
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by the cluster; a scratch folder only where none is named."""
+    """The shared folder `spark.checkpoint.dir` names.
+
+    Where it is unset, a folder of this application on the default file system, which executors
+    share too. A cluster whose default file system is local has no shared folder to offer, so
+    there the setting is required.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
-        return named
-    if not _OWN:
-        _OWN.append(tempfile.mkdtemp(prefix="vestigo-ckpt-"))
-    return _OWN[0]
+        return named.rstrip("/")
+    context = spark.sparkContext
+    file_system = context._jvm.org.apache.hadoop.fs.FileSystem.get(context._jsc.hadoopConfiguration())
+    if file_system.getUri().getScheme() == "file" and not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    root = context._jvm.org.apache.hadoop.fs.Path(f"/tmp/vestigo-{context.applicationId}")
+    return file_system.makeQualified(root).toString()
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -37,3 +42,24 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(checkpoint_dir(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+_KEPT: dict[str, list[str]] = {}
+
+
+def stash(df: DataFrame, name: str) -> DataFrame:
+    """Write an intermediate table to the shared folder and read it back: computed once, column-pruned
+    by each reader, and still there when an executor is lost. `release` deletes it."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _KEPT.setdefault(spark.sparkContext.applicationId, []).append(path)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the tables stashed so far by this application; call it once results that read them are written."""
+    context = spark.sparkContext
+    for path in _KEPT.pop(context.applicationId, []):
+        target = context._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
