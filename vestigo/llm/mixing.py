@@ -107,7 +107,7 @@ def mixing_plan(sizes: DataFrame, max_repeats: int = MAX_REPEATS) -> DataFrame:
         "mix-targets",
     )
     open_ = goals.where((F.col("_passes") < max_repeats) & (F.col("source_size") > 0))
-    return goals.join(thresholds(sizes, open_), ["_known", "_source"], "left")
+    return stash(goals.join(thresholds(sizes, open_), ["_known", "_source"], "left"), "mix-plan")
 
 
 def with_repeats(rows: DataFrame, plan: DataFrame) -> DataFrame:
