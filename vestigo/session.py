@@ -57,9 +57,17 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete the tables stashed so far by this application; call it once results that read them are written."""
+def stashed(spark: SparkSession) -> list[str]:
+    """Paths of the tables stashed so far and not released."""
+    return list(_KEPT.get(spark.sparkContext.applicationId, []))
+
+
+def release(spark: SparkSession, paths: list[str] | None = None) -> None:
+    """Delete stashed tables (all by default); call it once results that read them are written."""
     context = spark.sparkContext
-    for path in _KEPT.pop(context.applicationId, []):
+    kept = _KEPT.setdefault(context.applicationId, [])
+    for path in list(kept) if paths is None else paths:
         target = context._jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
+        if path in kept:
+            kept.remove(path)
