@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import functools
 import os
+import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from vestigo.llm import jaccard, language, linededup, mixing, pieces
-from vestigo.session import release, stash, tune
+from vestigo.session import checkpoint_dir, release, stashed, tune
 
 #: A document is rejected when it has no letter or no language has this share of the odds.
 MIN_LANGUAGE_SCORE = 0.5
@@ -19,6 +22,26 @@ def vocabulary() -> str:
     return os.environ.get("PIECE_VOCABULARY", f"{folder}/piece_bpe_32k.model")
 
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+_SCRATCH: dict[str, list[str]] = {}
+
+
+def _stage(fn: Stage) -> Stage:
+    """A stage's own scratch tables go when the next stage begins: by then its result is written."""
+
+    @functools.wraps(fn)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        application = spark.sparkContext.applicationId
+        release(spark, _SCRATCH.pop(application, []))
+        before = set(stashed(spark))
+        out = fn(spark, docs, sf_dir)
+        _SCRATCH[application] = [p for p in stashed(spark) if p not in before]
+        return out
+
+    return run_stage
+
+
+@_stage
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents with a recognised language."""
     model = language.fit(docs)
@@ -26,6 +49,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return guessed.where((F.col("_p.lang_pred") != language.UNDETERMINED) & (F.col("_p.score") >= MIN_LANGUAGE_SCORE)).drop("_p")
 
 
+@_stage
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut later occurrences of passages of 50 words or more; documents with nothing left go."""
     cut = linededup.without_repeats(docs)
@@ -34,18 +58,21 @@ def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     return kept.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars"))).select(*docs.columns)
 
 
+@_stage
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group linked by word 5-grams at a Jaccard similarity of 0.8, the smallest doc_id stays."""
     groups = jaccard.jaccard_components(docs, words=5, similarity=(80, 100))
     kept = groups.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    return docs.join(kept.hint("merge"), "doc_id", "left_semi")  # one plan at every size
 
 
+@_stage
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Take documents by source up to its target, repeated where the target is larger than the source."""
     return mixing.mixed_documents(docs)
 
 
+@_stage
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of every remaining document."""
     return pieces.round_trip(docs, vocabulary())
@@ -66,6 +93,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over `documents`, each written to the shared folder and read by the next."""
     tune(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = stash(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
+    folder = f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    for number, (_, stage) in enumerate(STAGES):
+        path = f"{folder}/{number}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
     return docs
