@@ -137,7 +137,7 @@ def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "
     spans = repeated_spans(docs, min_words, doc_id, text)
     cuts = spans.groupBy("id", "th").agg(F.collect_set(F.struct("start", "stop")).alias("_spans"))
     cuts = cuts.select(F.col("id").alias("_id"), F.col("th").alias("_th"), "_spans")
-    joined = packed.join(stash(cuts, "line-cuts"), ["_id", "_th"], "left")
+    joined = packed.join(stash(cuts, "line-cuts").hint("merge"), ["_id", "_th"], "left")  # one plan at every size
     columns = [
         _without()(F.col(f"_row.{text}"), F.col("_spans")).alias(text) if c == text else F.col(f"_row.`{c}`").alias(c) for c in docs.columns
     ]
