@@ -16,8 +16,8 @@ def tune(spark: SparkSession) -> SparkSession:
     conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
     conf.set("spark.sql.execution.arrow.pyspark.enabled", "true")
     # batches to Python are bounded in rows and bytes, so long texts do not fill a worker
-    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
     return spark
 
 
