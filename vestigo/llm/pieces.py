@@ -19,7 +19,7 @@ from pyspark.sql.functions import arrow_udf
 SPACE = "▁"
 #: Chunks up to this length are remembered, and so many of them per Python worker.
 REMEMBERED_CHARS = 48
-REMEMBERED_CHUNKS = 300_000
+REMEMBERED_CHUNKS = 100_000
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 
 
@@ -67,7 +67,28 @@ class PieceCodec:
         return re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
 
     def merge(self, chunk: str) -> list[int]:
-        """Ids of a chunk by the agenda."""
+        """Ids of a chunk by the agenda: a plain list of scores for a word, a heap for a longer run."""
+        symbols = self._merged_by_list(chunk) if len(chunk) <= REMEMBERED_CHARS else self._merged_by_heap(chunk)
+        out: list[int] = []
+        for s in symbols:
+            i = self.ids.get(s)
+            out.extend([i] if i is not None else [self.byte_ids[b] for b in s.encode()])
+        return out
+
+    def _merged_by_list(self, chunk: str) -> list[str]:
+        symbols, score_of, never = list(chunk), self.scores.get, float("-inf")
+        agenda = [score_of(a + b, never) for a, b in zip(symbols, symbols[1:])]
+        while agenda and (best := max(agenda)) > never:
+            i = agenda.index(best)
+            pair = symbols[i] = symbols[i] + symbols.pop(i + 1)
+            del agenda[i]
+            if i:
+                agenda[i - 1] = score_of(symbols[i - 1] + pair, never)
+            if i < len(agenda):
+                agenda[i] = score_of(pair + symbols[i + 1], never)
+        return symbols
+
+    def _merged_by_heap(self, chunk: str) -> list[str]:
         symbols: list[str | None] = list(chunk)
         n = len(symbols)
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
@@ -98,12 +119,7 @@ class PieceCodec:
                 score = score_of(joined)
                 if score is not None:
                     push(agenda, (-score, near, left, joined))
-        out: list[int] = []
-        for s in symbols:
-            if s is not None:
-                i = self.ids.get(s)
-                out.extend([i] if i is not None else [self.byte_ids[b] for b in s.encode()])
-        return out
+        return [s for s in symbols if s is not None]
 
     def _part(self, chunk: str) -> tuple[int, str, str]:
         ids = self.merge(chunk)
