@@ -26,7 +26,7 @@ SAMPLED_DOCUMENTS = 1_500
 MAX_CONTEXTS = 8_192
 UNDETERMINED = "und"
 _PAD = b"\n" * ORDER
-_SLICE = 1 << 21
+_SLICE = 1 << 18
 
 
 @dataclass
@@ -75,7 +75,7 @@ class ContextTrees:
 
     def _add(self, group: list[tuple[int, bytes]], out: np.ndarray) -> None:
         a = self.symbols
-        sym = self.symbol_of[np.frombuffer(b"".join(t for _, t in group), dtype=np.uint8)]
+        sym = self.symbol_of.astype(np.int32)[np.frombuffer(b"".join(t for _, t in group), dtype=np.uint8)]
         state = self.state_of[(sym[:-3] * a + sym[1:-2]) * a + sym[2:-1]]
         cell = state * a + sym[3:]
         ends = np.cumsum([len(t) for _, t in group])
