@@ -10,7 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from vestigo.llm import jaccard, language, linededup, mixing, pieces
-from vestigo.session import checkpoint_dir, release, stashed, tune
+from vestigo.llm.joins import small_side
+from vestigo.session import checkpoint_dir, release, stash, stashed, tune
 
 #: A document is rejected when it has no letter or no language has this share of the odds.
 MIN_LANGUAGE_SCORE = 0.5
@@ -31,6 +32,7 @@ def _stage(fn: Stage) -> Stage:
 
     @functools.wraps(fn)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        tune(spark)
         application = spark.sparkContext.applicationId
         release(spark, _SCRATCH.pop(application, []))
         before = set(stashed(spark))
@@ -62,8 +64,8 @@ def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group linked by word 5-grams at a Jaccard similarity of 0.8, the smallest doc_id stays."""
     groups = jaccard.jaccard_components(docs, words=5, similarity=(80, 100))
-    kept = groups.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept.hint("merge"), "doc_id", "left_semi")  # one plan at every size
+    dropped = stash(groups.where("doc_id <> component_id").select("doc_id").distinct(), "pipeline-dropped")
+    return docs.join(small_side(dropped), "doc_id", "left_anti")
 
 
 @_stage

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.functions import arrow_udf
 
 from vestigo.llm.components import components
+from vestigo.llm.joins import small_side
 from vestigo.session import stash
 
 #: Share of level 1 segments a set may leave out, as a divisor.
@@ -205,7 +206,7 @@ def _prefilter(num: int, den: int):
 def _verified(n: int, num: int, den: int):
     @arrow_udf("boolean")
     def linked(left: pa.Array, right: pa.Array) -> pa.Array:
-        grams = lru_cache(maxsize=256)(lambda t: ngrams(words_of(t), n))
+        grams = lru_cache(maxsize=16)(lambda t: ngrams(words_of(t), n))
         out = []
         for x, y in zip(left.cast(pa.binary()).to_pylist(), right.cast(pa.binary()).to_pylist()):
             a, b = grams(x), grams(y)
@@ -226,7 +227,9 @@ def _meet(num: int, den: int):
         ids, comps = (group.column(c).to_numpy() for c in ("id", "comp"))
         sizes, side = group.column("n").to_numpy(), group.column("side").to_numpy()
         raw = [np.frombuffer(x, np.uint8) for x in group.column("parity").to_pylist()]
-        keys = [frozenset(k) for k in group.column("shared").to_pylist()]
+        lists = group.column("shared").combine_chunks()
+        ends, flat = lists.offsets.to_numpy(), lists.flatten().to_numpy()
+        ends = ends - ends[0]
         width = min(map(len, raw))
         bits = np.stack([fold(x, width) for x in raw])
         bits = bits.view(np.uint64)
@@ -240,7 +243,8 @@ def _meet(num: int, den: int):
                 continue
             near = other[bands.may_link(int(sizes[i]), sizes[other], bits[i], bits[other])]
             for j in near:
-                if min(keys[i] & keys[j]) == key:
+                mine, yours = (flat[ends[k] : ends[k + 1]] for k in (i, j))
+                if np.intersect1d(mine, yours, assume_unique=True)[0] == key:
                     out_a.append(min(ids[i], ids[j])), out_b.append(max(ids[i], ids[j]))
         return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
 
@@ -262,23 +266,25 @@ def links_and_classes(
     first = first.select(F.expr("~s1").alias("k1"), F.expr("~s2").alias("k2"), "class_id")
     member = linkable.join(first, (F.expr("~s1") == F.col("k1")) & (F.expr("~s2") == F.col("k2"))).select("id", "n", "class_id")
     member = stash(member, "join-members")
-    heads = member.where("id = class_id").select("id").distinct()
-
-    # index keys that several sets share
-    indexed = rows.where("n > 0 and id is not null").select("id", F.explode("keys").alias("key"))
-    common = indexed.groupBy("key").count().where("count > 1").select(F.expr("~key").alias("k"))
-    posted = indexed.join(common, F.expr("~key") == F.col("k"), "left_semi")
-    posted = stash(posted.join(heads, "id", "left_semi"), "join-posted")
-    lowest = posted.groupBy("key").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("sets")).where("sets > 1")
-    lowest = lowest.select(F.expr("~key").alias("k"), "low", "sets")
-    placed = stash(posted.join(lowest, F.expr("~key") == F.col("k")).select("key", "id", "low", "sets"), "join-placed")
-    stars = placed.where("id <> low").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct()
-    slim = rows.where("n > 0 and id is not null").join(heads, "id", "left_semi").select("id", "n", "parity")
+    copies = member.groupBy("id").agg(F.min("class_id").alias("class_id")).where("id <> class_id").select("id")
+    heads = rows.where("n > 0 and id is not null").join(small_side(stash(copies, "join-copies")), "id", "left_anti")
+
+    # index keys that several sets share; two sets are a pair as they are, more are listed
+    indexed = heads.select("id", F.explode("keys").alias("key"))
+    shared = indexed.groupBy("key").agg(F.count(F.lit(1)).alias("sets"), F.min("id").alias("low"), F.max("id").alias("high"))
+    shared = stash(shared.where("low <> high"), "join-shared")
+    crowded = shared.where("sets > 2").select(F.expr("~key").alias("k"), "low", "sets")
+    listed = small_side(stash(crowded.select("k"), "join-crowded"))
+    placed = indexed.join(listed, F.expr("~key") == F.col("k"), "left_semi")
+    placed = stash(placed.join(crowded, F.expr("~key") == F.col("k")).select("key", "id", "low", "sets"), "join-placed")
+    stars = placed.where("id <> low").select(F.col("low").alias("a"), F.col("id").alias("b"))
+    stars = stars.union(shared.where("sets = 2").select("low", "high")).distinct()
+    slim = heads.select("id", "n", "parity")
     links = stash(_verify(_near(stars, slim, num, den), texts, words, num, den), "join-links")
     comps = stash(components(links), "join-components")
 
     # the pairs a star leaves open, where a key's sets are still apart
-    open_sets = placed.where("sets > 2 and id <> low").join(comps, F.col("id") == F.col("node"), "left")
+    open_sets = placed.where("id <> low").join(comps, F.col("id") == F.col("node"), "left")
     open_sets = open_sets.select("key", "id", F.coalesce("component", "id").alias("comp"))
     apart = open_sets.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("sets")).where("x <> y")
     apart = apart.select(F.expr("~key").alias("k"), "sets")
@@ -313,8 +319,8 @@ def _near(pairs: DataFrame, slim: DataFrame, num: int, den: int) -> DataFrame:
 def _verify(pairs: DataFrame, texts: DataFrame, words: int, num: int, den: int) -> DataFrame:
     """Pairs whose texts reach the similarity."""
     pairs = stash(pairs, "join-pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    fetched = stash(texts.join(wanted, "id"), "join-texts")
+    wanted = stash(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "join-wanted")
+    fetched = stash(texts.join(small_side(wanted), "id", "left_semi"), "join-texts")
     both = pairs.join(fetched.select(F.col("id").alias("a"), F.col("text").alias("x")), "a")
     both = both.join(fetched.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
     return both.where(_verified(words, num, den)("x", "y")).select("a", "b").distinct()
