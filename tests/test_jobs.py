@@ -57,10 +57,22 @@ def test_nms_rounds_equal_the_fold_and_brute_force(spark):
     assert keyed(D.nms(df, limit=5), "evidence_id", "det_id") == sorted(want)
 
 
-def test_merge_in_order_equals_the_fold(spark):
+def test_merge_equals_brute_force(spark):
     df = boxes(spark, seed=2)
-    columns = ("evidence_id", "det_id", "merged_rank")
-    assert keyed(D.merge_detections(df), *columns) == keyed(D.merge_detections(df, limit=5), *columns)
+    df = df.withColumn("confidence", F.when(F.col("det_id") % 5 == 0, None).otherwise(F.col("confidence")))
+    want = []
+    rows = df.collect()
+    for image in {r.evidence_id for r in rows}:
+        kept = []
+        for r in sorted((r for r in rows if r.evidence_id == image), key=lambda r: (r.source != "primary", r.det_id)):
+            at = next((i for i, k in enumerate(kept) if iou(r[2:6], k[2:6]) >= D.NMS_IOU), None)
+            if at is None:
+                kept.append(r)
+            elif (r.confidence or 0) > (kept[at].confidence or 0):
+                kept[at] = r
+        best = sorted(kept, key=lambda r: -(r.confidence or 0))[: D.MERGE_CAP]
+        want += [(image, r.det_id, i + 1) for i, r in enumerate(best)]
+    assert keyed(D.merge_detections(df), "evidence_id", "det_id", "merged_rank") == sorted(want)
 
 
 def test_iou_pairs_equal_all_pairs(spark):
@@ -150,16 +162,23 @@ def test_hmac_and_canonical_json(spark):
 
 @pytest.mark.parametrize("secret", ["", "secret"])
 def test_chain_verifies_and_finds_the_changed_entry(spark, secret):
-    rows = [(c, s, f"a{c}-{s}", hashlib.sha256(f"{c}{s}".encode()).hexdigest()) for c in (1, 2) for s in range(1, 12)]
+    rows = [(c, s, f"a{c}-{s}", hashlib.sha256(f"{c}{s}".encode()).hexdigest()) for c in (1, 2) for s in range(1, 12 if c == 1 else 3000)]
     entries = spark.createDataFrame(rows, "chain_id long, seq long, analysis_id string, payload_hash string")
     fields = ["analysis_id", "payload_hash"]
-    built = I.chain_build(entries, fields, secret, segment=4)
-    clean = I.first_break(I.chain_verify(built, fields, secret, segment=4))
+    built = I.chain_build(entries, fields, secret)
+    clean = I.first_break(I.chain_verify(built, fields, secret))
+    last = {1: "", 2: ""}
+    for r in sorted(built.collect(), key=lambda r: (r.chain_id, r.seq)):
+        prev = last[r.chain_id]
+        text = f'{{"analysis_id":"{r.analysis_id}","payload_hash":"{r.payload_hash}","prev_entry_hash":"{prev}"}}'
+        signed = hmac.new(secret.encode(), text.encode(), hashlib.sha256) if secret else hashlib.sha256(text.encode())
+        last[r.chain_id] = hashlib.sha256(f"{text}|{signed.hexdigest()}|{prev}".encode()).hexdigest()
+        assert (r.prev_entry_hash, r.signature, r.entry_hash) == (prev, signed.hexdigest(), last[r.chain_id])
     assert {r.first_break for r in clean.collect()} == {-1}
     changed = built.withColumn("analysis_id", F.when((F.col("chain_id") == 2) & (F.col("seq") == 6), "x").otherwise(F.col("analysis_id")))
-    broken = {r.chain_id: r.first_break for r in I.first_break(I.chain_verify(changed, fields, secret, segment=4)).collect()}
+    broken = {r.chain_id: r.first_break for r in I.first_break(I.chain_verify(changed, fields, secret)).collect()}
     assert broken == {1: -1, 2: 6}
-    dropped = I.first_break(I.chain_verify(built.where("seq <> 7"), fields, secret, segment=4))
+    dropped = I.first_break(I.chain_verify(built.where("seq <> 7"), fields, secret))
     assert {r.first_break for r in dropped.collect()} == {8}
 
 

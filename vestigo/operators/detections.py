@@ -171,20 +171,11 @@ def _nms_rounds(detections: DataFrame, threshold: float) -> DataFrame:
     return kept
 
 
-def merge_detections(
-    detections: DataFrame, threshold: float = NMS_IOU, cap: int = MERGE_CAP, limit: int = FOLD_LIMIT
-) -> DataFrame:
+def merge_detections(detections: DataFrame, threshold: float = NMS_IOU, cap: int | None = MERGE_CAP) -> DataFrame:
     """Primary boxes then secondary ones; an overlapping box replaces the first it meets if it is
-    more confident; the most confident `cap` stay. Images too dense to fold are read in order by
-    one task each, which holds only the boxes kept so far."""
-    small, large = _split_by_size(detections, limit)
-    merged = _merge_fold(small, threshold, cap)
-    if large is not None:
-        merged = merged.unionByName(_merge_in_order(large, threshold, cap))
-    return merged
-
-
-def _merge_in_order(detections: DataFrame, threshold: float, cap: int) -> DataFrame:
+    more confident; the most confident `cap` stay (all for None). A missing confidence counts as 0.
+    Images are read in order, each by one task that holds only the boxes kept so far."""
+    detections = detections.withColumn("confidence", F.coalesce("confidence", F.lit(0.0)))
     columns = [c for c in detections.columns if c != "evidence_id"]
     at = {c: i for i, c in enumerate(columns)}
 
@@ -212,30 +203,6 @@ def _merge_in_order(detections: DataFrame, threshold: float, cap: int) -> DataFr
     return ordered_fold(turned, "evidence_id", ["_turn", "det_id"], columns, list, add, close, schema)
 
 
-def _merge_fold(detections: DataFrame, threshold: float, cap: int) -> DataFrame:
-    fields = [c for c in detections.columns if c != "evidence_id"]
-    turn = F.when(F.col("source") == "primary", 0).otherwise(1)
-    boxed = F.struct(turn.alias("_turn"), F.col("det_id").alias("_pos"), *fields)
-    groups = detections.groupBy("evidence_id").agg(F.array_sort(F.collect_list(boxed)).alias("_boxes"))
-
-    def step(kept: Column, box: Column) -> Column:
-        clashes = F.transform(kept, lambda k: iou(box_of(box), box_of(k)) >= threshold)
-        at = F.array_position(clashes, F.lit(True))
-        replaced = F.transform(
-            kept,
-            lambda k, i: F.when((i + 1 == at) & (box["confidence"] > k["confidence"]), box).otherwise(k),
-        )
-        return F.when(at > 0, replaced).otherwise(F.concat(kept, F.array(box)))
-
-    folded = groups.select("evidence_id", F.aggregate("_boxes", F.slice("_boxes", 1, 0), step).alias("_kept"))
-    spot = folded.select("evidence_id", F.posexplode("_kept").alias("_slot", "_k")).select(
-        "evidence_id", "_slot", *[F.col(f"_k.{c}").alias(c) for c in fields]
-    )
-    best_first = Window.partitionBy("evidence_id").orderBy(F.col("confidence").desc(), "_slot")
-    ranked = spot.withColumn("merged_rank", F.row_number().over(best_first)).where(F.col("merged_rank") <= cap)
-    return ranked.drop("_slot")
-
-
 def detector_fallback_union(
     detections: DataFrame, min_confidence: float = FALLBACK_CONFIDENCE, threshold: float = NMS_IOU
 ) -> DataFrame:

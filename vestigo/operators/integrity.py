@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import hashlib
+import hmac
 
-# Entries of a chain that are linked one to the next before a seal starts the next segment.
-SEGMENT = 1000
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+
+from vestigo.operators.ordered import ordered_fold
+
+# Stands for the former entry's hash in an entry's text until it is known; quotes inside values are escaped.
+_SLOT = '"prev_entry_hash":"@"'
 
 # Custody steps (order, label) of the two kinds of analysis.
 IMAGE_STEPS = {3: "Recorte bruto", 4: "Recorte tratado"}
@@ -25,8 +30,6 @@ def sha256(c: Column) -> Column:
 
 def hmac_sha256(c: Column, secret: str) -> Column:
     """Keyed digest from two plain ones; the padded keys are worked out once, here."""
-    import hashlib
-
     key = secret.encode()
     if len(key) > 64:
         key = hashlib.sha256(key).digest()
@@ -46,77 +49,56 @@ def payload_hash(rows: DataFrame, columns: list[str], out: str = "payload_hash")
     return rows.withColumn(out, sha256(canonical_json({c: F.col(c) for c in columns})))
 
 
-def _material(fields: list[str], prev: Column, entry: Column) -> Column:
-    named = {f: entry[f] for f in fields}
-    named["prev_entry_hash"] = prev
-    return canonical_json(named)
-
-
 def _entry_hash(material: Column, prev: Column, secret: str) -> tuple[Column, Column]:
     signature = hmac_sha256(material, secret) if secret else sha256(material)
     return signature, sha256(F.concat(material, F.lit("|"), signature, F.lit("|"), prev))
 
 
-def chain_build(entries: DataFrame, fields: list[str], secret: str = "", segment: int = SEGMENT) -> DataFrame:
-    """Hash-linked entries, one chain per case.
+def chain_build(entries: DataFrame, fields: list[str], secret: str = "") -> DataFrame:
+    """Hash-linked entries, one chain per case, by one rule for every length.
 
-    Each entry hashes its fields with the hash of the entry before. A chain longer than `segment` is
-    cut: a new segment starts from the seal of the one before, the digest of all its contents, so
-    that segments are linked in parallel and none is gathered beyond `segment` rows.
-    `entries`: chain_id, seq (1-based), and the fields, all strings.
+    Each entry hashes its fields with the hash of the entry before, so a chain's order is its content:
+    Spark sorts by chain and one pass per chain streams through with only the last hash in memory.
+    Chains run in parallel. `entries`: chain_id, seq (1-based), and the fields, all strings.
     """
-    placed = entries.withColumn("_seg", F.floor((F.col("seq") - 1) / segment))
-    groups = placed.groupBy("chain_id", "_seg").agg(
-        F.array_sort(F.collect_list(F.struct("seq", *fields))).alias("_e")
-    )
-    seals = groups.select("chain_id", (F.col("_seg") + 1).alias("_seg"), sha256(F.to_json("_e")).alias("_seal"))
-    started = groups.join(seals, ["chain_id", "_seg"], "left").withColumn("_seal", F.coalesce("_seal", F.lit("")))
-    start = F.struct(
-        F.col("_seal").alias("prev"),
-        F.array().cast("array<struct<seq:bigint,prev_entry_hash:string,signature:string,entry_hash:string>>").alias("done"),
+    text = canonical_json({**{f: F.col(f) for f in fields}, "prev_entry_hash": F.lit("@")})
+    cut = F.instr("_text", _SLOT)
+    parts = entries.select("chain_id", F.col("seq").cast("bigint").alias("seq"), text.alias("_text")).select(
+        "chain_id",
+        "seq",
+        F.substring("_text", F.lit(1), cut - 1).alias("_head"),
+        F.substring("_text", cut + len(_SLOT), F.length("_text")).alias("_tail"),
     )
+    key = secret.encode()
+
+    def digest(material: bytes) -> str:
+        return (hmac.new(key, material, hashlib.sha256) if key else hashlib.sha256(material)).hexdigest()
 
-    def link(state: Column, entry: Column) -> Column:
-        prev = state["prev"]
-        # The signature and the hash of an entry are bound once each by walking a one-element array.
-        made = F.transform(F.array(_material(fields, prev, entry)), lambda m: F.struct(m.alias("m"), (hmac_sha256(m, secret) if secret else sha256(m)).alias("s")))
-        row = F.transform(
-            made,
-            lambda x: F.struct(
-                entry["seq"].cast("bigint").alias("seq"),
-                prev.alias("prev_entry_hash"),
-                x["s"].alias("signature"),
-                sha256(F.concat(x["m"], F.lit("|"), x["s"], F.lit("|"), prev)).alias("entry_hash"),
-            ),
-        )
-        return F.struct(F.get(row, F.lit(0))["entry_hash"].alias("prev"), F.concat(state["done"], row).alias("done"))
-
-    folded = started.select("chain_id", F.aggregate("_e", start, link).alias("_s"))
-    linked = folded.select("chain_id", F.inline("_s.done"))
+    def add(last: list[str], row: tuple) -> list[tuple]:
+        seq, head, tail = row
+        prev = last[0]
+        material = f'{head}"prev_entry_hash":"{prev}"{tail}'.encode()
+        signature = digest(material)
+        last[0] = hashlib.sha256(b"|".join([material, signature.encode(), prev.encode()])).hexdigest()
+        return [(seq, prev, signature, last[0])]
+
+    schema = T.StructType(
+        [entries.schema["chain_id"], T.StructField("seq", T.LongType()), *[T.StructField(n, T.StringType()) for n in ("prev_entry_hash", "signature", "entry_hash")]]
+    )
+    linked = ordered_fold(parts, "chain_id", ["seq"], ["seq", "_head", "_tail"], lambda: [""], add, lambda last: [], schema)
     return entries.join(linked, ["chain_id", "seq"])
 
 
-def chain_verify(chain: DataFrame, fields: list[str], secret: str = "", segment: int = SEGMENT) -> DataFrame:
+def chain_verify(chain: DataFrame, fields: list[str], secret: str = "") -> DataFrame:
     """Check every entry against its own contents and against the entry before it.
 
-    Entries meet their predecessor by (chain, seq), so a long chain spreads over all tasks; the first
-    entry of a later segment is checked against the seal of the segment before.
+    Entries meet their predecessor by (chain, seq), so a long chain spreads over all tasks.
     """
-    seg = F.floor((F.col("seq") - 1) / segment)
-    opens = ((F.col("seq") - 1) % segment == 0) & (F.col("seq") > 1)
-    sealed = chain.where(opens).select("chain_id", (seg - 1).alias("_seg"))
-    seals = (
-        chain.withColumn("_seg", seg)
-        .join(sealed, ["chain_id", "_seg"], "left_semi")
-        .groupBy("chain_id", "_seg")
-        .agg(F.array_sort(F.collect_list(F.struct("seq", *fields))).alias("_e"))
-        .select("chain_id", ((F.col("_seg") + 1) * segment + 1).alias("seq"), sha256(F.to_json("_e")).alias("_seal"))
-    )
     before = chain.select("chain_id", (F.col("seq") + 1).alias("seq"), F.col("entry_hash").alias("_before"))
-    joined = chain.join(before, ["chain_id", "seq"], "left").join(seals, ["chain_id", "seq"], "left")
+    joined = chain.join(before, ["chain_id", "seq"], "left")
     material = canonical_json({**{f: F.col(f) for f in fields}, "prev_entry_hash": F.col("prev_entry_hash")})
     signature, digest = _entry_hash(F.col("_m"), F.col("prev_entry_hash"), secret)
-    expected = F.when(F.col("seq") == 1, "").when(opens, F.col("_seal")).otherwise(F.col("_before"))
+    expected = F.when(F.col("seq") == 1, "").otherwise(F.col("_before"))
     linked = F.coalesce(expected == F.col("prev_entry_hash"), F.lit(False))
     return joined.withColumn("_m", material).select(
         "chain_id",

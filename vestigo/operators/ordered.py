@@ -34,7 +34,7 @@ def ordered_fold(
             done: list[tuple] = []
             values = zip(*[batch[c] for c in fields])
             for k, row in zip(batch[key], values):
-                if not opened or k != current:
+                if not opened or not (k == current or (pd.isna(k) and pd.isna(current))):
                     if opened:
                         done.extend((current, *out) for out in close(state))
                     current, state, opened = k, start(), True
