@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import numpy as np
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from vestigo.functions.geometry import BOX, box_of, iou
 from vestigo.functions.numbers import rnd
 from vestigo.operators.ordered import ordered_fold
 from vestigo.operators.spread import falling_bucket, spread_rank
-from vestigo.session import cut_lineage
 
 # Weights of area, centrality and confidence; overlap and fallback thresholds; caps.
 AREA_WEIGHT, CENTRE_WEIGHT, CONFIDENCE_WEIGHT = 0.60, 0.25, 0.15
@@ -17,8 +17,6 @@ FALLBACK_CONFIDENCE = 0.30
 MERGE_CAP = 12
 MIN_READ_LENGTH = 6
 
-# Above this many boxes in one image the greedy fold gives way to the tiled rounds.
-FOLD_LIMIT = 1000
 
 
 def priority_score(width: float, height: float) -> Column:
@@ -43,132 +41,37 @@ def prioritize_detections(detections: DataFrame, width: float, height: float) ->
     ).withColumn("is_primary_candidate", F.col("priority_rank") == 1)
 
 
-def _split_by_size(detections: DataFrame, limit: int) -> tuple[DataFrame, DataFrame | None]:
-    """Images the fold can take, and those it cannot (None where there are none)."""
-    sizes = detections.groupBy("evidence_id").agg(F.count(F.lit(1)).alias("_n"))
-    dense = sizes.where(F.col("_n") > limit).select("evidence_id")
-    if dense.isEmpty():
-        return detections, None
-    return (
-        detections.join(dense, "evidence_id", "left_anti"),
-        detections.join(dense, "evidence_id", "left_semi"),
-    )
-
-
-def nms(detections: DataFrame, threshold: float = NMS_IOU, limit: int = FOLD_LIMIT) -> DataFrame:
-    """Greedy non-maximum suppression per image: a box stays if no kept box overlaps it enough."""
-    small, large = _split_by_size(detections, limit)
-    kept = _nms_fold(small, threshold)
-    if large is not None:
-        kept = kept.unionByName(_nms_rounds(large, threshold))
-    return kept
-
-
-def _nms_fold(detections: DataFrame, threshold: float) -> DataFrame:
-    fields = [c for c in detections.columns if c != "evidence_id"]
-    boxed = F.struct((-F.col("confidence")).alias("_neg"), F.col("det_id").alias("_tie"), *fields)
-    groups = detections.groupBy("evidence_id").agg(F.array_sort(F.collect_list(boxed)).alias("_boxes"))
-
-    def step(kept: Column, box: Column) -> Column:
-        clash = F.exists(kept, lambda k: iou(box_of(box), box_of(k)) >= threshold)
-        return F.when(clash, kept).otherwise(F.concat(kept, F.array(box)))
+def nms(detections: DataFrame, threshold: float = NMS_IOU) -> DataFrame:
+    """Greedy non-maximum suppression per image: a box stays if no kept box overlaps it enough.
 
-    folded = groups.select(
-        "evidence_id", F.aggregate("_boxes", F.slice("_boxes", 1, 0), step).alias("_kept")
-    )
-    return folded.select("evidence_id", F.explode("_kept").alias("_k")).select(
-        "evidence_id", *[F.col(f"_k.{c}").alias(c) for c in fields]
-    )[detections.columns]
-
-
-def _class_ratio(threshold: float) -> float:
-    return 1.0001 / threshold
-
-
-def _tile(threshold: float) -> list[Column]:
-    """Tile of a box: its size class and its position in units of that size.
-
-    Boxes with IoU >= t differ in width and height by a factor of at most 1/t, and their corners
-    by less than the larger side, so with size classes of ratio 1/t they lie in adjacent classes.
+    Boxes are read by falling confidence (missing counts as 0), then det_id, each image by one task
+    that holds only the coordinates of the boxes kept so far. A box without area overlaps none.
     """
-    base = _class_ratio(threshold)
-    width = F.greatest(F.lit(1e-9), F.col("x2") - F.col("x1"))
-    height = F.greatest(F.lit(1e-9), F.col("y2") - F.col("y1"))
-    wide = F.floor(F.log(base, width))
-    high = F.floor(F.log(base, height))
-    return [wide.alias("_w"), high.alias("_h")]
-
-
-def _positions(df: DataFrame, threshold: float, spread: bool) -> DataFrame:
-    """Give each box its own tile (spread=False), or every tile in which a rival may sit.
-
-    A rival of class (w', h') has its tile computed on that class's grid, so the neighbourhood
-    of a box is listed per class: three size classes each way, three columns and rows.
-    """
-    base = _class_ratio(threshold)
-    out = df.select("*", *_tile(threshold))
-    if spread:
-        steps = F.array(F.lit(-1), F.lit(0), F.lit(1))
-        out = out.withColumn("_dw", F.explode(steps)).withColumn("_dh", F.explode(steps))
-        out = out.withColumn("_w", F.col("_w") + F.col("_dw")).withColumn("_h", F.col("_h") + F.col("_dh"))
-    # The grid pitch of a class is the side of its largest member.
-    out = out.withColumn("_cx", F.floor(F.col("x1") / F.pow(F.lit(base), F.col("_w") + 1)))
-    out = out.withColumn("_cy", F.floor(F.col("y1") / F.pow(F.lit(base), F.col("_h") + 1)))
-    if spread:
-        # A rival one class larger reaches one pitch; one class smaller reaches up to 1/t pitches.
-        reach = int(base) + 1
-        steps = F.array(*[F.lit(i) for i in range(-reach, reach + 1)])
-        out = out.withColumn("_ox", F.explode(steps)).withColumn("_oy", F.explode(steps))
-        out = out.withColumn("_cx", F.col("_cx") + F.col("_ox")).withColumn("_cy", F.col("_cy") + F.col("_oy"))
-        out = out.drop("_dw", "_dh", "_ox", "_oy")
-    return out
-
-
-def _nms_rounds(detections: DataFrame, threshold: float) -> DataFrame:
-    """The same greedy result for images too dense to fold, in parallel rounds over tiles.
-
-    Only the best live box of each tile is ever compared, so no pairs of a dense group are made.
-    A tile leader that no live rival outranks is kept; it removes what it overlaps; repeat.
-    Copies of the same box are reduced to the best one first.
-    """
-    tile = ["evidence_id", "_w", "_h", "_cx", "_cy"]
-    order = F.struct((-F.col("confidence")).alias("neg"), F.col("det_id").alias("tie"))
-    best = detections.groupBy("evidence_id", *BOX).agg(
-        F.min_by(F.struct(*[c for c in detections.columns if c not in ("evidence_id", *BOX)]), order).alias("_row")
-    )
-    live = cut_lineage(best.select("evidence_id", *BOX, "_row.*").select(*detections.columns))
-    kept = live.limit(0)
-    lead = F.struct((-F.col("confidence")).alias("neg"), F.col("det_id").alias("tie"), *BOX)
-    while not live.isEmpty():
-        leaders = _positions(live, threshold, spread=False).groupBy(*tile).agg(F.min(lead).alias("_lead"))
-        heads = leaders.select("evidence_id", "_lead.*").withColumn("confidence", -F.col("neg"))
-        around = _positions(heads, threshold, spread=True).select(*tile, "neg", "tie", *BOX)
-        # For each leader: is there a live rival leader that overlaps its neighbourhood and outranks it?
-        rivals = leaders.select(*tile, F.col("_lead.neg").alias("r_neg"), F.col("_lead.tie").alias("r_tie"))
-        beaten = around.join(rivals, tile).where(
-            F.struct(F.col("r_neg"), F.col("r_tie")) < F.struct(F.col("neg").alias("r_neg"), F.col("tie").alias("r_tie"))
-        )
-        beaten = beaten.select("evidence_id", F.col("tie").alias("det_id")).distinct()
-        winners = heads.select("evidence_id", F.col("tie").alias("det_id"), *BOX).join(
-            beaten, ["evidence_id", "det_id"], "left_anti"
-        )
-        winners = cut_lineage(winners)
-        kept = cut_lineage(
-            kept.unionByName(live.join(winners.select("evidence_id", "det_id"), ["evidence_id", "det_id"], "left_semi"))
-        )
-        spots = _positions(winners, threshold, spread=True).select(
-            *tile, F.struct(*BOX).alias("_win")
-        )
-        placed = _positions(live, threshold, spread=False)
-        hit = (
-            placed.join(spots, tile)
-            .where(iou([F.col(c) for c in BOX], box_of(F.col("_win"))) >= threshold)
-            .select("evidence_id", "det_id")
-            .distinct()
+    columns = [c for c in detections.columns if c != "evidence_id"]
+    places = [columns.index(c) for c in BOX]
+
+    def add(kept: list[np.ndarray], row: tuple) -> list[tuple]:
+        x1, y1, x2, y2 = box = np.array([row[i] for i in places], dtype=np.float64)
+        count, rows = int(kept[0][0, 0]), kept[1]
+        old = rows[:count]
+        inter = np.maximum(0.0, np.minimum(x2, old[:, 2]) - np.maximum(x1, old[:, 0])) * np.maximum(
+            0.0, np.minimum(y2, old[:, 3]) - np.maximum(y1, old[:, 1])
         )
-        gone = hit.unionByName(winners.select("evidence_id", "det_id")).distinct()
-        live = cut_lineage(live.join(gone, ["evidence_id", "det_id"], "left_anti"))
-    return kept
+        union = (x2 - x1) * (y2 - y1) + (old[:, 2] - old[:, 0]) * (old[:, 3] - old[:, 1]) - inter
+        share = np.divide(inter, union, out=np.zeros(count), where=union > 0)
+        if (share >= threshold).any():
+            return []
+        if count == len(rows):
+            kept[1] = rows = np.concatenate([rows, np.empty_like(rows)])
+        rows[count] = box
+        kept[0][0, 0] = count + 1
+        return [row]
+
+    turned = detections.withColumn("_turn", -F.coalesce("confidence", F.lit(0.0)))
+    return ordered_fold(
+        turned, "evidence_id", ["_turn", "det_id"], columns, lambda: [np.zeros((1, 1)), np.empty((16, 4))], add, lambda kept: [],
+        T.StructType([detections.schema["evidence_id"], *[detections.schema[c] for c in columns]]),
+    )
 
 
 def merge_detections(detections: DataFrame, threshold: float = NMS_IOU, cap: int | None = MERGE_CAP) -> DataFrame:
