@@ -89,10 +89,10 @@ def chain_verify(spark, sf):
 
 @query(
     "payload_hash",
-    """SELECT doc_id, sha256('{"doc_id":' || doc_id || ',"lang":' || to_json(lang) || ',"n_chars":' || n_chars || ',"source":' || to_json(source) || '}') AS payload_hash FROM documents""",
+    """SELECT doc_id, sha256('{"doc_id":' || doc_id || ',"lang":' || to_json(lang) || ',"n_chars":' || n_chars || ',"source":' || to_json(source) || ',"text":' || to_json(text) || '}') AS payload_hash FROM documents""",
 )
 def payload_hash(spark, sf):
-    docs = I.payload_hash(read(spark, sf, "documents"), ["doc_id", "lang", "source", "n_chars"])
+    docs = I.payload_hash(read(spark, sf, "documents"), ["doc_id", "lang", "source", "n_chars", "text"])
     return docs.select("doc_id", "payload_hash")
 
 

@@ -104,10 +104,12 @@ def load_annotations(spark, sf):
     return S.load_annotations(spark, path).select("stem", "name", "xmin", "xmax", "width")
 
 
-@query("load_embeddings", "SELECT vec_id, len(embedding) AS dimensions FROM embeddings")
+@query("load_embeddings", "SELECT vec_id, len(embedding) AS dimensions, CAST(list_sum([CAST(round(CAST(x AS DOUBLE) * 1000000) AS BIGINT) for x in embedding]) AS BIGINT) AS micro_sum FROM embeddings")
 def load_embeddings(spark, sf):
     found = S.load_embeddings(spark, f"{sf}/embeddings.parquet")
-    return found.select("vec_id", F.size("embedding").cast("bigint").alias("dimensions"))
+    micro = F.transform("embedding", lambda x: F.round(x.cast("double") * 1000000).cast("bigint"))
+    total = F.aggregate(micro, F.lit(0).cast("bigint"), lambda n, x: n + x)
+    return found.select("vec_id", F.size("embedding").cast("bigint").alias("dimensions"), total.alias("micro_sum"))
 
 
 @query("chain_log", _CHAIN_SQL + " SELECT chain_id, seq, entry_hash FROM walk")
