@@ -17,9 +17,9 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.functions import arrow_udf
 
 SPACE = "▁"
-#: Chunks up to this length are remembered, and so many of them per Python worker.
+#: Chunks up to this length are remembered, in two generations of so many per Python worker.
 REMEMBERED_CHARS = 48
-REMEMBERED_CHUNKS = 100_000
+REMEMBERED_CHUNKS = 120_000
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 
 
@@ -49,6 +49,7 @@ class PieceCodec:
                 self.surface.append("" if p.type == CONTROL else " ⁇ ")
         self.chunks = self._chunk_pattern()
         self.known: dict[str, tuple[int, str, str]] = {}
+        self.older: dict[str, tuple[int, str, str]] = {}
 
     @staticmethod
     def _refuse_others(proto) -> None:
@@ -122,11 +123,14 @@ class PieceCodec:
         return [s for s in symbols if s is not None]
 
     def _part(self, chunk: str) -> tuple[int, str, str]:
-        ids = self.merge(chunk)
-        part = (len(ids), ",".join(map(str, ids)), self.surface_of(ids))
+        """A chunk that the younger generation lacks; what is asked for again moves up to it."""
+        part = self.older.get(chunk)
+        if part is None:
+            ids = self.merge(chunk)
+            part = (len(ids), ",".join(map(str, ids)), self.surface_of(ids))
         if len(chunk) <= REMEMBERED_CHARS:
             if len(self.known) >= REMEMBERED_CHUNKS:
-                self.known.clear()
+                self.older, self.known = self.known, {}
             self.known[chunk] = part
         return part
 
