@@ -123,17 +123,13 @@ def unique_artifacts(artifacts: DataFrame) -> DataFrame:
     return (
         artifacts.where(F.trim("path") != "")
         .groupBy("evidence_id", "path")
-        .agg(F.min_by(F.struct("pos", "label"), "pos").alias("a"))
+        .agg(F.min(F.struct("pos", *[c for c in artifacts.columns if c not in ("evidence_id", "path", "pos")])).alias("a"))
         .select("evidence_id", "path", "a.*")
     )
 
 
-def custody_steps(cases: DataFrame) -> DataFrame:
-    """The seven custody steps of each analysis with their status.
-
-    `cases`: evidence_id, kind, stage, source_exists, derived, frames, targets, has_consensus, crop_raw,
-    crop_treated, review_required.
-    """
+def _steps() -> Column:
+    """The seven custody steps of an analysis as an array of step, label, status."""
     video = F.lower("kind").startswith("video")
     pick = lambda test, yes, no: F.when(test, yes).otherwise(no)
     status = {
@@ -152,34 +148,44 @@ def custody_steps(cases: DataFrame) -> DataFrame:
     label = {n: F.lit(t) for n, t in COMMON_STEPS.items()}
     for n in IMAGE_STEPS:
         label[n] = pick(video, VIDEO_STEPS[n], IMAGE_STEPS[n])
-    steps = F.array(
+    return F.array(
         *[F.struct(F.lit(n).cast("bigint").alias("step"), label[n].alias("label"), status[n].alias("status")) for n in range(1, 8)]
     )
-    return cases.select("evidence_id", F.explode(steps).alias("s")).select("evidence_id", "s.*")
 
 
-def manifest_fingerprint(cases: DataFrame, artifacts: DataFrame, fields: list[str]) -> DataFrame:
-    """Digest of each evidence's manifest: its fields and the paths of its artifacts in order.
+def custody_steps(cases: DataFrame) -> DataFrame:
+    """The seven custody steps of each analysis with their status.
+
+    `cases`: evidence_id, kind, stage, source_exists, derived, frames, targets, has_consensus, crop_raw,
+    crop_treated, review_required.
+    """
+    return cases.select("evidence_id", F.explode(_steps()).alias("s")).select("evidence_id", "s.*")
+
+
+def manifest_fingerprint(cases: DataFrame, artifacts: DataFrame) -> DataFrame:
+    """Digest of each evidence's whole manifest: every column of its case (source, processing, selection,
+    review), its custody steps, and its artifacts.
 
-    Artifacts enter through a digest per slice of paths, so an evidence with very many of them is
-    never gathered whole.
+    The first artifact of a path counts, with its position, label and content digest. Artifacts enter as
+    a hash tree: full digests sorted in 4,096 slices by their first digits, slice digests sorted in one
+    root, so an evidence with very many of them is never gathered whole. `cases`: as for custody_steps;
+    `artifacts`: evidence_id, pos, path, label, digest.
     """
-    unique = unique_artifacts(artifacts)
-    sliced = unique.withColumn("_slice", F.left(F.sha1("path"), F.lit(2)))
-    parts = sliced.groupBy("evidence_id", "_slice").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.min("path").alias("first"),
-        # Order-free digest of a slice: the sum of the path digests' leading 12 hex digits.
-        F.sum(F.conv(F.left(F.sha2("path", 256), F.lit(12)), 16, 10).cast("decimal(38,0)")).cast("string").alias("mix"),
+    entry = sha256(canonical_json({c: F.col(c) for c in ("pos", "path", "label", "digest")}))
+    leaves = unique_artifacts(artifacts).select("evidence_id", entry.alias("_leaf"))
+    slices = leaves.groupBy("evidence_id", F.left("_leaf", F.lit(3)).alias("_slice")).agg(
+        F.count(F.lit(1)).alias("_n"), sha256(F.concat_ws(",", F.array_sort(F.collect_list("_leaf")))).alias("_node")
     )
-    rolled = parts.groupBy("evidence_id").agg(
-        F.sum("n").alias("artifact_count"),
-        F.array_sort(F.collect_list(F.concat_ws(":", "_slice", "n", "mix"))).alias("_parts"),
+    roots = slices.groupBy("evidence_id").agg(
+        F.sum("_n").alias("artifact_count"),
+        sha256(F.concat_ws(",", F.array_sort(F.collect_list(F.concat_ws(":", "_slice", "_n", "_node"))))).alias("_root"),
     )
-    joined = cases.join(rolled, "evidence_id", "left").withColumn("artifact_count", F.coalesce("artifact_count", F.lit(0)))
-    columns = {f: F.col(f) for f in fields} | {
+    joined = cases.join(roots, "evidence_id", "left").withColumn("artifact_count", F.coalesce("artifact_count", F.lit(0)))
+    told = F.transform(_steps(), lambda s: F.concat_ws(":", s["step"].cast("string"), s["label"], s["status"]))
+    columns = {c: F.col(c) for c in cases.columns} | {
         "artifact_count": F.col("artifact_count"),
-        "artifacts": F.concat_ws(",", "_parts"),
+        "artifacts": F.coalesce("_root", F.lit("")),
+        "custody": F.concat_ws("; ", told),
     }
     return joined.select(
         "evidence_id",

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from vestigo.functions.numbers import clamp
 from vestigo.operators.spread import spread_rank
+from vestigo.session import stash
 
 # Class names and their numbers.
 CLASSES = {
@@ -53,14 +54,14 @@ def boxes_to_yolo(objects: DataFrame) -> DataFrame:
     return boxed.withColumn("line", line)
 
 
-def split_dataset(
-    items: DataFrame, path: str, val_ratio: float = 0.15, test_ratio: float = 0.10, prefix: int = 4
-) -> DataFrame:
+def split_dataset(items: DataFrame, path: str, val_ratio: float = 0.15, test_ratio: float = 0.10) -> DataFrame:
     """Ordered split by path: train first, then val and test, the latter two at least one item each.
 
-    The global order is cut into path prefixes, so no single task sorts everything.
+    Spark cuts the order into ranges of about equal numbers of items, whatever root the paths share.
+    The ranges are written once, so that positions and offsets count the same ones.
     """
-    ranked = spread_rank(items, [], F.substring(path, 1, prefix), [F.col(path)], "position", total="total")
+    ranges = stash(items.repartitionByRange(path).withColumn("_range", F.spark_partition_id()), "split-ranges")
+    ranked = spread_rank(ranges, [], F.col("_range"), [F.col(path)], "position", total="total").drop("_range")
     test = F.greatest(F.lit(1), F.floor(F.col("total") * test_ratio))
     val = F.greatest(F.lit(1), F.floor(F.col("total") * val_ratio))
     train = F.col("total") - test - val

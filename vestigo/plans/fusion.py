@@ -132,11 +132,11 @@ def _key(p: str = "") -> str:
     CLEAN_SQL
     + f""", pri_source AS (SELECT *, {r('''(greatest(1.0,x2-x1)*greatest(1.0,y2-y1))/81920.0*0.60 +
     (1.0-least(1.0,(abs((x1+x2)/2.0-320.0)/320.0 + abs((y1+y2)/2.0-64.0)/64.0)/2.0))*0.25 + confidence*0.15''', 6)} AS ps
-      FROM detections WHERE source = 'primary'),
+      FROM detections),
     dets AS (SELECT evidence_id, det_id, {_key()} AS bbox, confidence AS detection_confidence,
       row_number() OVER (PARTITION BY evidence_id ORDER BY ps DESC, det_id) AS priority_rank FROM pri_source),
     scored AS (SELECT evidence_id, {_key()} AS bbox, read_id, text, engine, {r('confidence', 4)} AS confidence,
-      {r(f"confidence*0.60 + {quality_sql('text')}*0.30 + {BBOX_SQL}*0.10", 4)} AS composite FROM clean),
+      {r(f"confidence*0.60 + {quality_sql('text')}*0.30 + {BBOX_SQL}*0.10", 4)} AS composite FROM (SELECT * REPLACE (CASE WHEN engine = 'engine_r' THEN -evidence_id ELSE evidence_id END AS evidence_id) FROM clean)),
     loose AS (SELECT evidence_id, CASE WHEN bbox = '' THEN 'full_image' ELSE bbox END AS bbox, read_id, text, engine,
       confidence, composite FROM scored WHERE evidence_id NOT IN (SELECT evidence_id FROM dets)),
     groups AS (SELECT evidence_id, CAST(-1 AS BIGINT) AS det_id, bbox, 0.0 AS detection_confidence,
@@ -158,8 +158,10 @@ def _key(p: str = "") -> str:
     FROM numbered WHERE n <= 8 GROUP BY ALL""",
 )
 def plate_analyses(spark, sf):
-    primary = load(spark, sf, "detections").where(F.col("source") == "primary")
-    return U.plate_analyses(prioritize_detections(primary, 640.0, 128.0), clean(spark, sf))
+    """Reads of one engine count as evidence of their own, on which no detector ran."""
+    apart = F.when(F.col("engine") == "engine_r", -F.col("evidence_id")).otherwise(F.col("evidence_id"))
+    reads = clean(spark, sf).withColumn("evidence_id", apart)
+    return U.plate_analyses(prioritize_detections(load(spark, sf, "detections"), 640.0, 128.0), reads)
 
 
 _READ_COLUMNS = ["evidence_id", "read_id", "engine", "text"]
@@ -370,7 +372,7 @@ def batch_confidence_stats(spark, sf):
     FUSED_SQL.replace("WITH ", with_tables("image_scores") + ", ", 1)
     + """, joined AS (SELECT b.evidence_id, b.best_text AS text, b.best_avg_conf AS ocr_conf,
       coalesce(m.c, 0.3) AS det_conf, s.quality FROM best b LEFT JOIN (SELECT evidence_id, max(confidence) AS c
-      FROM detections WHERE source = 'primary' GROUP BY evidence_id) m USING (evidence_id)
+      FROM detections GROUP BY evidence_id) m USING (evidence_id)
       LEFT JOIN image_scores s USING (evidence_id)), """
     + validation_ctes("joined")
     + ", "
@@ -381,8 +383,7 @@ def batch_confidence_stats(spark, sf):
     CASE WHEN text = '' THEN 'Sem resultado de OCR válido' ELSE reason END AS reason FROM levels""",
 )
 def detection_ocr_join(spark, sf):
-    primary = load(spark, sf, "detections").where(F.col("source") == "primary")
-    joined = U.detection_ocr_join(best(spark, sf), primary, load(spark, sf, "image_scores"))
+    joined = U.detection_ocr_join(best(spark, sf), load(spark, sf, "detections"), load(spark, sf, "image_scores"))
     return joined.withColumn("overall_confidence", U.rnd(F.col("overall_confidence"), 9))
 
 
@@ -391,7 +392,7 @@ def detection_ocr_join(spark, sf):
     CLEAN_SQL
     + """, top AS (SELECT * FROM (SELECT evidence_id, text, confidence, row_number() OVER (PARTITION BY evidence_id
       ORDER BY confidence DESC, read_id) AS n FROM clean WHERE length(text) >= 5) WHERE n = 1),
-    first AS (SELECT evidence_id, arg_min(confidence, det_id) AS det FROM detections WHERE source = 'primary'
+    first AS (SELECT evidence_id, arg_min(confidence, det_id) AS det FROM detections
       GROUP BY evidence_id),
     joined AS (SELECT o.o_orderkey AS evidence_id, coalesce(t.text, '') AS text, coalesce(t.confidence, 0.0) AS conf,
       coalesce(f.det, 0.2) AS det FROM orders o LEFT JOIN top t ON t.evidence_id = o.o_orderkey
@@ -401,8 +402,7 @@ def detection_ocr_join(spark, sf):
     {r('(conf*0.6 + det*0.4)*(CASE WHEN valid THEN 1.1 ELSE 0.7 END)', 4)})) AS frame_confidence FROM v""",
 )
 def light_frame_confidence(spark, sf):
-    primary = load(spark, sf, "detections").where(F.col("source") == "primary")
-    return U.light_frame_confidence(evidence(spark, sf), primary, clean(spark, sf))
+    return U.light_frame_confidence(evidence(spark, sf), load(spark, sf, "detections"), clean(spark, sf))
 
 
 @query(

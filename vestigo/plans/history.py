@@ -424,7 +424,8 @@ _REVIEW_SQL = (
     _REVIEW_SQL
     + """, ov AS (SELECT 'sha' || c_custkey AS key, 'OVR' || lpad((c_custkey%10000)::VARCHAR, 4, '0') AS manual_text FROM customer WHERE c_acctbal < 0
       UNION ALL SELECT 'img_' || c_custkey || '.jpg', 'PHO0000' FROM customer WHERE c_acctbal > 9000
-      UNION ALL SELECT 'img_' || c_custkey, 'STM0000' FROM customer WHERE c_acctbal > 8000),
+      UNION ALL SELECT 'img_' || c_custkey, 'STM0000' FROM customer WHERE c_acctbal > 8000
+      UNION ALL SELECT 'ref_' || c_custkey, 'REF0000' FROM customer WHERE c_acctbal BETWEEN 0 AND 8000),
     keyed AS (SELECT case_id, 0 AS turn, sha AS key FROM rv UNION ALL SELECT case_id, 1, lower(photo) FROM rv UNION ALL SELECT case_id, 2, lower(stem) FROM rv),
     hit AS (SELECT case_id, arg_min(key, turn) AS match_key, arg_min(manual_text, turn) AS manual_text FROM keyed JOIN ov USING (key) GROUP BY case_id)
     SELECT rv.case_id, decision, confirmed_text, coalesce(match_key, '') AS match_key, coalesce(manual_text, confirmed_text) AS final_text
@@ -433,12 +434,17 @@ _REVIEW_SQL = (
 def human_review_outcomes(spark, sf):
     customers = read(spark, sf, "customer")
     key = F.col("c_custkey").cast("string")
-    overrides = (
-        customers.where("c_acctbal < 0")
-        .select(F.concat(F.lit("SHA"), key).alias("key"), F.concat(F.lit("OVR"), F.lpad((F.col("c_custkey") % 10000).cast("string"), 4, "0")).alias("manual_text"))
-        .unionByName(customers.where("c_acctbal > 9000").select(F.concat(F.lit("img_"), key, F.lit(".jpg")).alias("key"), F.lit("PHO0000").alias("manual_text")))
-        .unionByName(customers.where("c_acctbal > 8000").select(F.concat(F.lit("img_"), key).alias("key"), F.lit("STM0000").alias("manual_text")))
+    number = F.lpad((F.col("c_custkey") % 10000).cast("string"), 4, "0")
+    entry = lambda name, typed: F.struct(name.alias("key"), typed.alias("manual_text"))
+    balance = F.col("c_acctbal")
+    # Each customer gives at least one entry; some name a picture twice, some no picture at all.
+    entries = F.array(
+        F.when(balance < 0, entry(F.concat(F.lit("SHA"), key), F.concat(F.lit("OVR"), number))),
+        F.when(balance > 9000, entry(F.concat(F.lit("img_"), key, F.lit(".jpg")), F.lit("PHO0000"))),
+        F.when(balance > 8000, entry(F.concat(F.lit("img_"), key), F.lit("STM0000"))),
+        F.when(balance.between(0, 8000), entry(F.concat(F.lit("ref_"), key), F.lit("REF0000"))),
     )
+    overrides = customers.select(F.explode(F.array_compact(entries)).alias("e")).select("e.*")
     done = H.apply_overrides(H.human_reviews(load(spark, sf, "reviews")), overrides, ["sha", "photo", "stem"])
     return done.select("case_id", "decision", "confirmed_text", "match_key", "final_text")
 
@@ -486,7 +492,7 @@ def source_families(spark, sf):
 
 @query(
     "visual_fallback_record",
-    f"""WITH answered AS (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_returnflag <> 'R'),
+    f"""WITH answered AS (SELECT DISTINCT l_orderkey FROM lineitem),
     c AS (SELECT o_orderkey AS case_id, CASE WHEN o_custkey%3=0 THEN '' ELSE 'ABC' || lpad((o_custkey%10000)::VARCHAR, 4, '0') END AS plate,
       CASE WHEN o_custkey%7=0 THEN '' ELSE o_orderpriority END AS make, o_orderstatus AS model,
       CASE WHEN o_custkey%2=0 THEN '' ELSE '2010-2014' END AS yr, CASE WHEN o_custkey%5=0 THEN '' ELSE 'prata' END AS colour,
@@ -509,7 +515,7 @@ def visual_fallback_record(spark, sf):
         F.when(cust % 5 == 0, "").otherwise("prata").alias("colour"),
         (F.col("o_totalprice") / 5000).alias("confidence"),
     )
-    answered = read(spark, sf, "lineitem").where("l_returnflag <> 'R'").select(F.col("l_orderkey").alias("case_id"))
+    answered = read(spark, sf, "lineitem").select(F.col("l_orderkey").alias("case_id"))
     return H.visual_fallback_record(cases, answered)
 
 

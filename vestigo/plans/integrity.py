@@ -46,6 +46,7 @@ add(
         "(CAST(l_linenumber AS BIGINT)*10000000+l_partkey)*100000+l_suppkey AS pos",
         "CASE WHEN l_suppkey%10=0 THEN '' ELSE 'out/' || CAST(l_linenumber AS STRING) || '.jpg' END AS path",
         "'label_' || l_returnflag AS label",
+        "CAST(l_partkey AS STRING) || ' of ' || CAST(l_suppkey AS STRING) AS content",
     ],
 )
 
@@ -96,11 +97,10 @@ def payload_hash(spark, sf):
     return docs.select("doc_id", "payload_hash")
 
 
-@query(
-    "custody_steps",
-    with_tables("custody_cases")
-    + """, s AS (SELECT *, kind = 'video' AS v FROM custody_cases)
-    SELECT evidence_id, 1::BIGINT AS step, 'Entrada preservada' AS label, CASE WHEN source_exists THEN 'registrada' ELSE 'indisponivel' END AS status FROM s
+_STEPS_SQL = (
+    with_tables("custody_cases", "artifacts")
+    + """, s AS (SELECT *, kind = 'video' AS v FROM custody_cases),
+    st AS (SELECT evidence_id, 1::BIGINT AS step, 'Entrada preservada' AS label, CASE WHEN source_exists THEN 'registrada' ELSE 'indisponivel' END AS status FROM s
     UNION ALL SELECT evidence_id, 2, 'Tratamento tecnico', CASE WHEN derived > 0 THEN 'aplicado' ELSE 'pendente' END FROM s
     UNION ALL SELECT evidence_id, 3, CASE WHEN v THEN 'Varredura frame a frame' ELSE 'Recorte bruto' END, CASE WHEN v THEN CASE WHEN frames > 0 THEN 'executada' ELSE 'pendente' END
       ELSE CASE WHEN crop_raw <> '' THEN 'registrado' ELSE 'indisponivel' END END FROM s
@@ -108,8 +108,11 @@ def payload_hash(spark, sf):
       ELSE CASE WHEN crop_treated <> '' THEN 'registrado' ELSE 'indisponivel' END END FROM s
     UNION ALL SELECT evidence_id, 5, 'OCR e consenso', CASE WHEN has_consensus THEN 'executado' ELSE 'pendente' END FROM s
     UNION ALL SELECT evidence_id, 6, 'Conferencia humana', CASE WHEN review_required THEN 'obrigatoria' ELSE 'registrada' END FROM s
-    UNION ALL SELECT evidence_id, 7, 'Documento gerado', CASE WHEN lower(stage) <> 'preview' THEN 'consolidado' ELSE 'pre-analise' END FROM s""",
+    UNION ALL SELECT evidence_id, 7, 'Documento gerado', CASE WHEN lower(stage) <> 'preview' THEN 'consolidado' ELSE 'pre-analise' END FROM s)"""
 )
+
+
+@query("custody_steps", _STEPS_SQL + " SELECT * FROM st")
 def custody_steps(spark, sf):
     return I.custody_steps(load(spark, sf, "custody_cases"))
 
@@ -117,23 +120,33 @@ def custody_steps(spark, sf):
 @query(
     "unique_artifacts",
     with_tables("artifacts")
-    + " SELECT evidence_id, path, min(pos) AS pos FROM artifacts WHERE path <> '' GROUP BY evidence_id, path",
+    + " SELECT evidence_id, path, pos, label, content FROM (SELECT *, row_number() OVER (PARTITION BY evidence_id, path ORDER BY pos) AS n FROM artifacts WHERE path <> '') WHERE n = 1",
 )
 def unique_artifacts(spark, sf):
-    return I.unique_artifacts(load(spark, sf, "artifacts")).drop("label")
+    return I.unique_artifacts(load(spark, sf, "artifacts"))
+
+
+_MANIFEST = [
+    "artifact_count", "artifacts", "crop_raw", "crop_treated", "custody", "derived", "evidence_id", "frames", "has_consensus", "kind",
+    "review_required", "source_exists", "stage", "targets",
+]
 
 
 @query(
     "manifest_fingerprint",
-    with_tables("custody_cases", "artifacts")
-    + """, u AS (SELECT DISTINCT evidence_id, path FROM artifacts WHERE path <> ''),
-    g AS (SELECT evidence_id, left(sha1(path), 2) AS sl, count(*) AS n, CAST(sum(CAST(('0x' || left(sha256(path), 12))::BIGINT AS HUGEINT)) AS VARCHAR) AS mix FROM u GROUP BY ALL),
-    k AS (SELECT evidence_id, CAST(sum(n) AS BIGINT) AS ac, string_agg(sl || ':' || n || ':' || mix, ',' ORDER BY sl || ':' || n || ':' || mix) AS parts FROM g GROUP BY evidence_id)
-    SELECT c.evidence_id, coalesce(ac, 0) AS artifact_count, left(sha256('{"artifact_count":' || coalesce(ac, 0) || ',"artifacts":"' || coalesce(parts, '') || '","kind":"' || kind || '","stage":"' || stage || '"}'), 24) AS fingerprint
-    FROM custody_cases c LEFT JOIN k ON k.evidence_id = c.evidence_id""",
+    _STEPS_SQL
+    + f""", u AS (SELECT *, row_number() OVER (PARTITION BY evidence_id, path ORDER BY pos) AS n FROM artifacts WHERE path <> ''),
+    leaves AS (SELECT evidence_id, sha256(to_json({{'digest': sha256(content), 'label': label, 'path': path, 'pos': pos}})) AS leaf FROM u WHERE n = 1),
+    slices AS (SELECT evidence_id, left(leaf, 3) AS sl, count(*) AS n, sha256(string_agg(leaf, ',' ORDER BY leaf)) AS node FROM leaves GROUP BY ALL),
+    roots AS (SELECT evidence_id, CAST(sum(n) AS BIGINT) AS n, sha256(string_agg(sl || ':' || n || ':' || node, ',' ORDER BY sl)) AS root FROM slices GROUP BY evidence_id),
+    told AS (SELECT evidence_id, string_agg(step || ':' || label || ':' || status, '; ' ORDER BY step) AS custody FROM st GROUP BY evidence_id),
+    m AS (SELECT c.*, coalesce(n, 0) AS artifact_count, coalesce(root, '') AS artifacts, custody FROM custody_cases c
+      JOIN told ON told.evidence_id = c.evidence_id LEFT JOIN roots ON roots.evidence_id = c.evidence_id)
+    SELECT evidence_id, artifact_count, left(sha256(to_json({{{', '.join(f"'{c}': {c}" for c in _MANIFEST)}}})), 24) AS fingerprint FROM m""",
 )
 def manifest_fingerprint(spark, sf):
-    return I.manifest_fingerprint(load(spark, sf, "custody_cases"), load(spark, sf, "artifacts"), ["kind", "stage"])
+    artifacts = load(spark, sf, "artifacts").withColumn("digest", I.sha256(F.col("content")))
+    return I.manifest_fingerprint(load(spark, sf, "custody_cases"), artifacts)
 
 
 @query(

@@ -88,20 +88,36 @@ def load_metadata_csv(spark, sf):
 @query(
     "load_annotations",
     """SELECT 'img_' || l_orderkey AS stem, 'car_' || l_partkey%4 AS name, l_quantity AS xmin, l_quantity+50 AS xmax, 640 AS width
-    FROM lineitem WHERE l_linenumber = 1""",
+    FROM lineitem""",
 )
 def load_annotations(spark, sf):
+    return _annotations(spark, sf).select("stem", "name", "xmin", "xmax", "width")
+
+
+@query(
+    "pair_annotations",
+    """SELECT 'img_' || o_orderkey AS stem, 'car_' || l_partkey%4 AS name, l_quantity AS xmin, l_quantity+50 AS xmax
+    FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey""",
+)
+def pair_annotations(spark, sf):
+    key = F.col("o_orderkey").cast("string")
+    images = read(spark, sf, "orders").select(F.concat(F.lit("train/img_"), key, F.lit(".jpg")).alias("path"))
+    return S.pair_annotations(images, _annotations(spark, sf)).select("stem", "name", "xmin", "xmax")
+
+
+def _annotations(spark, sf):
+    """One annotation file entry per order, its lines the labelled objects, written and read back."""
     path = scratch(spark, "voc")
-    rows = read(spark, sf, "lineitem").where("l_linenumber = 1")
     box = F.struct(F.col("l_quantity").alias("xmin"), F.lit(1.0).alias("ymin"), (F.col("l_quantity") + 50).alias("xmax"), F.lit(9.0).alias("ymax"))
-    objects = F.array(F.struct(F.concat(F.lit("car_"), (F.col("l_partkey") % 4).cast("string")).alias("name"), box.alias("bndbox")))
+    labelled = F.struct(F.concat(F.lit("car_"), (F.col("l_partkey") % 4).cast("string")).alias("name"), box.alias("bndbox"))
+    rows = read(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.collect_list(labelled).alias("objects"))
     notes = rows.select(
         F.concat(F.lit("img_"), F.col("l_orderkey").cast("string"), F.lit(".jpg")).alias("filename"),
         F.struct(F.lit(640).alias("width"), F.lit(480).alias("height")).alias("size"),
-        objects.alias("object"),
+        F.col("objects").alias("object"),
     )
     notes.write.format("xml").option("rowTag", "annotation").option("rootTag", "annotations").save(path)
-    return S.load_annotations(spark, path).select("stem", "name", "xmin", "xmax", "width")
+    return S.load_annotations(spark, path)
 
 
 @query("load_embeddings", "SELECT vec_id, len(embedding) AS dimensions, CAST(list_sum([CAST(round(CAST(x AS DOUBLE) * 1000000) AS BIGINT) for x in embedding]) AS BIGINT) AS micro_sum FROM embeddings")

@@ -75,15 +75,16 @@ def reference_totals(spark, sf):
     with_tables("vehicle_rows", "vehicle_queries")
     + REFERENCE_SQL
     + f""", q AS (SELECT DISTINCT make, model, {NORM.format('make')} AS mk, {NORM.format('model')} AS mo FROM vehicle_queries),
-    f AS (SELECT {NORM.format('make')} AS mk, {NORM.format('model')} AS nm, model AS model_name, position FROM reference),
-    c AS (SELECT q.make, q.model, f.model_name, row_number() OVER (PARTITION BY q.make, q.model ORDER BY q.mo <> f.nm, position) AS n,
+    f AS (SELECT {NORM.format('make')} AS mk, {NORM.format('model')} AS nm, model AS model_name, array_to_string(years, ',') AS years, position FROM reference),
+    c AS (SELECT q.make, q.model, f.model_name, f.years, row_number() OVER (PARTITION BY q.make, q.model ORDER BY q.mo <> f.nm, position) AS n,
       q.mo = f.nm AS exact FROM q JOIN f ON f.mk = q.mk AND (contains(f.nm, q.mo) OR contains(q.mo, f.nm)) WHERE q.mk <> '' AND q.mo <> '')
     SELECT q.make, q.model, CASE WHEN q.mk = '' OR q.mo = '' THEN 'none' WHEN c.n IS NOT NULL THEN CASE WHEN c.exact THEN 'exact' ELSE 'partial' END
       WHEN q.mk NOT IN (SELECT mk FROM f) THEN 'make_not_found' ELSE 'model_not_found' END AS match_type, c.n IS NOT NULL AS matched,
-      coalesce(c.model_name, '') AS model_name FROM q LEFT JOIN c ON c.make = q.make AND c.model = q.model AND c.n = 1""",
+      coalesce(c.model_name, '') AS model_name, coalesce(c.years, '') AS years FROM q LEFT JOIN c ON c.make = q.make AND c.model = q.model AND c.n = 1""",
 )
 def match_model(spark, sf):
-    return V.match_model(load(spark, sf, "vehicle_queries"), reference(spark, sf)).drop("years")
+    found = V.match_model(load(spark, sf, "vehicle_queries"), reference(spark, sf))
+    return found.withColumn("years", F.coalesce(F.array_join(F.col("years").cast("array<string>"), ","), F.lit("")))
 
 
 _BOTH = "(contains({0}, {1}) OR contains({1}, {0}))"
@@ -240,7 +241,7 @@ def knn_search(spark, sf):
 
 def _readings(spark, sf):
     parts = read(spark, sf, "part").select("p_partkey", "p_brand", "p_name")
-    lines = read(spark, sf, "lineitem").where("l_returnflag <> 'R'")
+    lines = read(spark, sf, "lineitem")
     return (
         lines.join(parts, F.col("l_partkey") == F.col("p_partkey"))
         .groupBy(F.col("l_orderkey").alias("case_id"), F.col("p_brand").alias("make"), F.col("p_name").alias("model"))
@@ -265,7 +266,7 @@ def _vehicle_cases(spark, sf):
     with_tables("vehicle_rows")
     + REFERENCE_SQL
     + f""", rd AS (SELECT l_orderkey AS case_id, p_brand AS make, p_name AS model, max(l_discount*10) AS clip FROM lineitem JOIN part ON p_partkey = l_partkey
-      WHERE l_returnflag <> 'R' GROUP BY ALL),
+      GROUP BY ALL),
     cs AS (SELECT o_orderkey AS case_id, o_custkey AS k, CASE WHEN o_custkey%4=0 THEN '' ELSE 'Brand#' || o_custkey%30 END AS sm,
       CASE WHEN o_custkey%4=1 THEN '' ELSE 'ring' END AS so FROM orders),
     fb AS (SELECT case_id, sm AS make, CASE WHEN so = '' THEN sm ELSE so END AS model FROM cs WHERE case_id NOT IN (SELECT case_id FROM rd) AND (sm <> '' OR so <> '')),
@@ -306,14 +307,16 @@ def rank_vehicle_candidates(spark, sf):
 
 @query(
     "unique_models",
-    """WITH a AS (SELECT p_brand AS make, p_name AS model, 'index' AS source, 0 AS turn, p_partkey AS pos FROM part WHERE p_size < 10
-      UNION ALL SELECT upper(p_brand), upper(p_name), 'reference', 1, p_partkey FROM part)
+    """WITH a AS (SELECT p_brand AS make, p_name AS model, 'index' AS source, 0 AS turn, p_partkey AS pos FROM part
+      UNION ALL SELECT upper(p_brand), upper(CASE WHEN p_size < 10 THEN p_name ELSE p_type END), 'reference', 1, p_partkey FROM part)
     SELECT make, model, source FROM (SELECT *, row_number() OVER (PARTITION BY lower(make), lower(model) ORDER BY turn, pos) AS n FROM a) WHERE n = 1""",
 )
 def unique_models(spark, sf):
     rows = load(spark, sf, "vehicle_rows").withColumn("position", F.col("row_id"))
-    upper = rows.withColumn("make", F.upper("make")).withColumn("model", F.upper("model"))
-    return V.unique_models(("index", rows.where("year < 2000")), ("reference", upper))
+    # The reference names older vehicles as the index does, later ones by their variant.
+    named = F.when(F.col("year") < 2000, F.col("model")).otherwise(F.col("variant"))
+    upper = rows.withColumn("make", F.upper("make")).withColumn("model", F.upper(named))
+    return V.unique_models(("index", rows), ("reference", upper))
 
 
 @query(
