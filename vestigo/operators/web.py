@@ -71,17 +71,27 @@ COMPONENT_TERMS = {
     "capo_dianteiro": "capo dianteiro vincos recorte",
     "tampa_traseira": "tampa traseira recorte placa",
     "design_carroceria": "design carroceria hatch sedan",
-    "tanque_carenagem": "tanque carenagem lateral moto",
-    "rabeta_lanterna": "rabeta e lanterna traseira motocicleta",
-    "escapamento": "escapamento ponteira acabamento moto",
-    "garfo_dianteiro": "garfo dianteiro e suspensao moto",
-    "cabine": "cabine frontal caminhao desenho",
-    "conjunto_optico": "farol dianteiro caminhao assinatura",
-    "eixos_rodado": "quantidade de eixos e rodado",
-    "implemento_traseiro": "implemento traseiro bau carroceria",
+}
+CATEGORY_TERMS = {
+    "AUTOMOVEL": {},
+    "MOTOCICLETA": {
+        "tanque_carenagem": "tanque carenagem lateral moto",
+        "rabeta_lanterna": "rabeta e lanterna traseira motocicleta",
+        "escapamento": "escapamento ponteira acabamento moto",
+        "garfo_dianteiro": "garfo dianteiro e suspensao moto",
+    },
+    "CAMINHAO": {
+        "cabine": "cabine frontal caminhao desenho",
+        "conjunto_optico": "farol dianteiro caminhao assinatura",
+        "eixos_rodado": "quantidade de eixos e rodado",
+        "implemento_traseiro": "implemento traseiro bau carroceria",
+    },
 }
 # Page and confirmation scores.
 PAGE_CAP = 14
+YEAR_BONUS = 1.6
+#: Names meet the words that contain them by their first characters, so many at most.
+NAME_KEY = 6
 CONFIRM_FLOOR, CONFLICT_FLOOR, CATEGORY_BONUS = 7.2, 7.0, 0.8
 
 
@@ -128,24 +138,70 @@ def _page_text() -> Column:
     return norm_upper(F.concat_ws(" ", "title", "snippet", "url"))
 
 
+def _hinted(category: Column, text: Column) -> Column:
+    """Points for the terms of the page's component that its text shows; some count for one category only."""
+    terms = F.lit("")
+    for name, line in COMPONENT_TERMS.items():
+        terms = F.when(F.col("component_hint") == name, norm_upper(F.lit(line))).otherwise(terms)
+    for kind, lines in CATEGORY_TERMS.items():
+        for name, line in lines.items():
+            terms = F.when((category == kind) & (F.col("component_hint") == name), norm_upper(F.lit(line))).otherwise(terms)
+    return F.size(F.filter(F.split(terms, " "), lambda t: (t != "") & text.contains(t))) * 0.8
+
+
+def _naming_pairs(wanted: DataFrame, told: DataFrame) -> DataFrame:
+    """candidate_id, page_id where the page's text may show the maker or a word of the model.
+
+    A name shows where its first word is part of a word of the text. The join runs on the vocabulary:
+    each distinct word is met once by the names it contains, and only then come the pages that use it.
+    """
+    parts = F.filter(F.split("model", " "), lambda t: F.length(t) > 1)
+    head = lambda c: F.substring_index(c, " ", 1)
+    names = F.array_union(F.array(head("maker")), F.when(F.size(parts) > 0, parts).otherwise(F.array(head("model"))))
+    named = wanted.select("candidate_id", F.explode(F.array_distinct(names)).alias("name")).where(F.col("name") != "")
+    used = told.select("page_id", F.explode(F.array_distinct(F.split("text", " "))).alias("word")).where(F.col("word") != "")
+    starts = F.sequence(F.lit(1), F.length("word"))
+    grams = F.flatten(
+        F.transform(starts, lambda i: F.transform(F.sequence(F.lit(1), F.lit(NAME_KEY)), lambda n: F.substring(F.col("word"), i, n)))
+    )
+    keyed_words = used.select("word").distinct().select("word", F.explode(F.array_distinct(grams)).alias("key"))
+    keyed_names = named.select("name").distinct().withColumn("key", F.left("name", F.lit(NAME_KEY)))
+    shown = keyed_words.join(keyed_names, "key").where(F.col("word").contains(F.col("name"))).select("word", "name")
+    on_pages = used.join(shown, "word").select("page_id", "name").distinct()
+    return on_pages.join(named, "name").select("candidate_id", "page_id")
+
+
+def _leading_pairs(wanted: DataFrame, told: DataFrame, cap: int) -> DataFrame:
+    """candidate_id, page_id of the pages that lead without any name: the best of the candidate's category,
+    and of each year in its range. At most `cap` pages for each of 4 categories and 200 years, so these
+    may be broadcast."""
+    kinds = F.explode(F.array(*[F.lit(k) for k in ("", *CATEGORY_TERMS)]))
+    listed = told.withColumn("category", kinds)
+    base = F.col("trust") + _hinted(F.col("category"), F.col("text"))
+    years = F.array_union(F.array(F.lit(0)), F.array_distinct(years_in(F.col("text"))))
+    rows = listed.select("page_id", "category", rnd(base, 3).alias("base"), F.explode(years).alias("year"))
+    best = Window.partitionBy("category", "year").orderBy(F.col("base").desc(), "page_id")
+    leaders = rows.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= cap).select("category", "year", "page_id")
+    kind = F.when(F.col("category").isin(*CATEGORY_TERMS), F.col("category")).otherwise("").alias("category")
+    asked = years_in(F.coalesce("year_hint", F.lit("")))
+    span = F.when(F.size(asked) > 0, F.sequence(F.array_min(asked), F.array_max(asked))).otherwise(F.array().cast("array<int>"))
+    slots = wanted.select("candidate_id", kind, F.explode(F.array_union(F.array(F.lit(0)), span)).alias("year"))
+    return slots.join(F.broadcast(leaders), ["category", "year"]).select("candidate_id", "page_id")
+
+
 def score_pages(candidates: DataFrame, pages: DataFrame, cap: int = PAGE_CAP) -> DataFrame:
-    """Best pages for each candidate. A candidate meets the pages that use the first word of its maker.
+    """Best pages for each candidate, as if it were scored against every page.
 
-    `candidates`: candidate_id, maker, model, year_hint. Only ids take part in the word join; the text
-    is brought in for the pairs found.
+    A page that names neither maker nor model scores by trust, component terms and year alone, so of
+    those only the leaders can be among the best. `candidates`: candidate_id, maker, model, category,
+    year_hint. Ids and scores are ranked; the text is brought back for the winners.
     """
     told = pages.select("page_id", "domain", "trust", "component_hint", _page_text().alias("text"))
-    words = told.select("page_id", F.explode(F.array_distinct(F.split("text", " "))).alias("word"))
     wanted = candidates.select(
-        "candidate_id", norm_upper(F.col("maker")).alias("maker"), norm_upper(F.col("model")).alias("model"), "year_hint"
+        "candidate_id", norm_upper(F.col("maker")).alias("maker"), norm_upper(F.col("model")).alias("model"), "category", "year_hint"
     )
-    keyed = wanted.where(F.col("maker") != "").select("candidate_id", F.substring_index("maker", " ", 1).alias("word"))
-    pairs = words.join(keyed, "word").select("candidate_id", "page_id")
+    pairs = _naming_pairs(wanted, told).unionByName(_leading_pairs(wanted, told, cap)).distinct()
     text, model = F.col("text"), F.col("model")
-    terms = F.lit(None).cast("string")
-    for name, line in COMPONENT_TERMS.items():
-        terms = F.when(F.col("component_hint") == name, norm_upper(F.lit(line))).otherwise(terms)
-    hinted = F.size(F.filter(F.split(F.coalesce(terms, F.lit("")), " "), lambda t: (t != "") & text.contains(t)))
     tokens = F.filter(F.split(model, " "), lambda t: (F.length(t) > 1) & text.contains(t))
     years = years_in(F.coalesce("year_hint", F.lit("")))
     low, high = F.array_min(years), F.array_max(years)
@@ -154,14 +210,15 @@ def score_pages(candidates: DataFrame, pages: DataFrame, cap: int = PAGE_CAP) ->
         F.col("trust")
         + F.when((F.col("maker") != "") & text.contains(F.col("maker")), 4.0).otherwise(0.0)
         + F.when((model != "") & text.contains(model), 6.0).otherwise(F.size(tokens) * 1.4)
-        + hinted * 0.8
-        + F.when(F.size(years) > 0, F.when(dated, 1.6).otherwise(0.0)).otherwise(0.0)
+        + _hinted(F.col("category"), text)
+        + F.when(F.size(years) > 0, F.when(dated, YEAR_BONUS).otherwise(0.0)).otherwise(0.0)
     )
     scored = pairs.join(wanted, "candidate_id").join(told, "page_id").select(
-        "candidate_id", "maker", "model", "page_id", "domain", rnd(score, 3).alias("score"), "text"
+        "candidate_id", "maker", "model", "page_id", "domain", rnd(score, 3).alias("score")
     )
     best = Window.partitionBy("candidate_id").orderBy(F.col("score").desc(), "page_id")
-    return scored.withColumn("rank", F.row_number().over(best).cast("bigint")).where(F.col("rank") <= cap)
+    top = scored.withColumn("rank", F.row_number().over(best).cast("bigint")).where(F.col("rank") <= cap)
+    return top.join(told.select("page_id", "text"), "page_id")
 
 
 def web_confirmation(candidates: DataFrame, scored: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from vestigo.operators import hypotheses as H, web as W
 from vestigo.plans.derived import add, load, read, with_tables
 from vestigo.plans.history import _HOST, _NORM_UPPER
 from vestigo.plans.registry import query, r, xsum
+from vestigo.session import stash
 
 _HYP = ["l_orderkey AS case_id", "(CAST(l_linenumber AS BIGINT)*10000000+l_partkey)*100000+l_suppkey AS hyp_id", "l_partkey", "l_suppkey", "l_discount*1000 AS confidence"]
 add(
@@ -228,47 +229,85 @@ def component_matches(spark, sf):
     return _evaluated(spark, sf).select("case_id", "maker", "model", "matches", "mismatches", "limited", "mismatch_count")
 
 
-FINAL_SQL = (
-    CHECKS_SQL
-    + f""", fr AS (SELECT c.case_id, c.maker, c.model, c.synthetic, c.category_conf, l.mismatch_count,
-      {r('''greatest(0.0, least(99.0, c.base_conf*0.56 + coalesce(a.component_conf, 0.0)*0.44 + ''' + r('least(4.8, greatest(0.6, c.category_conf/22.0))', 2) +
+_OWN_BLEND = "c.base_conf*0.56 + coalesce(a.component_conf, 0.0)*0.44"
+_WEB_BLEND = """c.base_conf*0.34::DOUBLE + coalesce(a.component_conf, 0.0)*0.33::DOUBLE + coalesce(web_score, 0)*0.33::DOUBLE
+  + coalesce(confirmation_count, 0)*2.0::DOUBLE - coalesce(conflict_count, 0)*2.2::DOUBLE"""
+_WEB_ANSWERS = [
+    "case_id",
+    "maker",
+    "model",
+    "CAST(length(model)*7%100 AS DOUBLE) AS web_score",
+    "CAST(length(concat(maker, model))%4 AS BIGINT) AS confirmation_count",
+    "CAST(length(model)%3 AS BIGINT) AS conflict_count",
+]
+
+
+def _final_sql(blend: str, web: str = "(SELECT NULL::BIGINT AS case_id, '' AS maker, '' AS model, 0 AS confirmation_count, 0 AS conflict_count)") -> str:
+    return CHECKS_SQL + f""", web AS (SELECT * FROM {web}), fr AS (SELECT c.case_id, c.maker, c.model, c.synthetic, c.category_conf, l.mismatch_count,
+      coalesce(confirmation_count, 0) AS confirmation_count, coalesce(conflict_count, 0) AS conflict_count,
+      {r('greatest(0.0, least(99.0, ' + blend + ' + ' + r('least(4.8, greatest(0.6, c.category_conf/22.0))', 2) +
       ''' - (CASE WHEN l.mismatch_count >= 3 THEN 5.0 ELSE 0.0 END) - (CASE WHEN c.synthetic THEN 10.0 ELSE 0.0 END)))''', 2)} AS final_conf
-      FROM cand c LEFT JOIN align a USING (case_id, maker, model) LEFT JOIN lists l USING (case_id, maker, model)),
+      FROM cand c LEFT JOIN align a USING (case_id, maker, model) LEFT JOIN lists l USING (case_id, maker, model)
+      LEFT JOIN web USING (case_id, maker, model)),
     fk AS (SELECT *, row_number() OVER w AS rank, lead(final_conf) OVER w AS next_conf FROM fr WINDOW w AS (PARTITION BY case_id ORDER BY final_conf DESC, maker, model))"""
-)
+
+
+FINAL_SQL = _final_sql(_OWN_BLEND)
+WEB_FINAL_SQL = _final_sql(_WEB_BLEND, f"(SELECT {', '.join(_WEB_ANSWERS)} FROM cand WHERE length(model)%5 <> 0)")
 
 
 def _final(spark, sf):
     return H.final_candidate_rank(_evaluated(spark, sf), categories(spark, sf))
 
 
-@query(
-    "final_candidate_rank",
-    FINAL_SQL
-    + f""" SELECT case_id, maker, model, final_conf, {r('coalesce(final_conf-next_conf, 99.0)', 2)} AS gap,
-    CASE WHEN final_conf < 80 OR coalesce(final_conf-next_conf, 99.0) < 6 OR category_conf < 52 THEN 'incerto' ELSE 'ok' END AS status FROM fk WHERE rank = 1""",
+def _final_with_web(spark, sf):
+    """As if the web had been asked about the candidates; about some of them it is silent."""
+    evaluated = stash(_evaluated(spark, sf), "evaluated")
+    answers = evaluated.where("length(model)%5 <> 0").selectExpr(*_WEB_ANSWERS)
+    return H.final_candidate_rank(evaluated, categories(spark, sf), answers)
+
+
+_VERDICT = (
+    f""" SELECT case_id, maker, model, final_conf, {r('coalesce(final_conf-next_conf, 99.0)', 2)} AS gap,
+    CASE WHEN final_conf < 80 OR coalesce(final_conf-next_conf, 99.0) < 6 OR category_conf < 52 THEN 'incerto' ELSE 'ok' END AS status FROM fk WHERE rank = 1"""
 )
+
+
+@query("final_candidate_rank", FINAL_SQL + _VERDICT)
 def final_candidate_rank(spark, sf):
     return H.case_verdict(_final(spark, sf))
 
 
-@query(
-    "discarded_reasons",
-    FINAL_SQL
-    + """, b AS (SELECT case_id, final_conf AS best FROM fk WHERE rank = 1), d AS (SELECT k.*, b.best, concat_ws(',',
+@query("final_candidate_rank_web", WEB_FINAL_SQL + _VERDICT)
+def final_candidate_rank_web(spark, sf):
+    return H.case_verdict(_final_with_web(spark, sf))
+
+
+_REASONS = (
+    """, b AS (SELECT case_id, final_conf AS best, confirmation_count AS hits FROM fk WHERE rank = 1), d AS (SELECT k.*, b.best, b.hits, concat_ws(',',
       CASE WHEN final_conf <= best-6 THEN 'confianca_global_inferior_ao_melhor_candidato' END,
       CASE WHEN mismatch_count > 0 THEN 'divergencia_de_componentes_visuais' END,
+      CASE WHEN k.confirmation_count < hits THEN 'menos_confirmacoes_independentes' END,
+      CASE WHEN k.conflict_count > 0 THEN 'conflito_com_modelos_semelhantes' END,
       CASE WHEN synthetic THEN 'candidato_expandido_por_semelhanca_sem_confirmacao_suficiente' END) AS rs FROM fk k JOIN b USING (case_id) WHERE rank BETWEEN 2 AND 6)
-    SELECT case_id, maker, model, rank, final_conf, CASE WHEN rs = '' AND final_conf < 55 THEN 'baixo_desempenho_no_ranqueamento_cruzado' ELSE rs END AS reasons FROM d""",
+    SELECT case_id, maker, model, rank, final_conf, CASE WHEN rs = '' AND final_conf < 55 THEN 'baixo_desempenho_no_ranqueamento_cruzado' ELSE rs END AS reasons FROM d"""
 )
+
+
+@query("discarded_reasons", FINAL_SQL + _REASONS)
 def discarded_reasons(spark, sf):
     return H.discarded_reasons(_final(spark, sf))
 
 
+@query("discarded_reasons_web", WEB_FINAL_SQL + _REASONS)
+def discarded_reasons_web(spark, sf):
+    return H.discarded_reasons(_final_with_web(spark, sf))
+
+
 # -- web evidence ------------------------------------------------------------------------------
 
 _TRUST = {"example.org": 3.1, "example.com": 2.0}
-_HINTS = ["geral", "farois_dianteiros", "grade_dianteira"]
+_HINTS = ["geral", "farois_dianteiros", "grade_dianteira", "tanque_carenagem", "cabine"]
 
 
 def _trust_sql(domain: str) -> str:
@@ -279,20 +318,20 @@ def _trust_sql(domain: str) -> str:
 
 _PAGES_SQL = f"""WITH p0 AS (SELECT page_id, trim(url) AS url, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title,
     regexp_replace(html, '<[^>]*>', ' ', 'g') AS snippet,
-    CASE page_id%3 WHEN 0 THEN 'geral' WHEN 1 THEN 'farois_dianteiros' ELSE 'grade_dianteira' END AS component_hint FROM pages),
+    ['geral', 'farois_dianteiros', 'grade_dianteira', 'tanque_carenagem', 'cabine'][1+page_id%5] AS component_hint FROM pages),
   p1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY page_id) AS n FROM p0) WHERE n = 1),
   p2 AS (SELECT *, {_HOST} AS domain FROM p1), p3 AS (SELECT *, {_trust_sql('domain')} AS trust FROM p2),
   kept AS (SELECT * FROM p3 WHERE trust > 0 OR {' OR '.join(f"contains({_NORM_UPPER.format(chr(116) + 'itle || chr(32) || snippet')}, '{w}')" for w in W.SPECIALIST_WORDS)})"""
 
 
 def _pages(spark, sf):
-    k = F.col("page_id") % 3
+    hints = F.array(*[F.lit(h) for h in _HINTS])
     return read(spark, sf, "pages").select(
         "page_id",
         "url",
         F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"),
         F.regexp_replace("html", "<[^>]*>", " ").alias("snippet"),
-        F.when(k == 0, _HINTS[0]).when(k == 1, _HINTS[1]).otherwise(_HINTS[2]).alias("component_hint"),
+        F.get(hints, (F.col("page_id") % 5).cast("int")).alias("component_hint"),
     )
 
 
@@ -313,10 +352,12 @@ _WEB_SQL = (
     wn AS (SELECT *, CASE WHEN candidate_id%2=0 THEN '2000-' || (2005+candidate_id%20) ELSE '' END AS year_hint,
       CASE candidate_id%3 WHEN 0 THEN 'AUTOMOVEL' WHEN 1 THEN 'MOTOCICLETA' ELSE 'CAMINHAO' END AS category FROM wc),
     tx AS (SELECT page_id, domain, trust, component_hint, {_NORM_UPPER.format("(title || ' ' || snippet || ' ' || url)")} AS text FROM kept),
-    pr AS (SELECT w.*, t.* FROM wn w JOIN tx t ON list_contains(string_split(t.text, ' '), w.maker)),
+    pr AS (SELECT w.*, t.* FROM wn w, tx t),
     sp AS (SELECT candidate_id, maker, model, category, page_id, domain, text, {r('''trust + (CASE WHEN contains(text, maker) THEN 4 ELSE 0 END)::DOUBLE +
       (CASE WHEN contains(text, model) THEN 6 ELSE 0 END)::DOUBLE +
-      len(list_filter(string_split(CASE component_hint WHEN 'farois_dianteiros' THEN 'FAROL DIANTEIRO ASSINATURA OPTICA' WHEN 'grade_dianteira' THEN 'GRADE DIANTEIRA DESENHO FRONTAL' ELSE '' END, ' '),
+      len(list_filter(string_split(CASE component_hint WHEN 'farois_dianteiros' THEN 'FAROL DIANTEIRO ASSINATURA OPTICA' WHEN 'grade_dianteira' THEN 'GRADE DIANTEIRA DESENHO FRONTAL'
+        WHEN 'tanque_carenagem' THEN CASE WHEN category = 'MOTOCICLETA' THEN 'TANQUE CARENAGEM LATERAL MOTO' ELSE '' END
+        WHEN 'cabine' THEN CASE WHEN category = 'CAMINHAO' THEN 'CABINE FRONTAL CAMINHAO DESENHO' ELSE '' END ELSE '' END, ' '),
         lambda x: x <> '' AND contains(text, x)))*0.8::DOUBLE + (CASE WHEN year_hint <> '' AND len(list_filter(regexp_extract_all(text, '(19\\d{2}|20\\d{2})', 1),
         lambda y: y::INT >= 2000 AND y::INT <= split_part(year_hint, '-', 2)::INT)) > 0 THEN 1.6 ELSE 0 END)::DOUBLE''', 3)} AS score FROM pr),
     sr AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY candidate_id ORDER BY score DESC, page_id) AS rank FROM sp) WHERE rank <= 14)"""
