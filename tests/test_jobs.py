@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 import hashlib
 import hmac
 import random
@@ -12,8 +13,10 @@ from pyspark.sql import Window, functions as F
 
 from vestigo.functions.plates import norm_plate, pattern_quality, spaceless, with_validation
 from vestigo.functions.times import minute_range
-from vestigo.operators import detections as D, fusion as U, integrity as I, vehicles as V, video as T
+from vestigo.operators import bench as B, detections as D, fusion as U, integrity as I, prep as N, vehicles as V, video as T, web as P
 from vestigo.operators.spread import spread_quantiles, spread_rank
+from vestigo.session import checkpoint_dir
+from vestigo.streaming import events as E
 
 
 def boxes(spark, images=3, n=60, seed=1):
@@ -232,3 +235,83 @@ def test_tracks_follow_the_last_box(spark):
     )
     got = T.track_vehicles(df).orderBy("track_id").collect()
     assert [(r.track_id, r.consolidated_plate, r.detections_count, r.end_seconds) for r in got] == [(1, "P", 5, 4.0), (2, "Q", 1, 9.0)]
+
+
+def _case(spark, **changes):
+    fields = dict(
+        evidence_id=1, kind="image", stage="final", source_exists=True, derived=1, frames=0, targets=0, has_consensus=True,
+        crop_raw="c.jpg", crop_treated="", review_required=False,
+    )
+    return spark.createDataFrame([tuple((fields | changes).values())], ", ".join(
+        f"{n} {'boolean' if isinstance(v, bool) else 'long' if isinstance(v, int) else 'string'}" for n, v in fields.items()
+    ))
+
+
+def test_manifest_covers_content_label_path_order_and_case(spark):
+    schema = "evidence_id long, pos long, path string, label string, digest string"
+    rows = [(1, i, f"out/{i}.jpg", "crop", hashlib.sha256(b"%d" % i).hexdigest()) for i in range(40)]
+
+    def print_of(rows, **changes):
+        found = I.manifest_fingerprint(_case(spark, **changes), spark.createDataFrame(rows, schema)).first()
+        return found.artifact_count, found.fingerprint
+
+    count, whole = print_of(rows)
+    assert count == 40 and print_of(rows[::-1]) == (40, whole)
+    # a later artifact of a known path does not count
+    assert print_of([*rows, (1, 99, "out/0.jpg", "other", "")]) == (40, whole)
+    moved = [(*rows[0][:1], 1, *rows[0][2:]), (*rows[1][:1], 0, *rows[1][2:]), *rows[2:]]
+    others = [moved, *[[(*rows[0][:i], "x", *rows[0][i + 1 :]), *rows[1:]] for i in (2, 3, 4)]]
+    prints = [print_of(o)[1] for o in others] + [print_of(rows, review_required=True)[1], print_of(rows, crop_raw="d.jpg")[1]]
+    assert len({whole, *prints}) == 1 + len(prints)
+    assert print_of([])[0] == 0
+
+
+def test_split_follows_the_order_under_one_root(spark):
+    paths = [f"s3a://store/one/root/{i:05d}.jpg" for i in range(997)] + ["s3a://store/one/root/00003.jpg"] * 3
+    items = spark.createDataFrame([(p,) for p in paths], "path string").repartition(5)
+    got = sorted((r.position, r.path, r.split) for r in N.split_dataset(items, "path").collect())
+    assert [p for _, p, _ in got] == sorted(paths) and [n for n, _, _ in got] == list(range(1, 1001))
+    assert [s for _, _, s in got] == ["train"] * 750 + ["val"] * 150 + ["test"] * 100
+
+
+def test_pages_equal_scoring_against_every_page(spark):
+    rng = random.Random(5)
+    words = ["FIAT", "UNO", "FIATUNO", "MOTO", "X", "TANQUE", "CABINE", "GOL", "2004", "2011", "PALIO WEEKEND", "GRADE", "DESENHO"]
+    pages = [
+        (i, f"http://d{i}.org", f"d{i}.org", rng.choice([0.0, 2.0, 3.5]), rng.choice(["geral", "grade_dianteira", "tanque_carenagem", "cabine"]),
+         " ".join(rng.choices(words, k=2)), " ".join(rng.choices(words, k=rng.randint(0, 4))))
+        for i in range(150)
+    ]
+    table = spark.createDataFrame(pages, "page_id long, url string, domain string, trust double, component_hint string, title string, snippet string")
+    cars = [
+        (1, "Fiat", "Uno", "AUTOMOVEL", "2003-2005"), (2, "Fiat", "Palio Weekend", "MOTOCICLETA", ""), (3, "", "X", "CAMINHAO", "2010"),
+        (4, "Nobody", "Nothing", "MOTOCICLETA", "2000-2020"), (5, "Gol", "", "OTHER", None), (6, None, None, None, None),
+    ]
+    wanted = spark.createDataFrame(cars, "candidate_id long, maker string, model string, category string, year_hint string")
+    got = sorted((r.candidate_id, r["rank"], r.page_id, r.score) for r in P.score_pages(wanted, table).collect())
+    # With as many places as pages, every page is a leader, so each pair is scored.
+    every = P.score_pages(wanted, table, cap=150).collect()
+    assert len(every) == 6 * 150
+    assert got == sorted((r.candidate_id, r["rank"], r.page_id, r.score) for r in every if r["rank"] <= 14)
+    want = {}
+    for i, url, _, trust, hint, title, snippet in pages:
+        text = f"{title} {snippet} {url.upper()}".replace("://", " ").upper()
+        score = trust + (4 if "FIAT" in text else 0) + (6 if "UNO" in text else 0) + (1.6 if "2004" in text else 0)
+        terms = {"grade_dianteira": ("GRADE", "DIANTEIRA", "DESENHO", "FRONTAL")}.get(hint, ())
+        want[i] = round(score + 0.8 * sum(t in text for t in terms), 3)
+    assert {r.page_id: r.score for r in every if r.candidate_id == 1} == want
+
+
+def test_stream_windows_add_up_over_micro_batches(spark):
+    base = f"{checkpoint_dir(spark)}/windows-test-{random.random()}"
+    start = datetime.datetime(2024, 1, 1, 10)
+    rows = [(f"t{i % 2}", start + datetime.timedelta(minutes=20 * (i // 2))) for i in range(24)]
+    frames = spark.createDataFrame(rows, "event_type string, event_time timestamp")
+    for i in range(3):  # one file after another
+        frames.where(F.hour("event_time") % 3 == (i + 1) % 3).coalesce(1).write.mode("append").parquet(f"{base}/in")
+    stream = spark.readStream.schema(frames.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    E.write_upsert(E.audit_windows(stream, lateness="1 day"), f"{base}/out", f"{base}/ckpt").awaitTermination()
+    got = E.latest_rows(spark.read.parquet(f"{base}/out"), ["window_start", "event_type"])
+    want = B.audit_rollup(frames)
+    key = lambda df: sorted((r.window_start, r.event_type, r.events) for r in df.collect())
+    assert key(got) == key(want) and len(key(got)) == 8

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
+from vestigo.functions.numbers import rnd
 from vestigo.operators import bench as B, integrity as I, webhooks as K
 from vestigo.plans.bench import catalog
 from vestigo.plans.derived import add, load, read, with_tables
@@ -305,28 +306,32 @@ def _drain(spark, stream, name):
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
 
 
-# A window is final once the watermark, ten minutes behind the latest event, has passed its end.
-_FINAL = "(SELECT max(ts) FROM events) - INTERVAL 10 MINUTE"
+def _drain_windows(spark, stream, name, keys):
+    """All windows of a finite run, the last ones as they stand when the input ends."""
+    base = scratch(spark, name)
+    _run(E.write_upsert(stream, f"{base}/out", f"{base}/ckpt"))
+    columns = T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])
+    done = E.latest_rows(spark.read.schema(columns).parquet(f"{base}/out"), keys)
+    return done.withColumn("window_start", F.col("window_start").cast("bigint"))
 
 
 @query(
     "minute_windows",
-    f"""SELECT user_id AS video_id, event_type AS text, epoch_us(date_trunc('minute', ts))//1000000 AS window_start, count(*) AS frames, max(value) AS best_confidence
-    FROM events WHERE date_trunc('minute', ts) + INTERVAL 1 MINUTE <= {_FINAL} GROUP BY ALL""",
+    """SELECT user_id AS video_id, event_type AS text, epoch_us(date_trunc('minute', ts))//1000000 AS window_start, count(*) AS frames, max(value) AS best_confidence
+    FROM events GROUP BY ALL""",
 )
 def minute_windows(spark, sf):
     frames = _event_stream(spark, sf).select(F.col("user_id").alias("video_id"), F.col("event_type").alias("text"), "event_time", F.col("value").alias("confidence"))
-    return _drain(spark, E.minute_windows(frames), "minutes").withColumn("window_start", F.col("window_start").cast("bigint"))
+    return _drain_windows(spark, E.minute_windows(frames), "minutes", ["video_id", "text", "window_start"])
 
 
 @query(
     "audit_windows_stream",
-    f"""SELECT epoch_us(date_trunc('hour', ts))//1000000 AS window_start, event_type, count(*) AS events FROM events
-    WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= {_FINAL} GROUP BY ALL""",
+    """SELECT epoch_us(date_trunc('hour', ts))//1000000 AS window_start, event_type, count(*) AS events FROM events GROUP BY ALL""",
 )
 def audit_windows_stream(spark, sf):
     log = _event_stream(spark, sf).select("event_type", "event_time")
-    return _drain(spark, E.audit_windows(log), "audit").withColumn("window_start", F.col("window_start").cast("bigint"))
+    return _drain_windows(spark, E.audit_windows(log), "audit", ["window_start", "event_type"])
 
 
 @query("open_requests_stream")
@@ -340,15 +345,15 @@ def open_requests_stream(spark, sf):
 
 @query(
     "latency_windows_stream",
-    f"""SELECT event_type AS stage, epoch_us(date_trunc('hour', ts))//1000000 AS window_start, count(*) AS n, count(*) FILTER (user_id%10=0) AS errors FROM events
-    WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= {_FINAL} GROUP BY ALL""",
+    f"""SELECT event_type AS stage, epoch_us(date_trunc('hour', ts))//1000000 AS window_start, count(*) AS n, count(*) FILTER (user_id%10=0) AS errors,
+      {r('avg(value)', 4)} AS mean_ms FROM events GROUP BY ALL""",
 )
 def latency_windows_stream(spark, sf):
     spans = _event_stream(spark, sf).select(
         F.col("event_type").alias("stage"), "event_time", F.col("value").alias("duration_ms"), F.when(F.col("user_id") % 10 == 0, "error").otherwise("ok").alias("status")
     )
-    done = _drain(spark, E.latency_windows(spans), "latency")
-    return done.select("stage", F.col("window_start").cast("bigint").alias("window_start"), "n", "errors")
+    done = _drain_windows(spark, E.latency_windows(spans), "latency", ["stage", "window_start"])
+    return done.select("stage", "window_start", "n", "errors", rnd(F.col("mean_ms"), 4).alias("mean_ms"))
 
 
 @query("track_vehicles_stream", TRACK_SQL + " SELECT video_id, det_id, track AS track_id FROM t")

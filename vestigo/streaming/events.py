@@ -120,6 +120,25 @@ def write_append(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuer
     return writer.trigger(availableNow=True).start(path)
 
 
+def write_upsert(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Write each aggregate row whenever it changes, so windows still open at the end of the input are there, too.
+
+    Each micro-batch lands in its own folder, which a retry writes over; `latest_rows` gives the table.
+    """
+
+    def land(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    writer = stream.writeStream.outputMode("update").foreachBatch(land).option("checkpointLocation", checkpoint)
+    return writer.trigger(availableNow=True).start()
+
+
+def latest_rows(landed: DataFrame, keys: list[str]) -> DataFrame:
+    """The last state of each key over the landed micro-batches."""
+    rest = [c for c in landed.columns if c not in (*keys, "batch")]
+    return landed.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_r")).select(*keys, "_r.*")
+
+
 def intake(raw: DataFrame, events: str, rejects: str, checkpoint: str, secret: str = "", token: str = "", prefix: str = "") -> StreamingQuery:
     """Checked webhook bodies to an event log, the rest to a reject table.
 
