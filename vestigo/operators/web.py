@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from vestigo.functions.numbers import clamp, rnd
 from vestigo.functions.text import host_of, norm_upper, years_in
+from vestigo.operators.spread import settle
+from vestigo.session import stash
 
 # Trust of makers' own domains and of specialist ones.
 BRAND_TRUST, FORUM_TRUST = 5.0, 2.8
@@ -90,6 +92,8 @@ CATEGORY_TERMS = {
 # Page and confirmation scores.
 PAGE_CAP = 14
 YEAR_BONUS = 1.6
+#: Categories with terms of their own, and all others.
+KINDS = ("", *CATEGORY_TERMS)
 #: Names meet the words that contain them by their first characters, so many at most.
 NAME_KEY = 6
 CONFIRM_FLOOR, CONFLICT_FLOOR, CATEGORY_BONUS = 7.2, 7.0, 0.8
@@ -138,6 +142,10 @@ def _page_text() -> Column:
     return norm_upper(F.concat_ws(" ", "title", "snippet", "url"))
 
 
+def _base(kind: str) -> str:
+    return f"base_{kind.lower()}"
+
+
 def _hinted(category: Column, text: Column) -> Column:
     """Points for the terms of the page's component that its text shows; some count for one category only."""
     terms = F.lit("")
@@ -175,11 +183,9 @@ def _leading_pairs(wanted: DataFrame, told: DataFrame, cap: int) -> DataFrame:
     """candidate_id, page_id of the pages that lead without any name: the best of the candidate's category,
     and of each year in its range. At most `cap` pages for each of 4 categories and 200 years, so these
     may be broadcast."""
-    kinds = F.explode(F.array(*[F.lit(k) for k in ("", *CATEGORY_TERMS)]))
-    listed = told.withColumn("category", kinds)
-    base = F.col("trust") + _hinted(F.col("category"), F.col("text"))
-    years = F.array_union(F.array(F.lit(0)), F.array_distinct(years_in(F.col("text"))))
-    rows = listed.select("page_id", "category", rnd(base, 3).alias("base"), F.explode(years).alias("year"))
+    kinds = F.array(*[F.struct(F.lit(k).alias("category"), rnd(F.col(_base(k)), 3).alias("base")) for k in KINDS])
+    years = F.array_union(F.array(F.lit(0)), F.col("years"))
+    rows = told.select("page_id", F.explode(years).alias("year"), kinds.alias("k")).select("page_id", "year", F.inline("k"))
     best = Window.partitionBy("category", "year").orderBy(F.col("base").desc(), "page_id")
     leaders = rows.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= cap).select("category", "year", "page_id")
     kind = F.when(F.col("category").isin(*CATEGORY_TERMS), F.col("category")).otherwise("").alias("category")
@@ -196,7 +202,10 @@ def score_pages(candidates: DataFrame, pages: DataFrame, cap: int = PAGE_CAP) ->
     those only the leaders can be among the best. `candidates`: candidate_id, maker, model, category,
     year_hint. Ids and scores are ranked; the text is brought back for the winners.
     """
-    told = pages.select("page_id", "domain", "trust", "component_hint", _page_text().alias("text"))
+    # Cleaning a page, finding its years and its terms is done once, not for each pair.
+    read = settle(pages.select("page_id", "domain", "trust", "component_hint", _page_text().alias("text")), "text")
+    bases = [(F.col("trust") + _hinted(F.lit(k), F.col("text"))).alias(_base(k)) for k in KINDS]
+    told = stash(read.select("page_id", "domain", "text", F.array_distinct(years_in(F.col("text"))).alias("years"), *bases), "told-pages")
     wanted = candidates.select(
         "candidate_id", norm_upper(F.col("maker")).alias("maker"), norm_upper(F.col("model")).alias("model"), "category", "year_hint"
     )
@@ -205,12 +214,14 @@ def score_pages(candidates: DataFrame, pages: DataFrame, cap: int = PAGE_CAP) ->
     tokens = F.filter(F.split(model, " "), lambda t: (F.length(t) > 1) & text.contains(t))
     years = years_in(F.coalesce("year_hint", F.lit("")))
     low, high = F.array_min(years), F.array_max(years)
-    dated = F.exists(years_in(text), lambda y: (y >= low) & (y <= high))
+    dated = F.exists("years", lambda y: (y >= low) & (y <= high))
+    base = F.col(_base(""))
+    for kind in CATEGORY_TERMS:
+        base = F.when(F.col("category") == kind, F.col(_base(kind))).otherwise(base)
     score = (
-        F.col("trust")
+        base
         + F.when((F.col("maker") != "") & text.contains(F.col("maker")), 4.0).otherwise(0.0)
         + F.when((model != "") & text.contains(model), 6.0).otherwise(F.size(tokens) * 1.4)
-        + _hinted(F.col("category"), text)
         + F.when(F.size(years) > 0, F.when(dated, YEAR_BONUS).otherwise(0.0)).otherwise(0.0)
     )
     scored = pairs.join(wanted, "candidate_id").join(told, "page_id").select(
