@@ -308,3 +308,34 @@ def test_pipeline_against_plain_stages(spark):
     assert {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()} == heads
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001").toPandas()
     assert {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"} <= set(out.columns) and len(out) > 0
+
+
+@pytest.mark.parametrize("least", [4, 10])
+def test_line_dedup_inside_lines(spark, least):
+    """Passages that begin or end inside a line, against all runs of words."""
+    draw = random.Random(11)
+    passages = [[draw.choice("abcde") for _ in range(draw.randint(least, 3 * least))] for _ in range(12)]
+
+    def text():
+        words = [x for _ in range(draw.randint(0, 4)) for x in (draw.choice(passages)[draw.randint(0, 2) :] + [draw.choice("vwxyz")])]
+        return "".join(w + draw.choice([" ", " ", "  ", "\n", " \n\n"]) for w in words)
+
+    rows = [(i, text()) for i in range(150)]
+    first, gone = {}, {i: set() for i, _ in rows}
+    for i, t in rows:
+        words = t.split()
+        for a in range(len(words) - least + 1):
+            if first.setdefault(tuple(words[a : a + least]), (i, a)) != (i, a):
+                gone[i].update(range(a, a + least))
+    want = {i: [w for k, w in enumerate(t.split()) if k not in gone[i]] for i, t in rows}
+    assert any(0 < len(want[i]) < len(t.split()) for i, t in rows)
+    found = linededup.without_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(8), least).collect()
+    assert {r.doc_id: r.text.split() for r in found} == want
+    assert all((r._cut > 0) == bool(gone[r.doc_id]) for r in found)
+
+
+def test_line_dedup_cuts_words_in_place():
+    text = b"  m x y  z n \n x y z\n\nx\nq  r "
+    assert linededup.without_words(text, [(1, 4)]) == (b"  m n \n x y z\n\nx\nq  r ", 1)
+    assert linededup.without_words(text, [(0, 4)]) == (b"n \n x y z\n\nx\nq  r ", 1)
+    assert linededup.without_words(text, [(4, 10)]) == (b"  m x y  z\nr ", 4)

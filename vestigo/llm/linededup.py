@@ -1,145 +1,216 @@
-"""Removal of repeated passages by winnowing over line hashes.
-
-A window is the shortest run of whole lines with at least `min_words` words, once reckoned forward
-from each line and once backward. The line with the smallest hash in a window (the last of equals) is its
-fingerprint, so documents that share a passage of that length share a fingerprint at the same line of it.
-Positions whose fingerprint occurs more than once are joined; there the windows around them are compared
-as a whole, and since every line of a shared passage lies in a forward or a backward window of it, matches
-reach as far both ways as the passages agree. All but the first occurrence of each window are deleted.
+"""Removal of repeated passages by winnowing over words.
+
+A window is a run of `min_words` words. Its fingerprint is the smallest hash of the word k-grams in it (the
+last of equals), so a window has the same one at the same word of it wherever it stands. Neighbouring windows
+mostly share their minimum: a selection is one such minimum with the stretch of words that its windows
+cover, and only selections are written. Places with the same fingerprint meet; stretches equal as
+a whole are settled at once, and where stretches of a fingerprint differ, one of each kind is compared
+window by window, so matches reach word by word as far both ways as the passages agree. All but
+the first occurrence of each window are deleted, wherever in a line they begin or end.
 """
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import arrow_udf
 
 from vestigo.session import stash
 
-#: A repeated run of whole lines goes if it has so many words.
+#: A repeated passage goes if it has so many words.
 MIN_WORDS = 50
-
-
-def windows_of(lines: list[bytes], min_words: int) -> list[tuple[int, int]]:
-    """(first, last) line of every forward and backward window, each once; blank lines start and end none."""
-    counts = [len(line.split()) for line in lines]
-    places = [i for i, c in enumerate(counts) if c]
-    found = set()
-    end, total = 0, 0
-    for k, i in enumerate(places):  # forward: drop the line before, then take lines until enough
-        if k:
-            total -= counts[places[k - 1]]
-        while total < min_words and end < len(places):
-            total += counts[places[end]]
-            end += 1
-        if total < min_words:
-            break
-        found.add((i, places[end - 1]))
-    start, total = len(places) - 1, 0
-    for k in range(len(places) - 1, -1, -1):  # backward
-        if k + 1 < len(places):
-            total -= counts[places[k + 1]]
-        while total < min_words and start >= 0:
-            total += counts[places[start]]
-            start -= 1
-        if total < min_words:
-            break
-        found.add((places[start + 1], places[k]))
-    return sorted(found)
+_WORD = re.compile(rb"\S+")
+#: Odd multipliers of the two rolling hashes, and their inverses.
+_BASES = [0x9E3779B97F4A7C15 ^ 0x6, 0xC2B2AE3D27D4EB4F ^ 0x4]
+_INVERSES = [pow(b, -1, 1 << 64) for b in _BASES]
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
+    return x ^ (x >> np.uint64(33))
+
+
+class Words:
+    """A text's words (runs without ASCII white space) with 2 x 64-bit hashes of any runs of them."""
+
+    def __init__(self, text: bytes, min_words: int):
+        words = text.split()
+        self.n = len(words)
+        if self.n < min_words:
+            return
+        own = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, self.n)
+        self._sums, self._back = [], []
+        for base, inverse in zip(_BASES, _INVERSES):
+            powers = np.full(self.n, base, np.uint64)
+            back = np.full(self.n, inverse, np.uint64)
+            powers[0] = back[0] = 1
+            own = _mix(own)
+            self._sums.append(np.concatenate([np.zeros(1, np.uint64), np.cumsum(own * np.cumprod(powers))]))
+            self._back.append(np.cumprod(back))
+
+    def hashes(self, start: np.ndarray, stop: np.ndarray) -> list[np.ndarray]:
+        """Of words start to stop - 1."""
+        length = (stop - start).astype(np.uint64)
+        return [_mix((s[stop] - s[start]) * b[start] + length).view(np.int64) for s, b in zip(self._sums, self._back)]
+
+    def selections(self, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(fingerprint, first window, number of windows) of every selected minimum; windows by first word."""
+        k = max(1, min_words // 5)
+        at = np.arange(self.n - k + 1)
+        grams = self.hashes(at, at + k)[0]
+        lowest, reach, width = at, 1, min_words - k + 1
+        while reach < width:  # the last of the lowest among twice as many, at each place
+            step = min(reach, width - reach)
+            left, right = lowest[:-step], lowest[step:]
+            lowest = np.where(grams[right] <= grams[left], right, left)
+            reach += step
+        first = np.flatnonzero(np.diff(lowest, prepend=-1))
+        return grams[lowest[first]], first, np.diff(first, append=len(lowest))
 
 
 def _winnowed(min_words: int):
-    @arrow_udf("array<struct<fp: long, start: int, stop: int, w1: long, w2: long>>")
+    fields = [("fp", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("b1", pa.int64()), ("b2", pa.int64())]
+
+    @arrow_udf("array<struct<fp: long, start: int, n: int, b1: long, b2: long>>")
     def winnowed(texts: pa.Array) -> pa.Array:
-        out = []
+        ends, parts = [0], [[] for _ in fields]
         for t in pc.fill_null(texts, "").cast(pa.binary()).to_pylist():
-            lines = [line.strip() for line in t.split(b"\n")]
-            rows = []
-            windows = windows_of(lines, min_words)
-            if windows:
-                hashes = np.array([xxhash.xxh3_64_intdigest(x) if x else (1 << 64) - 1 for x in lines], dtype=np.uint64)
-                for a, b in windows:
-                    low = hashes[a : b + 1].min().astype(np.int64)
-                    whole = xxhash.xxh3_128_digest(b"\n".join(x for x in lines[a : b + 1] if x))
-                    w1, w2 = np.frombuffer(whole, np.int64)
-                    rows.append({"fp": int(low), "start": a, "stop": b, "w1": int(w1), "w2": int(w2)})
-            out.append(rows)
-        return pa.array(
-            out,
-            pa.list_(pa.struct([("fp", pa.int64()), ("start", pa.int32()), ("stop", pa.int32()), ("w1", pa.int64()), ("w2", pa.int64())])),
-        )
+            words = Words(t, min_words)
+            found = 0
+            if words.n >= min_words:
+                fp, start, n = words.selections(min_words)
+                for part, values in zip(parts, (fp, start, n, *words.hashes(start, start + n + (min_words - 1)))):
+                    part.append(values)
+                found = len(fp)
+            ends.append(ends[-1] + found)
+        columns = [pa.array(np.concatenate([np.zeros(0, np.int64), *p]), pa.int64()).cast(t) for p, (_, t) in zip(parts, fields)]
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(columns, names=[f for f, _ in fields]))
 
     return winnowed
 
 
+def _windows(min_words: int):
+    fields = [("start", pa.int32()), ("w1", pa.int64()), ("w2", pa.int64())]
+
+    @arrow_udf("array<struct<start: int, w1: long, w2: long>>")
+    def windows(texts: pa.Array, stretches: pa.Array) -> pa.Array:
+        """All windows of the stretches."""
+        ends, parts = [0], [[] for _ in fields]
+        for t, some in zip(texts.cast(pa.binary()).to_pylist(), stretches.to_pylist()):
+            start = np.unique(np.concatenate([np.arange(s["start"], s["start"] + s["n"]) for s in some]))
+            for part, values in zip(parts, (start, *Words(t, min_words).hashes(start, start + min_words))):
+                part.append(values)
+            ends.append(ends[-1] + len(start))
+        columns = [pa.array(np.concatenate([np.zeros(0, np.int64), *p]), pa.int64()).cast(t) for p, (_, t) in zip(parts, fields)]
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(columns, names=[f for f, _ in fields]))
+
+    return windows
+
+
+def without_words(text: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int]:
+    """The text without words start to stop - 1 of each span, and from how many lines words went.
+
+    A line whose words all go vanishes, as do blank lines inside a span. A line that keeps words loses
+    the white space before each word that goes; all else stays byte for byte.
+    """
+    lines = text.split(b"\n")
+    counts = [len(line.split()) for line in lines]
+    words, gaps = (np.zeros(sum(counts) + 1, np.int32) for _ in range(2))
+    for start, stop in spans:
+        words[start] += 1
+        words[stop] -= 1
+        gaps[start + 1] += 1  # the gap before a word
+        gaps[stop] -= 1
+    words, gaps = np.cumsum(words) > 0, np.cumsum(gaps) > 0
+    kept, touched, first = [], 0, 0
+    for line, count in zip(lines, counts):
+        gone = words[first : first + count]
+        if not count:
+            if not gaps[first]:
+                kept.append(line)
+        elif not gone.any():
+            kept.append(line)
+        else:
+            touched += 1
+            if not gone.all():
+                short, end = b"", 0
+                for m, g in zip(_WORD.finditer(line), gone):
+                    if not g:
+                        short += line[end if short else m.start() : m.end()] if end else line[: m.end()]
+                    end = m.end()
+                kept.append(short if gone[-1] else short + line[end:])
+        first += count
+    return b"\n".join(kept), touched
+
+
 def _without():
-    @arrow_udf("string")
+    @arrow_udf("struct<text: string, lines: long>")
     def without(texts: pa.Array, spans: pa.Array) -> pa.Array:
-        """The text without the lines of the spans; the others stay byte for byte."""
-        out = []
-        for t, cut in zip(texts.to_pylist(), spans.to_pylist()):
-            if t is None or not cut:
-                out.append(t)
-                continue
-            lines = t.split("\n")
-            gone = bytearray(len(lines))
-            for s in cut:
-                for i in range(s["start"], min(s["stop"], len(lines) - 1) + 1):
-                    gone[i] = 1
-            out.append("\n".join(x for x, g in zip(lines, gone) if not g))
-        return pa.array(out, pa.string())
+        out, lines = [], []
+        for t, cut in zip(texts.cast(pa.binary()).to_pylist(), spans.to_pylist()):
+            short, touched = (t, 0) if t is None or not cut else without_words(t, [(s["start"], s["stop"]) for s in cut])
+            out.append(short)
+            lines.append(touched)
+        return pa.StructArray.from_arrays([pa.array(out, pa.binary()).cast(pa.string()), pa.array(lines, pa.int64())], names=["text", "lines"])
 
     return without
 
 
+def _keyed(docs: DataFrame, doc_id: str, text: str) -> tuple[Column, Column]:
+    return F.coalesce(F.col(doc_id).cast("long"), F.lit((1 << 63) - 1)), F.xxhash64(text)
+
+
 def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, th, start, stop): line spans of windows that occur earlier, by doc_id and line. th is the
+    """(id, th, start, stop): spans of words that occur earlier, by doc_id and word. th is the
     text's hash, which tells documents apart that share a doc_id."""
-    rows = docs.where(F.col(text).isNotNull()).select(
-        F.coalesce(F.col(doc_id).cast("long"), F.lit((1 << 63) - 1)).alias("id"),
-        F.xxhash64(text).alias("th"),
-        F.explode(_winnowed(min_words)(F.col(text))).alias("_w"),
-    )
-    rows = stash(rows.select("id", "th", "_w.*"), "line-windows")
-    repeated = rows.groupBy("fp").agg(F.count(F.lit(1)).alias("places")).where("places > 1")
-    met = rows.join(repeated.select(F.expr("~fp").alias("k")), F.expr("~fp") == F.col("k"), "left_semi").drop("fp")
-    met = stash(met, "line-matches")
-    # the first occurrence in three sums, so that counts of a hot passage combine before the shuffle
-    key = ["w1", "w2"]
-    lowest = met.groupBy(*key).agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("places")).where("places > 1")
-    lowest = lowest.select(F.expr("~w1").alias("k1"), F.expr("~w2").alias("k2"), F.col("id").alias("low"))
-    on = (F.expr("~w1") == F.col("k1")) & (F.expr("~w2") == F.col("k2"))
-    again = stash(met.join(lowest, on).select("id", "th", "start", "stop", "w1", "w2", "low"), "line-repeats")
-    inside = again.where("id = low")
-    text_of = inside.groupBy(*key).agg(F.min("th").alias("low_th"))
-    place_of = inside.groupBy(*key, "th").agg(F.min("start").alias("low_start"))
-    first = text_of.join(place_of, key).where("th = low_th").select(F.expr("~w1").alias("k1"), F.expr("~w2").alias("k2"), "low_th", "low_start")
-    later = inside.join(first, on).where("th <> low_th or start > low_start").select("id", "th", "start", "stop")
-    return again.where("id <> low").select("id", "th", "start", "stop").union(later)
+    id_, th = _keyed(docs, doc_id, text)
+    texts = docs.where(F.col(text).isNotNull()).select(id_.alias("id"), th.alias("th"), F.col(text).alias("text"))
+    rows = texts.select("id", "th", F.explode(_winnowed(min_words)(F.col("text"))).alias("_w"))
+    rows = stash(rows.select("id", "th", "_w.*"), "line-selections")
+    # kinds of equal stretches; their first occurrence combines before the shuffle
+    place = F.struct("id", "th", "start")
+    kinds = rows.groupBy("fp", "b1", "b2", "n").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("places"))
+    kinds = stash(kinds, "line-kinds")
+    again = kinds.where("places > 1").select(F.expr("~b1").alias("k1"), F.expr("~b2").alias("k2"), F.col("fp").alias("kf"), "first")
+    on = (F.expr("~b1") == F.col("k1")) & (F.expr("~b2") == F.col("k2")) & (F.col("fp") == F.col("kf"))
+    whole = rows.join(again, on).where(place != F.col("first"))
+    whole = whole.select("id", "th", "start", (F.col("start") + F.col("n") + (min_words - 1)).alias("stop"))
+    # a fingerprint with several kinds: first occurrences are compared window by window
+    mixed = kinds.groupBy("fp").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select(F.expr("~fp").alias("k"))
+    open_ = kinds.join(mixed, F.expr("~fp") == F.col("k"), "left_semi").select("first.*", "n")
+    open_ = stash(open_.groupBy("id", "th").agg(F.collect_set(F.struct("start", "n")).alias("_open")), "line-open")
+    windows = texts.join(open_.hint("merge"), ["id", "th"])  # one plan at every size
+    windows = windows.select("id", "th", F.explode(_windows(min_words)(F.col("text"), F.col("_open"))).alias("_w"))
+    windows = stash(windows.select("id", "th", "_w.*"), "line-windows")
+    lowest = windows.groupBy("w1", "w2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("places")).where("places > 1")
+    lowest = lowest.select(F.expr("~w1").alias("k1"), F.expr("~w2").alias("k2"), "first")
+    later = windows.join(lowest, (F.expr("~w1") == F.col("k1")) & (F.expr("~w2") == F.col("k2"))).where(place != F.col("first"))
+    return whole.union(later.select("id", "th", "start", (F.col("start") + min_words).alias("stop")))
 
 
 def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents' own columns with later occurrences of repeated passages cut from the text, and
-    `_cut` (number of lines in cut spans, overlaps counted).
+    `_cut` (number of lines that words were cut from).
 
-    A passage is a run of whole lines (compared without white space at their ends, blank lines aside) of
-    at least `min_words` words. The first occurrence by doc_id (null last), text hash and line
-    stays, so no line vanishes from the corpus; a run that repeats in itself keeps its first turn.
+    A passage is a run of at least `min_words` words (compared without the white space between them),
+    wherever in a line it begins or ends. The first occurrence by doc_id (null last), text hash and word
+    stays, so no passage vanishes from the corpus; one that repeats in itself keeps its first turn.
     Rows equal in doc_id and text count as one occurrence and are cut alike. A null text stays null, an
     empty one empty; a text that is cut altogether becomes empty. Nothing shorter is touched.
     """
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
-    packed = packed.withColumn("_id", F.coalesce(F.col(f"_row.{doc_id}").cast("long"), F.lit((1 << 63) - 1)))
-    packed = packed.withColumn("_th", F.xxhash64(f"_row.{text}"))
+    id_, th = _keyed(packed, f"_row.{doc_id}", f"_row.{text}")
+    packed = packed.withColumn("_id", id_).withColumn("_th", th)
     spans = repeated_spans(docs, min_words, doc_id, text)
     cuts = spans.groupBy("id", "th").agg(F.collect_set(F.struct("start", "stop")).alias("_spans"))
     cuts = cuts.select(F.col("id").alias("_id"), F.col("th").alias("_th"), "_spans")
     joined = packed.join(stash(cuts, "line-cuts").hint("merge"), ["_id", "_th"], "left")  # one plan at every size
-    columns = [
-        _without()(F.col(f"_row.{text}"), F.col("_spans")).alias(text) if c == text else F.col(f"_row.`{c}`").alias(c) for c in docs.columns
-    ]
-    n_cut = F.coalesce(F.expr("aggregate(_spans, 0, (n, s) -> n + s.stop - s.start + 1)"), F.lit(0))
-    return joined.select(*columns, n_cut.cast("long").alias("_cut"))
+    joined = joined.select("_row", _without()(F.col(f"_row.{text}"), F.col("_spans")).alias("_short"))
+    columns = [F.col("_short.text").alias(text) if c == text else F.col(f"_row.`{c}`").alias(c) for c in docs.columns]
+    return joined.select(*columns, F.col("_short.lines").alias("_cut"))
