@@ -20,7 +20,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import arrow_udf
 
-from vestigo.session import stash
+from vestigo.llm.joins import small_side
+from vestigo.session import release, stash, stashed
 
 #: A repeated passage goes if it has so many words.
 MIN_WORDS = 50
@@ -75,9 +76,9 @@ class Words:
 
 
 def _winnowed(min_words: int):
-    fields = [("fp", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("b1", pa.int64()), ("b2", pa.int64())]
+    fields = [("fp", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("whole", pa.int64())]
 
-    @arrow_udf("array<struct<fp: long, start: int, n: int, b1: long, b2: long>>")
+    @arrow_udf("array<struct<fp: long, start: int, n: int, whole: long>>")
     def winnowed(texts: pa.Array) -> pa.Array:
         ends, parts = [0], [[] for _ in fields]
         for t in pc.fill_null(texts, "").cast(pa.binary()).to_pylist():
@@ -85,7 +86,7 @@ def _winnowed(min_words: int):
             found = 0
             if words.n >= min_words:
                 fp, start, n = words.selections(min_words)
-                for part, values in zip(parts, (fp, start, n, *words.hashes(start, start + n + (min_words - 1)))):
+                for part, values in zip(parts, (fp, start, n, words.hashes(start, start + n + (min_words - 1))[1])):
                     part.append(values)
                 found = len(fp)
             ends.append(ends[-1] + found)
@@ -173,25 +174,29 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "d
     texts = docs.where(F.col(text).isNotNull()).select(id_.alias("id"), th.alias("th"), F.col(text).alias("text"))
     rows = texts.select("id", "th", F.explode(_winnowed(min_words)(F.col("text"))).alias("_w"))
     rows = stash(rows.select("id", "th", "_w.*"), "line-selections")
-    # kinds of equal stretches; their first occurrence combines before the shuffle
+    repeated = rows.groupBy("fp").agg(F.count(F.lit(1)).alias("places"), F.min("whole").alias("x"), F.max("whole").alias("y"))
+    repeated = repeated.where("places > 1").select(F.expr("~fp").alias("k"), F.expr("x <> y").alias("mixed"))
+    met = stash(rows.join(repeated, F.expr("~fp") == F.col("k")).drop("k"), "line-met")
+    # kinds of equal stretches (their words' two hashes); the first occurrence combines before the shuffle
     place = F.struct("id", "th", "start")
-    kinds = rows.groupBy("fp", "b1", "b2", "n").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("places"))
+    kinds = met.groupBy("fp", "whole").agg(
+        F.min(place).alias("first"), F.count(F.lit(1)).alias("places"), F.min("n").alias("n"), F.max("mixed").alias("mixed")
+    )
     kinds = stash(kinds, "line-kinds")
-    again = kinds.where("places > 1").select(F.expr("~b1").alias("k1"), F.expr("~b2").alias("k2"), F.col("fp").alias("kf"), "first")
-    on = (F.expr("~b1") == F.col("k1")) & (F.expr("~b2") == F.col("k2")) & (F.col("fp") == F.col("kf"))
-    whole = rows.join(again, on).where(place != F.col("first"))
-    whole = whole.select("id", "th", "start", (F.col("start") + F.col("n") + (min_words - 1)).alias("stop"))
-    # a fingerprint with several kinds: first occurrences are compared window by window
-    mixed = kinds.groupBy("fp").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select(F.expr("~fp").alias("k"))
-    open_ = kinds.join(mixed, F.expr("~fp") == F.col("k"), "left_semi").select("first.*", "n")
-    open_ = stash(open_.groupBy("id", "th").agg(F.collect_set(F.struct("start", "n")).alias("_open")), "line-open")
-    windows = texts.join(open_.hint("merge"), ["id", "th"])  # one plan at every size
+    again = kinds.where("places > 1").select(F.expr("~fp").alias("k1"), F.expr("~whole").alias("k2"), "first")
+    later = met.join(again, (F.expr("~fp") == F.col("k1")) & (F.expr("~whole") == F.col("k2"))).where(place != F.col("first"))
+    later = later.select("id", "th", "start", (F.col("start") + F.col("n") + (min_words - 1)).alias("stop"))
+    # a fingerprint with several kinds: their first occurrences are compared window by window
+    mixed = kinds.where("mixed").select("first.*", "n").groupBy("id", "th").agg(F.collect_set(F.struct("start", "n")).alias("_open"))
+    mixed = stash(mixed, "line-open")
+    texts = texts.join(small_side(stash(mixed.select("id").distinct(), "line-open-ids")), "id", "left_semi")
+    windows = texts.join(mixed.hint("merge"), ["id", "th"])
     windows = windows.select("id", "th", F.explode(_windows(min_words)(F.col("text"), F.col("_open"))).alias("_w"))
     windows = stash(windows.select("id", "th", "_w.*"), "line-windows")
     lowest = windows.groupBy("w1", "w2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("places")).where("places > 1")
     lowest = lowest.select(F.expr("~w1").alias("k1"), F.expr("~w2").alias("k2"), "first")
-    later = windows.join(lowest, (F.expr("~w1") == F.col("k1")) & (F.expr("~w2") == F.col("k2"))).where(place != F.col("first"))
-    return whole.union(later.select("id", "th", "start", (F.col("start") + min_words).alias("stop")))
+    single = windows.join(lowest, (F.expr("~w1") == F.col("k1")) & (F.expr("~w2") == F.col("k2"))).where(place != F.col("first"))
+    return later.union(single.select("id", "th", "start", (F.col("start") + min_words).alias("stop")))
 
 
 def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -207,10 +212,14 @@ def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
     id_, th = _keyed(packed, f"_row.{doc_id}", f"_row.{text}")
     packed = packed.withColumn("_id", id_).withColumn("_th", th)
+    before = set(stashed(docs.sparkSession))
     spans = repeated_spans(docs, min_words, doc_id, text)
+    scratch = [p for p in stashed(docs.sparkSession) if p not in before]
     cuts = spans.groupBy("id", "th").agg(F.collect_set(F.struct("start", "stop")).alias("_spans"))
     cuts = cuts.select(F.col("id").alias("_id"), F.col("th").alias("_th"), "_spans")
-    joined = packed.join(stash(cuts, "line-cuts").hint("merge"), ["_id", "_th"], "left")  # one plan at every size
+    cuts = stash(cuts, "line-cuts")
+    release(docs.sparkSession, scratch)  # nothing reads it any more
+    joined = packed.join(cuts.hint("merge"), ["_id", "_th"], "left")  # one plan at every size
     joined = joined.select("_row", _without()(F.col(f"_row.{text}"), F.col("_spans")).alias("_short"))
     columns = [F.col("_short.text").alias(text) if c == text else F.col(f"_row.`{c}`").alias(c) for c in docs.columns]
     return joined.select(*columns, F.col("_short.lines").alias("_cut"))
