@@ -339,3 +339,10 @@ def test_line_dedup_cuts_words_in_place():
     assert linededup.without_words(text, [(1, 4)]) == (b"  m n \n x y z\n\nx\nq  r ", 1)
     assert linededup.without_words(text, [(0, 4)]) == (b"n \n x y z\n\nx\nq  r ", 1)
     assert linededup.without_words(text, [(4, 10)]) == (b"  m x y  z\nr ", 4)
+
+
+def test_jaccard_one_id_with_several_texts(spark):
+    one, two = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(3, one), (5, one), (5, two), (7, two + " c"), (9, "else")]
+    found = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.component_id) for r in found} == {(3, 3), (5, 3), (7, 3), (9, 9)}

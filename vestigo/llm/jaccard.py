@@ -266,7 +266,8 @@ def links_and_classes(
     first = first.select(F.expr("~s1").alias("k1"), F.expr("~s2").alias("k2"), "class_id")
     member = linkable.join(first, (F.expr("~s1") == F.col("k1")) & (F.expr("~s2") == F.col("k2"))).select("id", "n", "class_id")
     member = stash(member, "join-members")
-    copies = member.groupBy("id").agg(F.min("class_id").alias("class_id")).where("id <> class_id").select("id")
+    # an id whose rows have several sets stays if it stands for one of them
+    copies = member.groupBy("id").agg(F.max(F.col("id") == F.col("class_id")).alias("head")).where("not head").select("id")
     heads = rows.where("n > 0 and id is not null").join(small_side(stash(copies, "join-copies")), "id", "left_anti")
 
     # index keys that several sets share; two sets are a pair as they are, more are listed
