@@ -346,3 +346,14 @@ def test_jaccard_one_id_with_several_texts(spark):
     rows = [(3, one), (5, one), (5, two), (7, two + " c"), (9, "else")]
     found = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {(r.doc_id, r.component_id) for r in found} == {(3, 3), (5, 3), (7, 3), (9, 9)}
+
+
+def test_order_minhash_short_texts_keep_order(spark):
+    """Nearly the same k-mers in reversed order share few parts, though most parts hold one k-mer."""
+    units = [f"w{i} x y" for i in range(12)]
+    rows = [(0, " ".join(units)), (1, " ".join(units[::-1])), (2, "one two"), (3, "one two three")]
+    data = ordermin.with_fingerprint(spark.createDataFrame(rows, "doc_id long, text string"), "text", "fp")
+    fp = {r.doc_id: set(r.fp) for r in data.collect()}
+    parts = {i: {x >> 32 for x in f} for i, f in fp.items()}
+    assert len(fp[2]) == len(fp[3]) == 1 and len(parts[0] & parts[1]) > 15
+    assert 3 * len(fp[0] & fp[1]) < len(parts[0] & parts[1])

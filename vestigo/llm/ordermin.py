@@ -1,8 +1,9 @@
 """Order MinHash fingerprints of word sequences. Built-in functions only.
 
 Every run of K words gets an occurrence number, so repeats count, and a hash of both. The hash deals it to
-one of SKETCHES parts. Of each part the TUPLE smallest are selected, put back into text order and hashed
-together: a part of the fingerprint stays only if the same k-mers stand in the same order. Hashes and
+one of SKETCHES parts. Of each part the TUPLE smallest are selected, filled up with the smallest of the
+following parts where it holds fewer, put back into text order and hashed together: a part of the
+fingerprint stays only if the same k-mers stand in the same order. Hashes and
 places are packed into one long (40 and 24 bits) so that arrays of plain longs are sorted.
 """
 
@@ -28,7 +29,8 @@ def with_fingerprint(rows: DataFrame, text: str, out: str) -> DataFrame:
     """Adds the fingerprint of a text column: array of (part << 32 | tuple hash), parts ascending.
 
     A text of fewer than K words is one k-mer, one without words (or null) has an empty fingerprint.
-    Parts that no k-mer falls to are left out; a part with fewer than TUPLE k-mers hashes what it has.
+    Parts that no k-mer falls to are left out; a part with fewer than TUPLE k-mers takes the next ones by
+    hash, the last part going on with the first, so only a text of fewer than TUPLE k-mers hashes less.
     """
     high = F.lit(~MAX_PLACE)
     bin_bits = 64 - (SKETCHES.bit_length() - 1)
@@ -74,7 +76,9 @@ def with_fingerprint(rows: DataFrame, text: str, out: str) -> DataFrame:
 
     def in_order(i: Column) -> Column:
         first = F.get("_p", i)
-        members = F.filter(F.slice("_p", i + 1, TUPLE), lambda x: part(x) == part(first))
+        taken = F.slice("_p", i + 1, TUPLE)
+        wrapped = F.slice("_p", 1, F.least(F.lit(TUPLE), F.size("_p")) - F.size(taken))
+        members = F.when(F.size(taken) == TUPLE, taken).otherwise(F.concat(taken, wrapped))
         ordered = F.array_sort(F.transform(members, lambda x: F.struct(x.bitwiseAND(F.lit(MAX_PLACE)).alias("at"), F.shiftright(x, PLACE_BITS).alias("h"))))
         code = F.xxhash64(F.concat_ws(",", F.transform(ordered, lambda s: s["h"].cast("string"))))
         return F.shiftleft(part(first), 32).bitwiseOR(code.bitwiseAND(F.lit(0xFFFFFFFF)))
