@@ -357,3 +357,11 @@ def test_order_minhash_short_texts_keep_order(spark):
     parts = {i: {x >> 32 for x in f} for i, f in fp.items()}
     assert len(fp[2]) == len(fp[3]) == 1 and len(parts[0] & parts[1]) > 15
     assert 3 * len(fp[0] & fp[1]) < len(parts[0] & parts[1])
+
+
+def test_language_counts_a_hot_text_once(spark):
+    rows = [("a", f"text number {i} of many") for i in range(40)] + [("b", "weder noch")]
+    once = language.fit(spark.createDataFrame(rows, "lang string, text string"))
+    hot = language.fit(spark.createDataFrame(rows + [("a", "the same again")] * 300, "lang string, text string"))
+    cold = language.fit(spark.createDataFrame(rows + [("a", "the same again")], "lang string, text string"))
+    assert once.bits.shape != hot.bits.shape and (hot.bits == cold.bits).all()

@@ -118,12 +118,14 @@ def fit(
     """Learn from rows whose language and text are not null. Only the summed statistics of the bounded
     sample come to the driver. Without any labelled row the model knows no language."""
     rows = labelled.select(F.col(lang).alias("lang"), F.col(text).alias("text")).where("lang is not null and text is not null and text <> ''")
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
+    # each distinct text of a language counts once, so hot copies neither fill the sample nor tilt the statistics
+    rows = rows.withColumn("h", F.xxhash64("text"))
+    sizes = rows.select("lang", "h").distinct().groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
     if not sizes:
         return ContextTrees([], np.zeros(256, np.int64), [np.zeros(1, np.int64)], np.zeros((0, 1), np.float32))
     share = F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(min(1.0, sampled_documents / r["count"])))])
-    luck = F.pmod(F.xxhash64("text"), F.lit(1 << 20)) / float(1 << 20)
-    sample = rows.where(luck < share[F.col("lang")])
+    luck = F.pmod("h", F.lit(1 << 20)) / float(1 << 20)
+    sample = rows.where(luck < share[F.col("lang")]).groupBy("lang", "h").agg(F.first("text").alias("text")).select("lang", "text")
     grams = sample.mapInArrow(_grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     return _build(grams.toArrow().to_pandas(), max_contexts)
 
