@@ -365,3 +365,10 @@ def test_language_counts_a_hot_text_once(spark):
     hot = language.fit(spark.createDataFrame(rows + [("a", "the same again")] * 300, "lang string, text string"))
     cold = language.fit(spark.createDataFrame(rows + [("a", "the same again")], "lang string, text string"))
     assert once.bits.shape != hot.bits.shape and (hot.bits == cold.bits).all()
+
+
+def test_language_learns_every_language(spark):
+    rows = [(f"l{i}", f"{chr(0x4E00 + i)} {chr(0x5E00 + i)} " * 9) for i in range(80)]
+    docs = spark.createDataFrame(rows, "lang string, text string")
+    found = docs.withColumn("p", language.identify(docs, language.fit(docs))).collect()
+    assert all(r.p.lang_pred == r.lang for r in found)

@@ -19,9 +19,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import arrow_udf
 
 ORDER = 3
-#: Bounds of the model: languages (most frequent first), sampled documents of each (by text hash),
+#: Bounds of the model: sampled documents of each language (distinct texts, by hash),
 #: contexts of three bytes (most frequent first; the rest use shorter ones).
-MAX_LANGUAGES = 64
 SAMPLED_DOCUMENTS = 1_500
 MAX_CONTEXTS = 8_192
 UNDETERMINED = "und"
@@ -113,14 +112,13 @@ def fit(
     lang: str = "lang",
     sampled_documents: int = SAMPLED_DOCUMENTS,
     max_contexts: int = MAX_CONTEXTS,
-    max_languages: int = MAX_LANGUAGES,
 ) -> ContextTrees:
-    """Learn from rows whose language and text are not null. Only the summed statistics of the bounded
+    """Learn every language from rows whose language and text are not null. Only the summed statistics of the bounded
     sample come to the driver. Without any labelled row the model knows no language."""
     rows = labelled.select(F.col(lang).alias("lang"), F.col(text).alias("text")).where("lang is not null and text is not null and text <> ''")
     # each distinct text of a language counts once, so hot copies neither fill the sample nor tilt the statistics
     rows = rows.withColumn("h", F.xxhash64("text"))
-    sizes = rows.select("lang", "h").distinct().groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
+    sizes = rows.select("lang", "h").distinct().groupBy("lang").count().orderBy("lang").collect()
     if not sizes:
         return ContextTrees([], np.zeros(256, np.int64), [np.zeros(1, np.int64)], np.zeros((0, 1), np.float32))
     share = F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(min(1.0, sampled_documents / r["count"])))])
