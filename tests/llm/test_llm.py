@@ -372,3 +372,11 @@ def test_language_learns_every_language(spark):
     docs = spark.createDataFrame(rows, "lang string, text string")
     found = docs.withColumn("p", language.identify(docs, language.fit(docs))).collect()
     assert all(r.p.lang_pred == r.lang for r in found)
+
+
+def test_line_dedup_writes_selections_only():
+    """One row for each selected minimum, far fewer than windows, which they deal out without a gap."""
+    draw = random.Random(5)
+    words = linededup.Words(" ".join(f"w{draw.randrange(500)}" for _ in range(5000)).encode(), 50)
+    fp, first, n = words.selections(50)
+    assert len(fp) < 4951 / 15 and first[0] == 0 and (first[1:] == (first + n)[:-1]).all() and n.sum() == 4951
