@@ -380,3 +380,12 @@ def test_line_dedup_writes_selections_only():
     words = linededup.Words(" ".join(f"w{draw.randrange(500)}" for _ in range(5000)).encode(), 50)
     fp, first, n = words.selections(50)
     assert len(fp) < 4951 / 15 and first[0] == 0 and (first[1:] == (first + n)[:-1]).all() and n.sum() == 4951
+
+
+def test_cuckoo_deletes_the_row_that_stays(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, "a "), (4, "a"), (3, "b"), (5, "c")], "doc_id long, text string")
+    digests = cuckoo.digests(rows)
+    stored = cuckoo.apply_changes(digests)
+    gone = digests.where("doc_id in (2, 3)")
+    after = cuckoo.apply_changes(digests.where("doc_id = 3"), stored, gone, live=digests).collect()
+    assert sorted((r.doc_id, r.n_chars, r.rows) for r in after) == [(1, 1, 2), (3, 1, 1), (5, 1, 1)]

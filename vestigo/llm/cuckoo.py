@@ -161,14 +161,25 @@ def _batch(out: dict[str, list]) -> pa.RecordBatch:
     return pa.record_batch([pa.array(v, k) for v, k in zip(out.values(), kinds)], names=list(out))
 
 
+def live_rows(live: DataFrame, inserts: DataFrame, deletes: DataFrame) -> DataFrame:
+    """The rows (digest, n_chars, doc_id) left of `live` after deleting, then inserting; to be kept beside the index."""
+    columns = ["digest", "n_chars", "doc_id"]
+    return live.select(*columns).exceptAll(deletes.select(*columns)).union(inserts.select(*columns))
+
+
 def apply_changes(
-    inserts: DataFrame, stored: DataFrame | None = None, deletes: DataFrame | None = None, keys_per_shard: int = 250_000
+    inserts: DataFrame,
+    stored: DataFrame | None = None,
+    deletes: DataFrame | None = None,
+    keys_per_shard: int = 250_000,
+    live: DataFrame | None = None,
 ) -> DataFrame:
     """The index after deleting and inserting rows (digest, n_chars, doc_id): one row per live digest
     with the document that stays (most code points, then smallest doc_id) and its number of rows.
 
-    A delete takes one row off its digest; the digest goes when none is left, otherwise the document
-    that stays keeps its place (whether its own row was the deleted one is for the caller to know).
+    A delete takes one row off its digest; the digest goes when none is left. With `live`, the rows behind
+    `stored`, the best of the rows that remain of a digest stays; without it the document that stays keeps its
+    place, so pass it wherever that one may be deleted.
     Equal rows are summed before the shuffle, so a digest that a third of all rows have is cheap.
     """
     parts = [(INSERT, inserts)] + ([(DELETE, deletes)] if deletes is not None else [])
@@ -182,7 +193,20 @@ def apply_changes(
     keys = inserts.count() + (stored.count() if stored is not None else 0)
     shards = max(int(inserts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-keys // keys_per_shard))
     dealt = changes.repartition(shards, "digest").sortWithinPartitions("action")
-    return dealt.mapInArrow(_apply, "digest binary, n_chars long, doc_id long, rows long")
+    index = dealt.mapInArrow(_apply, "digest binary, n_chars long, doc_id long, rows long")
+    if deletes is None or live is None:
+        return index
+    hit = deletes.select("digest").distinct()
+    left = live_rows(live, inserts, deletes).join(hit, "digest", "left_semi")
+    rank = F.struct((-F.col("n_chars")).alias("n"), F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("best_id"))
+    best = left.groupBy("digest").agg(F.min(rank).alias("best")).select(F.col("digest").alias("_key"), "best")
+    found = F.col("best").isNotNull()
+    return index.join(best, F.col("digest") == F.col("_key"), "left").select(
+        "digest",
+        F.when(found, -F.col("best.n")).otherwise(F.col("n_chars")).alias("n_chars"),
+        F.when(found, F.col("best.best_id")).otherwise(F.col("doc_id")).alias("doc_id"),
+        "rows",
+    )
 
 
 def digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
