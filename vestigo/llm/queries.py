@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from vestigo.llm import cuckoo, jaccard, language, linededup, mixing, ordermin, pieces, secrets, sharding, warc
+import public_tokenizers
+
+from vestigo.llm import bpe, cuckoo, jaccard, language, linededup, mixing, ordermin, pieces, repair, secrets, sharding, vectorcodes, warc
 from vestigo.llm.registry import query, table
 
 
@@ -79,6 +81,21 @@ def op10(spark, sf):
     return pieces.round_trip(table(spark, sf, "documents"), corpus_pipeline.vocabulary())
 
 
+@query("op11_streaming_bpe")
+def op11(spark, sf):
+    return bpe.round_trip(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op12_conversation_repair")
+def op12(spark, sf):
+    return repair.repair_conversations(table(spark, sf, "conversations"))
+
+
+@query("op13_vector_codes")
+def op13(spark, sf):
+    return vectorcodes.compress(table(spark, sf, "embeddings"))
+
+
 @query("pipeline")
 def pipeline(spark, sf):
     return corpus_pipeline.run(spark, sf)
