@@ -29,8 +29,8 @@ from vestigo.session import stash
 
 #: Vectors of a block, and so of a tree, at most, fewer where they are long; a leaf with at most so
 #: many points is not split.
-BLOCK_ROWS, BLOCK_VALUES = 4096, 1 << 20
-LEAF_POINTS = 96
+BLOCK_ROWS, BLOCK_VALUES = 8192, 1 << 20
+LEAF_POINTS = 48
 #: Relative and absolute looseness of the bounds, far above the rounding of doubles.
 SLACK = 1e-6
 #: Integers up to this size have exact 64-bit distances (two of them square to less than 2^55 a component).
@@ -52,43 +52,32 @@ class Ball:
 
 
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.sqrt(((a - b) ** 2).sum(-1))
+    gap = a - b
+    return np.sqrt(np.einsum("...i,...i->...", gap, gap))
 
 
 def anchors_of(points: np.ndarray, k: int) -> list[np.ndarray]:
     """Partition of the points (by row number) among up to k anchors, each the point furthest from its
-    owner so far. An anchor looks into another's points, kept by falling distance, only as far as
-    they may be nearer to it: those beyond half the distance between the two anchors."""
-    first = _distances(points, points[0])
-    order = np.argsort(-first, kind="stable")
-    owned, away, at = [order], [first[order]], [points[0]]
-    while len(at) < k:
-        furthest = [d[0] for d in away]
-        i = int(np.argmax(furthest))
-        if furthest[i] <= 0.0:
+    owner so far. A new anchor meets only points that may be nearer to it: those further from their
+    own anchor than half the distance between the two anchors."""
+    owner = np.zeros(len(points), dtype=np.int64)
+    away = _distances(points, points[0])
+    at = np.empty((k, points.shape[1]))
+    at[0] = points[0]
+    for new in range(1, k):
+        furthest = int(away.argmax())
+        if away[furthest] <= 0.0:
+            k = new
             break
-        new = points[owned[i][0]]
-        gaps = _distances(np.array(at), new)
-        stolen, stolen_away = [], []
-        for j, gap in enumerate(gaps):
-            reach = int(np.searchsorted(-away[j], -gap / 2, side="left"))
-            if reach == 0:
-                continue
-            rows, old = owned[j][:reach], away[j][:reach]
-            own = _distances(points[rows], new)
-            nearer = own < old
-            if nearer.any():
-                stolen.append(rows[nearer])
-                stolen_away.append(own[nearer])
-                keep = ~nearer
-                owned[j] = np.concatenate([rows[keep], owned[j][reach:]])
-                away[j] = np.concatenate([old[keep], away[j][reach:]])
-        rows, dist = np.concatenate(stolen), np.concatenate(stolen_away)
-        order = np.argsort(-dist, kind="stable")
-        owned.append(rows[order])
-        away.append(dist[order])
-        at.append(new)
-    return [rows for rows in owned if len(rows)]
+        at[new] = points[furthest]
+        half = _distances(at[:new], at[new]) / 2
+        rows = np.flatnonzero(away > half[owner])
+        own = _distances(points[rows], at[new])
+        nearer = own < away[rows]
+        rows = rows[nearer]
+        owner[rows], away[rows] = new, own[nearer]
+    order = np.argsort(owner, kind="stable")
+    return [rows for rows in np.split(order, np.searchsorted(owner[order], np.arange(1, k))) if len(rows)]
 
 
 class BallTree:
@@ -157,7 +146,8 @@ class BallTree:
 
 def _survivors(centre: np.ndarray, radius: np.ndarray, entries: np.ndarray, candidates: np.ndarray) -> np.ndarray:
     """Of each ball's candidate entries, those that its nearest one doesn't beat everywhere in the ball."""
-    square = ((centre[:, None] - entries[None]) ** 2).sum(-1)
+    gap = centre[:, None] - entries[None]
+    square = np.einsum("nei,nei->ne", gap, gap)
     square[~candidates] = np.inf
     best = square.argmin(1)
     nearest = square[np.arange(len(best)), best]
