@@ -18,7 +18,6 @@ import heapq
 import json
 import sys
 from collections.abc import Iterable, Iterator
-from typing import NamedTuple
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -32,7 +31,7 @@ SLICE = 1 << 16
 WORD_LOOKAHEAD = 3
 #: Words up to this length are remembered, in two generations of so many per Python worker.
 REMEMBERED_CHARS = 32
-REMEMBERED_WORDS = 150_000
+REMEMBERED_WORDS = 250_000
 
 # Fixed value: the published word pattern of byte-level BPE, {L}, {N} and {S} its letters, numbers and signs.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?{L}+| ?{N}+| ?{S}+|\s+(?!\S)|\s+"
@@ -73,12 +72,8 @@ def ranges(characters: str) -> list[tuple[str, str]]:
     return found
 
 
-class Part(NamedTuple):
-    """Tokens of a stretch of text: their number, their ids as unsigned 32-bit words, their bytes."""
-
-    count: int
-    ids: bytes
-    surface: bytes
+#: Tokens of a stretch of text: their ids as little-endian unsigned 32-bit words, their bytes.
+Part = tuple[bytes, bytes]
 
 
 class ByteBpe:
@@ -98,10 +93,11 @@ class ByteBpe:
         self.ahead = self._lookaheads(merges)
         self.lookahead = max(self.ahead.values())
         self.window = 2 * (max(map(len, self.ahead)) + self.lookahead)
-        self.id_bytes = {t: i.to_bytes(4, "little") for t, i in self.ids.items()}
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.surface = {i: bytes(self.byte_of[c] for c in t) for t, i in self.ids.items()}
         self.surface |= {i: t.encode() for t, i in self.added.items()}
+        self.token_part = {t: (i.to_bytes(4, "little"), self.surface[i]) for t, i in self.ids.items()}
+        self.space = self.alphabet[0x20]
         longest_first = sorted(self.added, key=len, reverse=True)
         self.specials = regex.compile("(" + "|".join(map(regex.escape, longest_first)) + ")") if self.added else None
         self.words = regex.compile(WORDS.format(L=r"\p{L}", N=r"\p{N}", S=r"[^\s\p{L}\p{N}]"))
@@ -176,8 +172,8 @@ class ByteBpe:
         return [t for t in tokens if t]
 
     def part(self, tokens: list[str]) -> Part:
-        ids = self.id_bytes
-        return Part(len(tokens), b"".join([ids[t] for t in tokens]), b"".join([self.surface[self.ids[t]] for t in tokens]))
+        ids, surface = zip(*[self.token_part[t] for t in tokens])
+        return b"".join(ids), b"".join(surface)
 
     def _word(self, word: str) -> Part:
         """A word that the younger generation lacks; what is asked for again moves up to it."""
@@ -198,7 +194,7 @@ class ByteBpe:
         for i, segment in enumerate(self.specials.split(text) if self.specials else [text]):
             if i % 2:
                 token = self.added[segment]
-                yield [Part(1, token.to_bytes(4, "little"), self.surface[token])]
+                yield [(token.to_bytes(4, "little"), self.surface[token])]
             else:
                 yield from self._segment_parts(segment, words)
 
@@ -225,8 +221,8 @@ class ByteBpe:
     def encode(self, text: str) -> list[int]:
         out: list[int] = []
         for parts in self.parts(text):
-            for p in parts:
-                out.extend(memoryview(p.ids).cast("I") if sys.byteorder == "little" else (int.from_bytes(p.ids[i : i + 4], "little") for i in range(0, len(p.ids), 4)))
+            for ids, _ in parts:
+                out.extend(int.from_bytes(ids[i : i + 4], "little") for i in range(0, len(ids), 4))
         return out
 
     def decode(self, ids: Iterable[int]) -> str:
@@ -240,9 +236,10 @@ class ByteBpe:
         count, ids, back = 0, hashlib.sha256(), hashlib.sha256()
         machine = codecs.getincrementaldecoder("utf-8")("replace")
         for parts in self.parts(text):
-            counts, words, surfaces = zip(*parts)
-            count += sum(counts)
-            ids.update(b"".join(words))
+            words, surfaces = zip(*parts)
+            tokens = b"".join(words)
+            count += len(tokens) // 4
+            ids.update(tokens)
             back.update(machine.decode(b"".join(surfaces)).encode())
         back.update(machine.decode(b"", True).encode())
         return count, ids.hexdigest(), back.hexdigest()
@@ -258,7 +255,13 @@ class Transducer:
     def feed(self, stretch: str) -> list[str]:
         """Takes more of the word; returns the tokens that nothing behind can change any more."""
         codec = self.codec
-        data = "".join([codec.alphabet[b] for b in stretch.encode()])
+        if stretch.isascii() and stretch.isprintable():  # all but the space stand for themselves
+            data = stretch.replace(" ", codec.space)
+        else:
+            data = "".join([codec.alphabet[b] for b in stretch.encode()])
+        if len(self.held) + len(data) <= codec.window:
+            self.held += data
+            return []
         stable: list[str] = []
         at = 0
         while len(self.held) + len(data) - at > codec.window:
