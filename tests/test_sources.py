@@ -49,30 +49,6 @@ def test_personal_fields_are_hidden(spark):
     assert (row.chassi, row.proprietario, row.endereco, row.renavam) == ("*****3456", "[restrito]", "", "**")
 
 
-def test_stream_tracks_equal_batch(spark):
-    stream = all_queries()["track_vehicles_stream"](spark, SF)
-    batch = T.assign_tracks(load(spark, SF, "track_detections"), ["timestamp_seconds", "det_id"])
-    key = lambda df: sorted((r.video_id, r.track_id) for r in df.select("video_id", "track_id").collect())
-    assert key(stream) == key(batch)
-
-
-def test_open_requests_are_those_without_reply(spark):
-    got = {(r.request_id, r.request_time) for r in all_queries()["open_requests_stream"](spark, SF).collect()}
-    events = spark.read.parquet(f"{SF}/events.parquet").select(
-        F.concat_ws(":", F.col("user_id").cast("string"), "props").alias("k"), F.col("ts").cast("timestamp").alias("t"), "event_type"
-    ).collect()
-    replies = [(e.k, e.t) for e in events if e.event_type == "click"]
-    last = max(e.t for e in events)
-    for e in events:
-        if e.event_type != "view":
-            continue
-        answered = any(k == e.k and 0 <= (t - e.t).total_seconds() <= 3600 for k, t in replies)
-        if answered:
-            assert (e.k, e.t) not in got
-        elif (last - e.t).total_seconds() > 3600 + 7200:
-            assert (e.k, e.t) in got
-
-
 def test_history_forgets_the_oldest_key(spark):
     keys = ["a", "b", "c", "a", "d", "b"]
     events = spark.createDataFrame([("P", k, i) for i, k in enumerate(keys)], "plate string, event_key string, arrival long")

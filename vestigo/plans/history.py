@@ -367,8 +367,7 @@ def latest_by_plate(spark, sf):
     return K.latest_by_plate(webhook_events(spark, sf))
 
 
-@query(
-    "plate_history",
+HISTORY_SQL = (
     _EVENT_SQL.replace("WITH ", "WITH RECURSIVE ", 1)
     + """, o AS (SELECT plate, event_key, arrival, row_number() OVER (PARTITION BY plate ORDER BY arrival) AS rn FROM ev WHERE plate <> ''),
     walk AS (SELECT plate, rn, [{'k': event_key, 'a': arrival}] AS h FROM o WHERE rn = 1
@@ -378,8 +377,11 @@ def latest_by_plate(spark, sf):
       FROM walk w JOIN o ON o.plate = w.plate AND o.rn = w.rn + 1),
     last AS (SELECT plate, arg_max(h, rn) AS h FROM walk GROUP BY plate),
     x AS (SELECT plate, unnest(h) AS e, generate_subscripts(h, 1) AS position FROM last)
-    SELECT plate, position, e.k AS event_key, e.a AS arrival FROM x""",
+    SELECT plate, position, e.k AS event_key, e.a AS arrival FROM x"""
 )
+
+
+@query("plate_history", HISTORY_SQL)
 def plate_history(spark, sf):
     return K.plate_history(webhook_events(spark, sf))
 

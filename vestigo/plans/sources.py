@@ -10,14 +10,14 @@ from vestigo.functions.numbers import rnd
 from vestigo.operators import bench as B, integrity as I, webhooks as K
 from vestigo.plans.bench import catalog
 from vestigo.plans.derived import add, load, read, with_tables
-from vestigo.plans.history import _EVENT_SQL, _UPSERT, webhook_events
+from vestigo.plans.history import _EVENT_SQL, _UPSERT, HISTORY_SQL, webhook_events
 from vestigo.plans.integrity import FIELDS, _CHAIN_SQL, entries
 from vestigo.plans.registry import query, r, xsum
 from vestigo.plans.video import TRACK_SQL
 from vestigo.plans.vehicles import REFERENCE_SQL, NORM, reference
 from vestigo.session import checkpoint_dir
 from vestigo.sources import files as S, webhooks as W
-from vestigo.streaming import events as E
+from vestigo.streaming import events as E, stateful as Y
 
 
 def scratch(spark, name):
@@ -274,24 +274,54 @@ def event_upsert_stream(spark, sf):
     return E.current_events(spark.read.parquet(f"{base}/events")).select(*_UPSERT)
 
 
+def _drained(spark, stream, base, mode="append"):
+    """Run a stream with state of its own until all that has landed is read; rows go to {base}/out."""
+    with Y.keyed_state(spark):
+        start = E.write_append if mode == "append" else E.write_upsert
+        running = start(stream, f"{base}/out", f"{base}/ckpt")
+    _run(running)
+    return running
+
+
+def _land(rows, turn, path, first, last):
+    """Append rows turn by turn, one file each, so a stream of one file a batch reads them in that order."""
+    for n in range(first, last):
+        rows.where(F.col(turn) == n).drop(turn).coalesce(1).write.mode("append").parquet(path)
+
+
+def _plate_rows(spark, sf):
+    """Plate states after a run over three files and, from the same checkpoint, one over two more."""
+    base = scratch(spark, "plates")
+    bodies = _bodies(spark, sf)
+    newest = bodies.agg(F.max("arrival")).first()[0]
+    turned = bodies.withColumn("_turn", F.least(F.floor(F.col("arrival") * 5 / (newest + 1)), F.lit(4)))
+    for first, last in ((0, 3), (3, 5)):
+        _land(turned, "_turn", f"{base}/raw", first, last)
+        stream = spark.readStream.schema(bodies.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/raw")
+        checked = W.check(stream, _SECRET, _TOKEN, "Bearer").where(W.accepted())
+        state = Y.plate_state(K.normalize_webhook(checked.select("arrival", "event_time", F.col("body").alias("payload"))))
+        _drained(spark, state, base, "update")
+    landed = T.StructType([*state.schema.fields, T.StructField("batch", T.LongType())])
+    return E.latest_rows(spark.read.schema(landed).parquet(f"{base}/out"), ["plate"])
+
+
+_GOOD_SQL = _EVENT_SQL + ", good AS (SELECT * FROM ev WHERE arrival%23<>0 AND arrival%10<>0 AND arrival%17<>0 AND plate <> '')"
+
+
 @query(
     "latest_by_plate_stream",
-    _EVENT_SQL
-    + """, g AS (SELECT * FROM ev WHERE arrival%23<>0 AND arrival%10<>0 AND arrival%17<>0 AND plate <> ''),
-    u AS (SELECT *, row_number() OVER (PARTITION BY event_key ORDER BY arrival DESC) AS n FROM g),
-    l AS (SELECT plate, max(arrival) AS arrival, arg_max(event_key, arrival) AS event_key FROM u WHERE n = 1 GROUP BY plate) SELECT * FROM l""",
+    _GOOD_SQL
+    + """ SELECT plate, max(arrival) AS arrival, arg_max(event_key, arrival) AS event_key, arg_max(status, arrival) AS status,
+      coalesce(arg_max(request_id, arrival) FILTER (request_id <> ''), '') AS latest_request_id, count(*) AS arrivals FROM good GROUP BY plate""",
 )
 def latest_by_plate_stream(spark, sf):
-    latest = K.latest_by_plate(event_upsert_stream_rows(spark, sf))
-    return latest.select("plate", "arrival", "event_key")
+    return _plate_rows(spark, sf).select("plate", "arrival", "event_key", "status", "latest_request_id", "arrivals")
 
 
-def event_upsert_stream_rows(spark, sf):
-    base = scratch(spark, "latest")
-    _bodies(spark, sf).repartition(4).write.json(f"{base}/raw")
-    stream = W.read_stream(spark, f"{base}/raw", files_per_trigger=2)
-    _run(E.intake(stream, f"{base}/events", f"{base}/rejects", f"{base}/ckpt", _SECRET, _TOKEN, "Bearer"))
-    return E.current_events(spark.read.parquet(f"{base}/events"))
+@query("plate_history_stream", HISTORY_SQL.replace("FROM ev WHERE", "FROM ev WHERE arrival%23<>0 AND arrival%10<>0 AND arrival%17<>0 AND"))
+def plate_history_stream(spark, sf):
+    keys = _plate_rows(spark, sf).select("plate", F.posexplode("history").alias("position", "_h"))
+    return keys.select("plate", (F.col("position") + 1).cast("bigint").alias("position"), "_h.event_key", "_h.arrival")
 
 
 def _event_stream(spark, sf):
@@ -300,12 +330,6 @@ def _event_stream(spark, sf):
     return raw.withColumn("event_time", F.col("ts").cast("timestamp"))
 
 
-def _drain(spark, stream, name):
-    base = scratch(spark, name)
-    _run(E.write_append(stream, f"{base}/out", f"{base}/ckpt"))
-    return spark.read.schema(stream.schema).parquet(f"{base}/out")
-
-
 def _drain_windows(spark, stream, name, keys):
     """All windows of a finite run, the last ones as they stand when the input ends."""
     base = scratch(spark, name)
@@ -334,32 +358,139 @@ def audit_windows_stream(spark, sf):
     return _drain_windows(spark, E.audit_windows(log), "audit", ["window_start", "event_type"])
 
 
-@query("open_requests_stream")
+# Events dealt over five files by their time, some up to nine minutes after newer ones (`on time`) or, one
+# in fifty, a whole file later (`late`).
+_TURN_SQL = """WITH b AS (SELECT min(epoch_us(ts)) AS lo, max(epoch_us(ts)) - min(epoch_us(ts)) + 1 AS span FROM events),
+  turned AS (SELECT events.*, least(4, ((epoch_us(ts) - lo + (event_id%10)*60000000)*5)//span + CASE WHEN event_id%50=7 THEN 1 ELSE 0 END) AS turn FROM events, b)"""
+
+
+def _turned_events(spark, sf, with_late):
+    events = read(spark, sf, "events").withColumn("event_time", F.col("ts").cast("timestamp")).drop("ts")
+    at = F.unix_micros("event_time")
+    lo, hi = events.agg(F.min(at), F.max(at)).first()
+    turn = F.floor((at - lo + (F.col("event_id") % 10) * 60_000_000) * 5 / (hi - lo + 1))
+    if with_late:
+        turn = turn + F.when(F.col("event_id") % 50 == 7, 1).otherwise(0)
+    return events.withColumn("_turn", F.least(turn, F.lit(4)))
+
+
+def _dealt_stream(spark, rows, base, event_time=None):
+    """The rows landed turn by turn, with the end marker if their event time is named, as a stream of one file a batch."""
+    _land(rows, "_turn", f"{base}/in", 0, 5)
+    schema = rows.drop("_turn").schema
+    if event_time:
+        Y.close_input(spark, schema, f"{base}/in", event_time)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+
+
+@query(
+    "open_requests_stream",
+    """WITH k AS (SELECT concat_ws(':', user_id::VARCHAR, props) AS id, ts, user_id::VARCHAR AS plate, event_type FROM events)
+    SELECT id AS request_id, epoch_us(ts) AS request_time, plate FROM k q WHERE event_type = 'view' AND NOT EXISTS
+      (SELECT 1 FROM k r WHERE r.event_type = 'click' AND r.id = q.id AND r.ts >= q.ts AND r.ts <= q.ts + INTERVAL 1 HOUR)""",
+)
 def open_requests_stream(spark, sf):
-    key = F.concat_ws(":", F.col("user_id").cast("string"), "props")
-    events = _event_stream(spark, sf)
-    requests = events.where("event_type = 'view'").select(key.alias("request_id"), F.col("event_time").alias("request_time"), F.col("user_id").cast("string").alias("plate"))
-    replies = _event_stream(spark, sf).where("event_type = 'click'").select(key.alias("reply_id"), F.col("event_time").alias("reply_time"))
-    return _drain(spark, E.open_requests(requests, replies), "open")
+    base = scratch(spark, "open")
+    events = _turned_events(spark, sf, with_late=False).where("event_type IN ('view', 'click')")
+    messages = events.select(
+        F.concat_ws(":", F.col("user_id").cast("string"), "props").alias("request_id"),
+        "event_time",
+        F.col("user_id").cast("string").alias("plate"),
+        (F.col("event_type") == "click").alias("is_reply"),
+        "_turn",
+    )
+    waiting = Y.open_requests(_dealt_stream(spark, messages, base, "event_time"), E.LATENESS)
+    _drained(spark, waiting, base)
+    done = spark.read.schema(waiting.schema).parquet(f"{base}/out")
+    return done.withColumn("request_time", F.unix_micros("request_time"))
+
+
+@query(
+    "late_rows_stream",
+    _TURN_SQL
+    + """, newest AS (SELECT turn, max(max(ts)) OVER (ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS mark FROM turned GROUP BY turn)
+    SELECT event_id, event_type, coalesce(ts <= mark - INTERVAL 10 MINUTE, false) AS late FROM turned JOIN newest USING (turn)""",
+)
+def late_rows_stream(spark, sf):
+    base = scratch(spark, "late")
+    stream = _dealt_stream(spark, _turned_events(spark, sf, with_late=True), base)
+    _run(Y.split_late(stream, "event_time", f"{base}/kept", f"{base}/late", f"{base}/marks", f"{base}/ckpt", E.LATENESS))
+    read_back = lambda name: spark.read.schema(stream.schema).parquet(f"{base}/{name}").select("event_id", "event_type", F.lit(name == "late").alias("late"))
+    return read_back("kept").unionByName(read_back("late"))
+
+
+@query(
+    "audit_sessions_stream",
+    """WITH m AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS opens
+      FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+    s AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM m)
+    SELECT user_id AS case_id, epoch_us(min(ts)) AS session_start, epoch_us(max(ts)) + 1800000000 AS session_end, count(*) AS events FROM s GROUP BY user_id, n""",
+)
+def audit_sessions_stream(spark, sf):
+    base = scratch(spark, "sessions")
+    log = _turned_events(spark, sf, with_late=False).select(F.col("user_id").alias("case_id"), "event_time", "_turn")
+    sessions = E.audit_sessions(_dealt_stream(spark, log, base, "event_time"))
+    _run(E.write_append(sessions, f"{base}/out", f"{base}/ckpt"))
+    done = spark.read.schema(sessions.schema).parquet(f"{base}/out")
+    return done.select("case_id", F.unix_micros("session_start").alias("session_start"), F.unix_micros("session_end").alias("session_end"), "events")
+
+
+def _latency_spans(spark, sf):
+    return _event_stream(spark, sf).select(
+        F.col("event_type").alias("stage"), "event_time", F.col("value").alias("duration_ms"), F.when(F.col("user_id") % 10 == 0, "error").otherwise("ok").alias("status")
+    )
+
+
+def _at_rank(q):
+    return f"list_sort(list(value))[greatest(1, ceil({q}::DOUBLE*count(*)))::BIGINT]"
 
 
 @query(
     "latency_windows_stream",
     f"""SELECT event_type AS stage, epoch_us(date_trunc('hour', ts))//1000000 AS window_start, count(*) AS n, count(*) FILTER (user_id%10=0) AS errors,
-      {r('avg(value)', 4)} AS mean_ms FROM events GROUP BY ALL""",
+      {r('avg(value)', 4)} AS mean_ms, {_at_rank(0.5)} AS p50, {_at_rank(0.9)} AS p90, {_at_rank(0.99)} AS p99 FROM events GROUP BY ALL""",
 )
 def latency_windows_stream(spark, sf):
-    spans = _event_stream(spark, sf).select(
-        F.col("event_type").alias("stage"), "event_time", F.col("value").alias("duration_ms"), F.when(F.col("user_id") % 10 == 0, "error").otherwise("ok").alias("status")
+    done = _drain_windows(spark, E.latency_windows(_latency_spans(spark, sf)), "latency", ["stage", "window_start"])
+    return done.select("stage", "window_start", "n", "errors", rnd(F.col("mean_ms"), 4).alias("mean_ms"), "p50", "p90", "p99")
+
+
+#: Twice the sketch's rank error at 99 %.
+_RANK_SLACK = 0.027
+
+
+@query(
+    "latency_daily_stream",
+    """SELECT event_type AS stage, epoch_us(date_trunc('day', ts))//1000000 AS day, count(*) AS n, true AS p50_holds, true AS p90_holds, true AS p99_holds
+    FROM events GROUP BY ALL""",
+)
+def latency_daily_stream(spark, sf):
+    """Days from the sketches of their hours; each quantile is held against the rank it has in the events."""
+    hours = _drain_windows(spark, E.latency_sketches(_latency_spans(spark, sf)), "sketches", ["stage", "window_start"])
+    hours = hours.withColumn("day", F.col("window_start") - F.pmod("window_start", F.lit(86400)))
+    asked = {"p50": 0.5, "p90": 0.9, "p99": 0.99}
+    days = E.merged_quantiles(hours, ["stage", "day"], asked)
+    events = read(spark, sf, "events").select(
+        F.col("event_type").alias("stage"), F.unix_timestamp(F.date_trunc("day", "ts")).alias("day"), F.col("value").cast("double").alias("_v")
     )
-    done = _drain_windows(spark, E.latency_windows(spans), "latency", ["stage", "window_start"])
-    return done.select("stage", "window_start", "n", "errors", rnd(F.col("mean_ms"), 4).alias("mean_ms"))
+
+    def holds(name):
+        low, high = F.count_if(F.col("_v") < F.col(name)), F.count_if(F.col("_v") <= F.col(name))
+        slack = F.greatest(F.lit(1.0), _RANK_SLACK * F.first("n"))
+        return ((low <= asked[name] * F.first("n") + slack) & (high >= asked[name] * F.first("n") - slack)).alias(f"{name}_holds")
+
+    return events.join(days, ["stage", "day"]).groupBy("stage", "day").agg(F.first("n").alias("n"), *[holds(name) for name in asked])
 
 
 @query("track_vehicles_stream", TRACK_SQL + " SELECT video_id, det_id, track AS track_id FROM t")
 def track_vehicles_stream(spark, sf):
+    """Detections a quarter of an hour apart, dealt over five files, a third of them one step late."""
     base = scratch(spark, "tracks")
     boxes = load(spark, sf, "track_detections").select("video_id", "det_id", "timestamp_seconds", "x1", "y1", "x2", "y2")
-    boxes.write.parquet(f"{base}/in")
-    stream = spark.readStream.schema(boxes.schema).parquet(f"{base}/in")
-    return _drain(spark, E.assign_tracks_stream(stream), "tracked")
+    behind = F.when(F.col("det_id") % 3 == 0, 1).otherwise(0)
+    dealt = boxes.withColumn("event_time", F.timestamp_seconds(F.col("timestamp_seconds") * 900)).withColumn(
+        "_turn", F.least(F.floor((F.col("timestamp_seconds") - 1 + behind) * 5 / 7), F.lit(4))
+    )
+    tracked = Y.tracks(_dealt_stream(spark, dealt, base, "event_time"), "20 minutes")
+    _drained(spark, tracked, base)
+    return spark.read.schema(tracked.schema).parquet(f"{base}/out")
