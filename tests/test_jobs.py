@@ -315,3 +315,39 @@ def test_stream_windows_add_up_over_micro_batches(spark):
     want = B.audit_rollup(frames)
     key = lambda df: sorted((r.window_start, r.event_type, r.events) for r in df.collect())
     assert key(got) == key(want) and len(key(got)) == 8
+
+
+def test_ranked_lists_give_the_best_rows_of_all(spark):
+    """vehicle_search against scoring every index and reference row, blanks, ties and missing years included."""
+    rnd = random.Random(6)
+    makes, models, colours = ["fiat", "ford", "for", ""], ["uno", "uno mille", "ka", "Ká", "mille"], ["red", "dark red", "blue", ""]
+    index = [(i, rnd.choice(makes), rnd.choice(models), rnd.choice([1998, 1999, 2000, 2001, 2004, None]), rnd.choice(colours)) for i in range(300)]
+    reference = [
+        (m, f"{n}", sorted(rnd.sample(range(1995, 2006), rnd.randint(0, 5))), i) for i, (m, n) in enumerate([(m, n) for m in makes[:3] for n in models])
+    ]
+    queries = [
+        (i, rnd.choice(["", "", "fiat", "ford", "nope"]), rnd.choice(["", "", "uno", "mille", "ka", "x"]), rnd.choice(["", "red", "blue"]), rnd.choice([None, 1999, 2002, 2010]))
+        for i in range(60)
+    ]
+    index_frame = spark.createDataFrame(index, "row_id long, make string, model string, year int, colour string")
+    reference_frame = spark.createDataFrame(reference, "make string, model string, years array<int>, position long")
+    query_frame = spark.createDataFrame(queries, "query_id long, make string, model string, colour string, year int")
+    limit = 5
+    first = V.search_metadata(query_frame, index_frame)
+    counts = {r.query_id: r["count"] for r in first.groupBy("query_id").count().collect()}
+    second = V.search_reference(query_frame, reference_frame)
+    want = {}
+    fold = lambda s: " ".join(s.lower().replace("á", "a").split())
+    rows = [(r, 0) for r in first.collect()] + [(r, 1) for r in second.collect() if counts.get(r.query_id, 0) < limit]
+    best = {}
+    for r, turn in rows:
+        key, order = (r.query_id, fold(r.make), fold(r.model), r.year, fold(r.colour)), (turn, -r.score, r.row_id)
+        if key not in best or order < best[key][0]:
+            best[key] = (order, r)
+    for query_id in {k[0] for k in best}:
+        found = sorted((v for k, v in best.items() if k[0] == query_id), key=lambda v: (-v[1].score, v[0], (v[1].year is not None, v[1].year)))
+        want[query_id] = [(r.make, r.model, r.year, r.colour, r.score, r.source) for _, r in found[:limit]]
+    got = {}
+    for r in V.vehicle_search(query_frame, index_frame, reference_frame, limit).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.make, r.model, r.year, r.colour, r.score, r.source))
+    assert got == want

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from vestigo.functions.numbers import rnd
 from vestigo.functions.text import norm_lower, norm_upper, years_in
+from vestigo.session import stash
 
 # Search scores.
 INDEX_BASE, REFERENCE_BASE = 1.0, 0.8
@@ -60,7 +61,7 @@ def containment_pairs(left: DataFrame, right: DataFrame, a: str, b: str) -> Data
     """Pairs of distinct texts (a of left, b of right) of which one contains the other.
 
     The longer text is cut into its substrings, which meet the shorter one by equality: only true
-    pairs are ever formed.
+    pairs are ever formed. Each side is read twice, so a long derivation is better stored first.
     """
     la, rb = left.select(a).distinct(), right.select(b).distinct()
     in_b = rb.select(b, F.explode(_substrings(F.col(b))).alias(a)).join(la, a)
@@ -76,6 +77,7 @@ def match_model(queries: DataFrame, reference: DataFrame) -> DataFrame:
     wanted = queries.select(
         "make", "model", norm_lower(F.col("make")).alias("make_norm"), norm_lower(F.col("model")).alias("model_norm")
     ).distinct()
+    wanted = stash(wanted, "match-wanted")
     ref = reference.select(
         norm_lower(F.col("make")).alias("make_norm"),
         norm_lower(F.col("model")).alias("name_norm"),
@@ -83,6 +85,7 @@ def match_model(queries: DataFrame, reference: DataFrame) -> DataFrame:
         "years",
         "position",
     ).where((F.col("make_norm") != "") & (F.col("name_norm") != ""))
+    ref = stash(ref, "match-reference")
     usable = wanted.where((F.col("make_norm") != "") & (F.col("model_norm") != "")).select("make_norm", "model_norm").distinct()
     near = usable.join(containment_pairs(usable, ref, "model_norm", "name_norm"), "model_norm").join(
         ref, ["make_norm", "name_norm"]
@@ -130,12 +133,9 @@ def _query_norms(queries: DataFrame) -> DataFrame:
     )
 
 
-def search_metadata(queries: DataFrame, index: DataFrame) -> DataFrame:
-    """Index rows that answer each query, scored by colour, year and exact model.
-
-    Copies of one (make, model, year, colour) are reduced to the first before any join.
-    """
-    unique = (
+def _index_rows(index: DataFrame) -> DataFrame:
+    """The first row of each (make, model, year, colour), with its normal forms."""
+    return (
         index.select(
             "row_id",
             "make",
@@ -150,8 +150,10 @@ def search_metadata(queries: DataFrame, index: DataFrame) -> DataFrame:
         .agg(F.min_by(F.struct("make", "model", "colour", "row_id"), "row_id").alias("r"))
         .select("make_norm", "model_norm", "colour_norm", "year", "r.*")
     )
-    gap = F.abs(F.col("year") - F.col("q_year"))
-    colour = F.col("q_colour")
+
+
+def _index_score() -> Column:
+    gap, colour = F.abs(F.col("year") - F.col("q_year")), F.col("q_colour")
     score = (
         F.lit(INDEX_BASE)
         + F.when((colour != "") & (F.col("colour_norm") == colour), 0.5)
@@ -160,13 +162,23 @@ def search_metadata(queries: DataFrame, index: DataFrame) -> DataFrame:
         + F.when(gap == 0, 0.4).when(gap <= 2, 0.2).otherwise(0.0)
         + F.when((F.col("q_model") != "") & (F.col("model_norm") == F.col("q_model")), 0.3).otherwise(0.0)
     )
-    return _reachable(_query_norms(queries), unique).select(
+    return rnd(score, 6)
+
+
+def search_metadata(queries: DataFrame, index: DataFrame) -> DataFrame:
+    """All index rows that answer each query, scored by colour, year and exact model.
+
+    Copies of one (make, model, year, colour) are reduced to the first before any join. Where only the
+    best rows count, `vehicle_search` reads ranked lists instead.
+    """
+    unique = stash(_index_rows(index), "search-index")
+    return _reachable(stash(_query_norms(queries), "search-queries"), unique).select(
         "query_id",
         "make",
         "model",
         "year",
         "colour",
-        rnd(score, 6).alias("score"),
+        _index_score().alias("score"),
         F.lit("index").alias("source"),
         "row_id",
     )
@@ -206,34 +218,154 @@ def search_reference(queries: DataFrame, reference: DataFrame) -> DataFrame:
     )
 
 
+def _under_any(rows: DataFrame, *names: str) -> DataFrame:
+    """Each row under every key: a column's own value (if there is one) or null, which stands for any."""
+    for c in names:
+        own_and_any = F.when(F.col(c).isNull(), F.array(F.col(c))).otherwise(F.array(F.col(c), F.lit(None)))
+        rows = rows.withColumn(f"k_{c}", F.explode(own_and_any))
+    return rows
+
+
+def _first_of(rows: DataFrame, keys: list[str], order: list[str], keep: int) -> DataFrame:
+    """The first rows of each key; all but those are pruned before the shuffle."""
+    place = Window.partitionBy(*keys).orderBy(*order)
+    return rows.withColumn("_n", F.row_number().over(place)).where(F.col("_n") <= keep).drop("_n")
+
+
+INDEX_KEYS = ["k_make_norm", "k_model_norm", "k_colour_norm", "k_year"]
+REFERENCE_KEYS = ["k_make_norm", "k_model_norm", "kind", "k_year"]
+# What a reference list's rows have in common: any year, a year they name, or no year asked.
+ANY_YEAR, SAME_YEAR, NO_YEAR = range(3)
+
+
+def index_lists(rows: DataFrame, keep: int) -> DataFrame:
+    """Ranked lists of index rows, the first `keep` by row_id under each key.
+
+    A key fixes or leaves open make, model, colour and year. A query's score depends on a row only
+    through agreement in those, so the rows of one list that a query finds under its own key score at least alike,
+    and its best `keep` rows lie at the heads of the lists of the values that raise the score, together
+    with those that leave them open. `rows`: as `_index_rows` gives.
+    """
+    return _first_of(_under_any(rows, "make_norm", "model_norm", "colour_norm", "year"), INDEX_KEYS, ["row_id"], keep)
+
+
+def reference_lists(reference: DataFrame, keep: int) -> DataFrame:
+    """Ranked lists of reference models, the first `keep` by position under each key of make, model and year."""
+    years = F.array_compact(F.coalesce("years", F.array().cast("array<int>")))
+    entry = lambda kind, key, year: F.struct(F.lit(kind).alias("kind"), key.cast("int").alias("k_year"), year.cast("int").alias("year"))
+    none = F.lit(None)
+    first_years = F.transform(F.slice(years, 1, 3), lambda y: entry(NO_YEAR, none, y))
+    entries = F.concat(
+        F.array(entry(ANY_YEAR, none, none)),
+        F.transform(F.array_distinct(years), lambda y: entry(SAME_YEAR, y, none)),
+        F.when(F.size(years) > 0, first_years).otherwise(F.array(entry(NO_YEAR, none, none))),
+    )
+    named = reference.select(
+        "model", "position", norm_lower(F.col("make")).alias("make_norm"), norm_lower(F.col("model")).alias("model_norm"), F.inline(entries)
+    )
+    # models whose normal forms are alike give one answer
+    unique = named.groupBy("make_norm", "model_norm", "kind", "k_year", "year").agg(F.min_by("model", "position").alias("model"), F.min("position").alias("position"))
+    return _first_of(_under_any(unique, "make_norm", "model_norm"), REFERENCE_KEYS, ["position", "year"], keep)
+
+
+def _list_names(wanted: DataFrame, names: DataFrame) -> DataFrame:
+    """Make and model keys of each query: the names that agree with its own by containment, null where it has none.
+
+    `names`: the (make_norm, model_norm) there are, so no key without rows is formed from two names.
+    """
+    makes = containment_pairs(wanted.where("q_make <> ''"), names, "q_make", "make_norm")
+    models = containment_pairs(wanted.where("q_model <> ''"), names, "q_model", "model_norm")
+    open_ = F.lit(None).cast("string")
+    columns = [*wanted.columns, "k_make_norm", "k_model_norm"]
+    by_make = wanted.where("q_make <> ''").join(makes, "q_make").withColumnRenamed("make_norm", "k_make_norm")
+    both = (
+        by_make.where("q_model <> ''")
+        .join(names.withColumnRenamed("make_norm", "k_make_norm"), "k_make_norm")
+        .join(models, ["q_model", "model_norm"])
+        .withColumnRenamed("model_norm", "k_model_norm")
+    )
+    model_only = wanted.where("q_make = '' AND q_model <> ''").join(models, "q_model").withColumnRenamed("model_norm", "k_model_norm")
+    parts = [
+        both,
+        by_make.where("q_model = ''").withColumn("k_model_norm", open_),
+        model_only.withColumn("k_make_norm", open_),
+        wanted.where("q_make = '' AND q_model = ''").withColumn("k_make_norm", open_).withColumn("k_model_norm", open_),
+    ]
+    out = parts[0].select(*columns)
+    for part in parts[1:]:
+        out = out.unionByName(part.select(*columns))
+    return out
+
+
+def _met(keys: DataFrame, lists: DataFrame, names: list[str]) -> DataFrame:
+    """Query keys joined to the lists of the same key, open parts included."""
+    renamed = keys.select(*[F.col(c).alias(f"_{c}") if c in names else F.col(c) for c in keys.columns])
+    condition = F.lit(True)
+    for c in names:
+        condition = condition & F.col(f"_{c}").eqNullSafe(F.col(c))
+    return renamed.join(lists, condition).drop(*[f"_{c}" for c in names])
+
+
 def vehicle_search(queries: DataFrame, index: DataFrame, reference: DataFrame, limit: int = 20) -> DataFrame:
     """Index answers, completed from the reference where they are fewer than `limit`; best `limit`.
 
-    The best rows are exact: nothing is cut before scoring.
+    Exact, though no query meets more than the heads of ranked lists (`index_lists`, `reference_lists`),
+    however much a blank make or model leaves open. Equal queries are answered once.
     """
-    first = search_metadata(queries, index)
-    enough = first.groupBy("query_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= limit)
-    second = search_reference(queries.join(enough, "query_id", "left_anti"), reference)
-    turn = F.when(F.col("source") == "index", 0).otherwise(1)
-    order = F.struct(turn.alias("turn"), (-F.col("score")).alias("neg"), F.col("row_id").alias("id"))
+    asked = stash(_query_norms(queries), "search-queries")
+    own = ["q_make", "q_model", "q_year", "q_colour"]
+    wanted = asked.select(*own).distinct()
+    rows, models = stash(_index_rows(index), "search-index"), stash(reference_lists(reference, 2 * limit), "search-reference")
+    lists = stash(index_lists(rows, limit), "search-lists")
+    known = rows.select("make_norm", "model_norm").union(models.select("make_norm", "model_norm")).distinct()
+    named = stash(_list_names(wanted, known), "search-keys")
+
+    colours = rows.select("colour_norm").distinct()
+    inside = colours.select(F.col("colour_norm").alias("k_colour_norm"), F.explode(_substrings(F.col("colour_norm"))).alias("q_colour"))
+    inside = inside.where("q_colour <> ''").unionByName(
+        wanted.select("q_colour").distinct().select(F.lit(None).cast("string").alias("k_colour_norm"), "q_colour")
+    )
+    any_year = F.lit(None).cast("int")
+    years = F.when(F.col("q_year").isNotNull(), F.concat(F.array(any_year), F.sequence(F.col("q_year") - 2, F.col("q_year") + 2)))
+    keys = named.join(inside, "q_colour").withColumn("k_year", F.explode(F.coalesce(years, F.array(any_year))))
+    found = _met(keys, lists, INDEX_KEYS).dropDuplicates([*own, "row_id"]).withColumn("score", _index_score())
+    best = Window.partitionBy(*own).orderBy(F.col("score").desc(), "row_id")
+    first = found.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= limit)
+    first = stash(first.select(*own, "make", "model", "year", "colour", "score", F.lit(0).alias("turn"), F.col("row_id").alias("id"), "_n"), "search-first")
+
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in own]
+    enough = first.where(F.col("_n") == limit).select(*[F.col(c).alias(f"_{c}") for c in own])
+    short = named.join(enough, same[0] & same[1] & same[2] & same[3], "left_anti")
+    key = lambda kind, year: F.struct(F.lit(kind).alias("kind"), year.cast("int").alias("k_year"))
+    around = F.transform(F.sequence(F.col("q_year") - 2, F.col("q_year") + 2), lambda y: key(SAME_YEAR, y))
+    kinds = F.when(F.col("q_year").isNotNull(), F.concat(F.array(key(ANY_YEAR, any_year)), around)).otherwise(F.array(key(NO_YEAR, any_year)))
+    short = short.select("*", F.inline(kinds)).withColumn("_gap", F.abs(F.col("k_year") - F.col("q_year")))
+    hits = _met(short, models, REFERENCE_KEYS)
+    score = (
+        F.lit(REFERENCE_BASE)
+        + F.when((F.col("q_make") != "") & (F.col("make_norm") == F.col("q_make")), 0.2).otherwise(0.0)
+        + F.when((F.col("q_model") != "") & (F.col("model_norm") == F.col("q_model")), 0.3).otherwise(0.0)
+        + F.when(F.col("_gap") == 0, 0.3).when(F.col("_gap") > 0, 0.1).otherwise(0.0)
+    )
+    second = hits.select(
+        *own, F.col("make_norm").alias("make"), "model", F.coalesce("q_year", "year").alias("year"), F.lit("").alias("colour"),
+        rnd(score, 6).alias("score"), F.lit(1).alias("turn"), F.col("position").alias("id"),
+    )
+    order = F.struct("turn", (-F.col("score")).alias("neg"), "id")
     unique = (
-        first.unionByName(second)
+        first.drop("_n")
+        .unionByName(second)
         .withColumn("_o", order)
-        .groupBy(
-            "query_id",
-            norm_lower(F.col("make")).alias("_make"),
-            norm_lower(F.col("model")).alias("_model"),
-            "year",
-            norm_lower(F.col("colour")).alias("_colour"),
-        )
-        .agg(F.min_by(F.struct("make", "model", "colour", "score", "source"), "_o").alias("r"), F.min("_o").alias("_o"))
-    )
-    best = Window.partitionBy("query_id").orderBy(F.col("r.score").desc(), "_o", "year")
-    return (
-        unique.withColumn("rank", F.row_number().over(best).cast("bigint"))
-        .where(F.col("rank") <= limit)
-        .select("query_id", "rank", "r.make", "r.model", "year", "r.colour", "r.score", "r.source")
+        .groupBy(*own, norm_lower(F.col("make")).alias("_make"), norm_lower(F.col("model")).alias("_model"), "year", norm_lower(F.col("colour")).alias("_colour"))
+        .agg(F.min_by(F.struct("make", "model", "colour", "score", "turn"), "_o").alias("r"), F.min("_o").alias("_o"))
     )
+    place = Window.partitionBy(*own).orderBy(F.col("r.score").desc(), "_o", "year")
+    answers = unique.withColumn("rank", F.row_number().over(place).cast("bigint")).where(F.col("rank") <= limit)
+    answers = answers.select(
+        *[F.col(c).alias(f"_{c}") for c in own], "rank", "r.make", "r.model", "year", "r.colour", "r.score",
+        F.when(F.col("r.turn") == 0, "index").otherwise("reference").alias("source"),
+    )
+    return asked.join(answers, same[0] & same[1] & same[2] & same[3]).select("query_id", "rank", "make", "model", "year", "colour", "score", "source")
 
 
 # -- fuzzy names -------------------------------------------------------------------------------
