@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from vestigo.llm.joins import small_side
 from vestigo.session import stash
 
 #: Bits of the hash that one level of the histogram resolves, and levels.
@@ -76,10 +77,13 @@ def thresholds(sizes: DataFrame, budgets: DataFrame) -> DataFrame:
     state = budgets.select(*keys, "_budget", F.lit(0).cast("long").alias("_at"), F.lit(0).cast("long").alias("_below"))
     for level in range(1, LEVELS + 1):
         inside = sizes.withColumn("_parent", _prefix(level - 1)).withColumn("_bucket", _prefix(level))
-        histogram = inside.groupBy(*keys, "_parent", "_bucket").agg(F.sum("size").alias("_sum"))
         at = state.withColumnRenamed("_at", "_parent")
+        if level > 1:  # the boundary's rows only, one bucket a source
+            inside = inside.join(small_side(at.select(*keys, "_parent")), [*keys, "_parent"], "left_semi")
+        histogram = inside.groupBy(*keys, "_parent", "_bucket").agg(F.sum("size").alias("_sum"))
         state = stash(_boundary(histogram.join(at, [*keys, "_parent"]), level), f"mix-level{level}")
-    last = sizes.withColumn("_at", F.col("_hash")).groupBy(*keys, "_at").agg(F.sum("size").alias("_sum"))
+    last = sizes.withColumn("_at", F.col("_hash")).join(small_side(state.select(*keys, "_at")), [*keys, "_at"], "left_semi")
+    last = last.groupBy(*keys, "_at").agg(F.sum("size").alias("_sum"))
     nearer = F.col("_below") + F.col("_sum") - F.col("_budget") <= F.col("_budget") - F.col("_below")
     cut = state.join(last, [*keys, "_at"]).select(*keys, (F.col("_at") + nearer.cast("long")).alias("_threshold"))
     return budgets.select(*keys).join(cut, keys, "left").select(*keys, F.coalesce("_threshold", F.lit(1 << 60)).alias("_threshold"))

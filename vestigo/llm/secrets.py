@@ -58,7 +58,8 @@ def spans(docs: DataFrame, scope: int = SCOPE, doc_id: str = "doc_id", text: str
     """(row, doc_id, kind, start, stop), code points and end exclusive; a row without spans has nulls there.
 
     A weak identifier needs a secret (weak, assigned or hexadecimal) whose start is within the scope of
-    its own, a weak secret an identifier, an endpoint both. An access span is not repeated as a weak one.
+    its own, a weak secret an identifier, an endpoint both, the identifier having a secret itself. A
+    part never counts as its own partner: partners don't overlap. An access span is not repeated as a weak one.
     """
     content = F.coalesce(F.col(text), F.lit(""))
     found = docs.select(
@@ -69,20 +70,29 @@ def spans(docs: DataFrame, scope: int = SCOPE, doc_id: str = "doc_id", text: str
     hits = found.select("row", "doc_id", F.explode_outer("_hits").alias("_h")).select("row", "doc_id", "_h.*").repartition("row")
     upto = Window.partitionBy("row", "kind").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = hits.withColumn("stop", F.sum(F.col("gap") + F.col("len")).over(upto)).withColumn("start", F.col("stop") - F.col("len"))
-    near = Window.partitionBy("row").orderBy("start").rangeBetween(-scope, scope)
+    by_start = Window.partitionBy("row").orderBy("start")
+    behind, ahead = by_start.rangeBetween(-scope, 0), by_start.rangeBetween(0, scope)
     names = [k[0] for k in KINDS]
     at = {name: names.index(name) for name in names}
     kind, ok = F.col("kind"), F.coalesce(F.col("ok"), F.lit(False))
     same_place = Window.partitionBy("row", "start")
     doubled = F.max((ok & (kind == at["access"])).cast("int")).over(same_place) == 1
-    has_id = F.max((ok & kind.isin(at["access"], at["weak_id"])).cast("int")).over(near) == 1
-    has_secret = F.max((ok & kind.isin(at["assign"], at["hex"], at["weak_secret"])).cast("int")).over(near) == 1
-    marked = placed.withColumn("_doubled", doubled).withColumn("_id", has_id).withColumn("_secret", has_secret)
+
+    def beside(part: Column) -> Column:
+        """Whether such a span within the scope ends before this one starts, or starts after it ends."""
+        ends = F.min(F.when(part, F.col("stop"))).over(behind) <= F.col("start")
+        starts = F.max(F.when(part, F.col("start"))).over(ahead) >= F.col("stop")
+        return F.coalesce(ends, F.lit(False)) | F.coalesce(starts, F.lit(False))
+
+    is_id = ok & kind.isin(at["access"], at["weak_id"])
+    is_secret = ok & kind.isin(at["assign"], at["hex"], at["weak_secret"])
+    marked = placed.withColumn("_doubled", doubled).withColumn("_id", beside(is_id)).withColumn("_secret", beside(is_secret))
+    marked = marked.withColumn("_pair", beside(is_id & F.col("_secret")))
     reported = (
         F.when(kind < len(BASE), ok)
         .when(kind == at["weak_id"], ok & F.col("_secret") & ~F.col("_doubled"))
         .when(kind == at["weak_secret"], ok & F.col("_id"))
-        .when(kind == at["endpoint"], ok & F.col("_id") & F.col("_secret"))
+        .when(kind == at["endpoint"], ok & F.col("_pair") & F.col("_secret"))
         .otherwise(False)
     )
     none = F.lit(None)
