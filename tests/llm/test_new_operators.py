@@ -77,6 +77,27 @@ def test_transducer_emits_early_holds_one_window_and_equals_the_whole(codec):
         assert out + machine.close() == codec.merged(word)
 
 
+def test_words_side_by_side_equal_words_alone(codec):
+    rnd = random.Random(6)
+    for size in (1, 2, 3, 7, 16, 40):
+        words = [bytes(rnd.choice(b"theinga ronAB1\xc3\xa9\n") for _ in range(size)) for _ in range(300)]
+        for word, row in zip(words, codec.merged_side_by_side(words)):
+            alone = codec.merged("".join(codec.alphabet[b] for b in word))
+            assert [codec.ids[t] for t in alone] == row[row >= 0].tolist()
+
+
+def test_few_remembered_words_change_nothing(codec, library, monkeypatch):
+    monkeypatch.setattr(bpe, "REMEMBERED_WORDS", 20)
+    monkeypatch.setattr(bpe, "GROUP_CHARS", 100)
+    monkeypatch.setattr(bpe, "SLICE", 40)
+    texts = odd_texts(300, seed=8) + ["", "x" * 500, "word " * 60, "<|endoftext|>"]
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert codec.encode_all(texts) == want
+    sums = codec.summaries(texts)
+    assert [s[0] for s in sums] == [len(ids) for ids in want]
+    assert [s[2] for s in sums] == [hashlib.sha256(t.encode()).hexdigest() for t in texts]
+
+
 def test_lookahead_is_sufficient_for_every_split(codec):
     """Whatever follows, a token stays once its lookahead has been seen."""
     rnd = random.Random(2)

@@ -5,7 +5,8 @@ of rank r, `a` waits for b and for whatever `b` waits for under ranks below r; t
 for what `b` waits for at that moment, as merges inside it can only be upset across its right end.
 One pass over the merge list in rank order gives every token's sufficient lookahead. The transducer
 holds one window: a token of the merged window is stable, and leaves, once its lookahead lies
-inside the window; then the window moves on. Decoding feeds token bytes to an incremental UTF-8
+inside the window; then the window moves on. Words shorter than the window end before anything leaves
+it, so new ones are merged side by side in arrays, and remembered. Decoding feeds token bytes to an incremental UTF-8
 state machine, which holds at most three bytes.
 """
 
@@ -19,6 +20,7 @@ import json
 import sys
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
@@ -31,7 +33,9 @@ SLICE = 1 << 16
 WORD_LOOKAHEAD = 3
 #: Words up to this length are remembered, in two generations of so many per Python worker.
 REMEMBERED_CHARS = 32
-REMEMBERED_WORDS = 250_000
+REMEMBERED_WORDS = 400_000
+#: Characters of neighbouring texts whose new words are merged together.
+GROUP_CHARS = 1 << 20
 
 # Fixed value: the published word pattern of byte-level BPE, {L}, {N} and {S} its letters, numbers and signs.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?{L}+| ?{N}+| ?{S}+|\s+(?!\S)|\s+"
@@ -109,6 +113,7 @@ class ByteBpe:
             self.careful_words = regex.compile(WORDS.format(L=own[0], N=own[1], S=signs), regex.V1)
         self.known: dict[str, Part] = {}
         self.older: dict[str, Part] = {}
+        self._array_tables(merges)
 
     @staticmethod
     def _refuse_others(spec: dict) -> None:
@@ -171,35 +176,127 @@ class ByteBpe:
                 heapq.heappush(waiting, (r, h, tokens[h], a + b))
         return [t for t in tokens if t]
 
+    def _array_tables(self, merges: list[tuple[str, str]]) -> None:
+        """Merges as sorted pair keys with their ranks, results by rank, and the token of each byte."""
+        ids = self.ids
+        keys = np.array([ids[a] << 32 | ids[b] for a, b in merges], np.int64)
+        order = np.argsort(keys)
+        self._keys, self._ranks = keys[order], order.astype(np.int32)
+        self._joined = np.array([ids[a + b] for a, b in merges], np.int64)
+        self._byte_ids = np.array([ids[c] for c in self.alphabet], np.int64)
+
+    def _rank_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of each pair, the number of merges where there is none."""
+        key = left << 32 | right
+        at = np.minimum(np.searchsorted(self._keys, key), len(self._keys) - 1)
+        return np.where((self._keys[at] == key) & (right >= 0), self._ranks[at], len(self._keys))
+
+    def merged_side_by_side(self, words: list[bytes]) -> np.ndarray:
+        """Ids of words of equal length in bytes, a row each with -1 behind them, as `merged` gives them
+        one by one: in every round each word joins its pair of best rank, the leftmost of equals."""
+        size, none = len(words[0]), len(self._keys)
+        tokens = np.full((len(words), size + 1), -1, np.int64)
+        tokens[:, :size] = self._byte_ids[np.frombuffer(b"".join(words), np.uint8).reshape(len(words), size)]
+        ranks = np.full((len(words), size + 1), none, np.int64)
+        if size > 1:
+            ranks[:, : size - 1] = self._rank_of(tokens[:, : size - 1], tokens[:, 1:size])
+        row, columns, out = np.arange(len(words)), np.arange(size + 1), np.empty_like(tokens)
+        while len(row):
+            place = ranks.argmin(axis=1)
+            best = ranks[np.arange(len(row)), place]
+            live = best < none
+            if not live.all():
+                out[row[~live]] = tokens[~live]
+                row, tokens, ranks, place, best = row[live], tokens[live], ranks[live], place[live], best[live]
+            every, here = np.arange(len(row)), place[:, None]
+            tokens[every, place] = self._joined[best]
+            tokens = np.take_along_axis(tokens, np.minimum(columns + (columns > here), size), axis=1)
+            ranks = np.take_along_axis(ranks, np.minimum(columns + (columns >= here), size), axis=1)
+            ranks[every, place] = self._rank_of(tokens[every, place], tokens[every, np.minimum(place + 1, size)])
+            before = np.flatnonzero(place)
+            at = place[before]
+            ranks[before, at - 1] = self._rank_of(tokens[before, at - 1], tokens[before, at])
+        return out
+
     def part(self, tokens: list[str]) -> Part:
         ids, surface = zip(*[self.token_part[t] for t in tokens])
         return b"".join(ids), b"".join(surface)
 
-    def _word(self, word: str) -> Part:
-        """A word that the younger generation lacks; what is asked for again moves up to it."""
-        part = self.older.get(word)
-        if part is None:
-            machine = Transducer(self)
-            part = self.part(machine.feed(word) + machine.close())
-        if len(word) > REMEMBERED_CHARS:
-            return part
+    def _learn(self, found: list[list[str]]) -> None:
+        """Sees to it that all these words are known; what the younger generation lacks moves up to it."""
         if len(self.known) >= REMEMBERED_WORDS:
             self.older, self.known = self.known, {}
-        self.known[word] = part
-        return part
-
-    def parts(self, text: str) -> Iterator[list[Part]]:
-        """The tokens of a text, a bounded stretch at a time."""
-        words = self.words if text.isascii() or self.odd.isdisjoint(text) else self.careful_words
-        for i, segment in enumerate(self.specials.split(text) if self.specials else [text]):
-            if i % 2:
+        lacking = set().union(*found).difference(self.known)
+        by_size: dict[int, list[str]] = {}
+        for word in lacking:
+            part = self.older.get(word)
+            if part is not None:
+                self.known[word] = part
+            elif len(word) > REMEMBERED_CHARS:
+                machine = Transducer(self)
+                self.known[word] = self.part(machine.feed(word) + machine.close())
+            else:
+                by_size.setdefault(len(word) if word.isascii() else len(word.encode()), []).append(word)
+        for size, words in by_size.items():
+            rows = self.merged_side_by_side([w.encode() for w in words])
+            flat, ends = rows[rows >= 0], np.cumsum((rows >= 0).sum(axis=1) * 4).tolist()
+            ids = flat.astype("<u4").tobytes()
+            surface = b"".join([self.surface[i] for i in flat.tolist()])  # every word has as many bytes
+            start = 0
+            for k, (word, end) in enumerate(zip(words, ends)):
+                self.known[word] = ids[start:end], surface[k * size : (k + 1) * size]
+                start = end
+
+    def _forget(self, found: list[list[str]]) -> None:
+        """Long words aren't kept."""
+        for word in {w for words in found for w in words if len(w) > REMEMBERED_CHARS}:
+            self.known.pop(word, None)
+
+    def grouped_parts(self, texts: Iterable[str]) -> Iterator[Iterator[list[Part]]]:
+        """The tokens of each text, a bounded stretch at a time; must be read text by text. New words of
+        neighbouring texts are merged together."""
+        group: list[list[tuple[bool, str, list[str]]]] = []
+        chars = 0
+        for text in texts:
+            # cutting short texts into words here, long ones while they are read
+            group.append([(special, s, self._pattern(text).findall(s) if not special and len(s) <= SLICE else []) for special, s in self._segments(text)])
+            chars += len(text)
+            if chars >= GROUP_CHARS:
+                yield from self._group(group)
+                group, chars = [], 0
+        yield from self._group(group)
+
+    def _group(self, group: list[list[tuple[bool, str, list[str]]]]) -> Iterator[Iterator[list[Part]]]:
+        found = [words for text in group for _, _, words in text if words]
+        if found:
+            self._learn(found)
+        parts = {w: self.known[w] for words in found for w in words if len(w) > REMEMBERED_CHARS}
+        self._forget(found)
+        # long texts learn words of their own meanwhile, so the group's words stay at hand
+        known = self.known
+        for text in group:
+            yield self._text_parts(text, known, parts)
+
+    def _text_parts(self, text: list[tuple[bool, str, list[str]]], known: dict[str, Part], long: dict[str, Part]) -> Iterator[list[Part]]:
+        for special, segment, words in text:
+            if special:
                 token = self.added[segment]
                 yield [(token.to_bytes(4, "little"), self.surface[token])]
-            else:
-                yield from self._segment_parts(segment, words)
+            elif words:
+                yield [known[w] if w in known else long[w] for w in words] if long else [known[w] for w in words]
+            elif segment:
+                yield from self._long_parts(segment, self._pattern(segment))
+
+    def _pattern(self, text: str) -> regex.Pattern:
+        return self.words if text.isascii() or self.odd.isdisjoint(text) else self.careful_words
+
+    def _segments(self, text: str) -> Iterator[tuple[bool, str]]:
+        """Stretches of a text that are added tokens, and those between."""
+        pieces = self.specials.split(text) if self.specials else [text]
+        return ((i % 2 == 1, piece) for i, piece in enumerate(pieces))
 
-    def _segment_parts(self, segment: str, words: regex.Pattern) -> Iterator[list[Part]]:
-        known, start, size = self.known.get, 0, len(segment)
+    def _long_parts(self, segment: str, words: regex.Pattern) -> Iterator[list[Part]]:
+        start, size = 0, len(segment)
         while start < size:
             piece = segment[start : start + SLICE]
             found = words.findall(piece)
@@ -208,8 +305,10 @@ class ByteBpe:
                 while found and used > len(piece) - WORD_LOOKAHEAD:
                     used -= len(found.pop())
             if found:
-                yield [known(w) or self._word(w) for w in found]
-                known = self.known.get  # the generations may have changed
+                self._learn([found])
+                parts = [self.known[w] for w in found]
+                self._forget([found])
+                yield parts
                 start += used
             else:  # one word fills the slice
                 end = words.match(segment, start).end()
@@ -218,31 +317,36 @@ class ByteBpe:
                     yield [self.part(tokens)]
                 start = end
 
-    def encode(self, text: str) -> list[int]:
-        out: list[int] = []
-        for parts in self.parts(text):
-            for ids, _ in parts:
-                out.extend(int.from_bytes(ids[i : i + 4], "little") for i in range(0, len(ids), 4))
+    def encode_all(self, texts: Iterable[str]) -> list[list[int]]:
+        out = []
+        for text in self.grouped_parts(texts):
+            out.append(np.frombuffer(b"".join([ids for parts in text for ids, _ in parts]), "<u4").tolist())
         return out
 
+    def encode(self, text: str) -> list[int]:
+        return self.encode_all([text])[0]
+
     def decode(self, ids: Iterable[int]) -> str:
         """Text of ids, a bad byte sequence giving U+FFFD; an id outside the vocabulary gives nothing."""
         machine = codecs.getincrementaldecoder("utf-8")("replace")
         surface = self.surface.get
         return "".join([machine.decode(surface(i, b"")) for i in ids]) + machine.decode(b"", True)
 
-    def summary(self, text: str) -> tuple[int, str, str]:
-        """Number of ids, digest of the ids, digest of the decoded text; holds one stretch at a time."""
-        count, ids, back = 0, hashlib.sha256(), hashlib.sha256()
-        machine = codecs.getincrementaldecoder("utf-8")("replace")
-        for parts in self.parts(text):
-            words, surfaces = zip(*parts)
-            tokens = b"".join(words)
-            count += len(tokens) // 4
-            ids.update(tokens)
-            back.update(machine.decode(b"".join(surfaces)).encode())
-        back.update(machine.decode(b"", True).encode())
-        return count, ids.hexdigest(), back.hexdigest()
+    def summaries(self, texts: Iterable[str]) -> list[tuple[int, str, str]]:
+        """Number of ids, digest of the ids, digest of the decoded text of each text; holds one stretch at a time."""
+        out = []
+        for text in self.grouped_parts(texts):
+            count, ids, back = 0, hashlib.sha256(), hashlib.sha256()
+            machine = codecs.getincrementaldecoder("utf-8")("replace")
+            for parts in text:
+                words, surfaces = zip(*parts)
+                tokens = b"".join(words)
+                count += len(tokens) // 4
+                ids.update(tokens)
+                back.update(machine.decode(b"".join(surfaces)).encode())
+            back.update(machine.decode(b"", True).encode())
+            out.append((count, ids.hexdigest(), back.hexdigest()))
+        return out
 
 
 class Transducer:
@@ -315,7 +419,7 @@ def encoded(docs: DataFrame, path: str, text: str = "text", out: str = "ids") ->
     @arrow_udf("array<int>")
     def ids(texts: pa.Array) -> pa.Array:
         codec = _codec(model)
-        return pa.array([codec.encode(t) for t in pc.fill_null(texts, "").to_pylist()], pa.list_(pa.int32()))
+        return pa.array(codec.encode_all(pc.fill_null(texts, "").to_pylist()), pa.list_(pa.int32()))
 
     return docs.withColumn(out, ids(F.col(text)))
 
@@ -343,7 +447,7 @@ def round_trip(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "
     @arrow_udf("struct<n_tokens: long, ids_sha256: string, decoded_sha256: string>")
     def summary(texts: pa.Array) -> pa.Array:
         codec = _codec(model)
-        rows = [codec.summary(t) for t in pc.fill_null(texts, "").to_pylist()]
+        rows = codec.summaries(pc.fill_null(texts, "").to_pylist())
         n, ids, back = zip(*rows) if rows else ((), (), ())
         return pa.StructArray.from_arrays(
             [pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())],
