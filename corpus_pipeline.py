@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import functools
-import os
 import uuid
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from vestigo.llm import jaccard, language, linededup, mixing, pieces
-from vestigo.llm.joins import small_side
+from vestigo.llm.joins import small_side, unused_name
 from vestigo.session import checkpoint_dir, release, stash, stashed, tune
 
 #: A document is rejected when it has no letter or no language has this share of the odds.
@@ -18,9 +18,8 @@ MIN_LANGUAGE_SCORE = 0.5
 
 
 def vocabulary() -> str:
-    """Path of the piece vocabulary: $PIECE_VOCABULARY or the public tokenizers' folder."""
-    folder = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
-    return os.environ.get("PIECE_VOCABULARY", f"{folder}/piece_bpe_32k.model")
+    """Path of the piece vocabulary."""
+    return public_tokenizers.path("piece_bpe_32k.model")
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -47,16 +46,18 @@ def _stage(fn: Stage) -> Stage:
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents with a recognised language."""
     model = language.fit(docs)
-    guessed = docs.withColumn("_p", language.identify(docs, model))
-    return guessed.where((F.col("_p.lang_pred") != language.UNDETERMINED) & (F.col("_p.score") >= MIN_LANGUAGE_SCORE)).drop("_p")
+    p = unused_name(docs.columns, "_p")
+    guessed = docs.withColumn(p, language.identify(docs, model))
+    return guessed.where((F.col(f"{p}.lang_pred") != language.UNDETERMINED) & (F.col(f"{p}.score") >= MIN_LANGUAGE_SCORE)).drop(p)
 
 
 @_stage
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut later occurrences of passages of 50 words or more; documents with nothing left go."""
-    cut = linededup.without_repeats(docs)
-    emptied = (F.col("_cut") > 0) & (F.trim(F.col("text")) == "")
-    kept = cut.where(~F.coalesce(emptied, F.lit(False))).drop("_cut")
+    lines = unused_name(docs.columns, "_cut")
+    cut = linededup.without_repeats(docs, cut=lines)
+    emptied = (F.col(lines) > 0) & F.regexp_like("text", F.lit(r"^[\x20\x09-\x0D]*$"))
+    kept = cut.where(~F.coalesce(emptied, F.lit(False))).drop(lines)
     return kept.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars"))).select(*docs.columns)
 
 
