@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import arrow_udf
 
-from vestigo.llm.joins import small_side
+from vestigo.llm.joins import is_small, small_side
 from vestigo.session import release, stash, stashed
 
 #: A repeated passage goes if it has so many words.
@@ -45,26 +45,32 @@ class Words:
         self.n = len(words)
         if self.n < min_words:
             return
-        own = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, self.n)
-        self._sums, self._back = [], []
-        for base, inverse in zip(_BASES, _INVERSES):
-            powers = np.full(self.n, base, np.uint64)
-            back = np.full(self.n, inverse, np.uint64)
-            powers[0] = back[0] = 1
-            own = _mix(own)
-            self._sums.append(np.concatenate([np.zeros(1, np.uint64), np.cumsum(own * np.cumprod(powers))]))
-            self._back.append(np.cumprod(back))
+        self._own = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, self.n)
+        self._kept: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
-    def hashes(self, start: np.ndarray, stop: np.ndarray) -> list[np.ndarray]:
+    def _running(self, family: int) -> tuple[np.ndarray, np.ndarray]:
+        """Running sums of one rolling hash and the inverse powers that shift them, derived when first asked for."""
+        if family not in self._kept:
+            powers, back = np.full(self.n, _BASES[family], np.uint64), np.full(self.n, _INVERSES[family], np.uint64)
+            powers[0] = back[0] = 1
+            own = self._own
+            for _ in range(family + 1):
+                own = _mix(own)
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(own * np.cumprod(powers))])
+            self._kept[family] = sums, np.cumprod(back)
+        return self._kept[family]
+
+    def hashes(self, start: np.ndarray, stop: np.ndarray, family: int) -> np.ndarray:
         """Of words start to stop - 1."""
         length = (stop - start).astype(np.uint64)
-        return [_mix((s[stop] - s[start]) * b[start] + length).view(np.int64) for s, b in zip(self._sums, self._back)]
+        sums, back = self._running(family)
+        return _mix((sums[stop] - sums[start]) * back[start] + length).view(np.int64)
 
     def selections(self, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(fingerprint, first window, number of windows) of every selected minimum; windows by first word."""
         k = max(1, min_words // 5)
         at = np.arange(self.n - k + 1)
-        grams = self.hashes(at, at + k)[0]
+        grams = self.hashes(at, at + k, 0)
         lowest, reach, width = at, 1, min_words - k + 1
         while reach < width:  # the last of the lowest among twice as many, at each place
             step = min(reach, width - reach)
@@ -86,7 +92,7 @@ def _winnowed(min_words: int):
             found = 0
             if words.n >= min_words:
                 fp, start, n = words.selections(min_words)
-                for part, values in zip(parts, (fp, start, n, words.hashes(start, start + n + (min_words - 1))[1])):
+                for part, values in zip(parts, (fp, start, n, words.hashes(start, start + n + (min_words - 1), 0))):
                     part.append(values)
                 found = len(fp)
             ends.append(ends[-1] + found)
@@ -105,7 +111,8 @@ def _windows(min_words: int):
         ends, parts = [0], [[] for _ in fields]
         for t, some in zip(texts.cast(pa.binary()).to_pylist(), stretches.to_pylist()):
             start = np.unique(np.concatenate([np.arange(s["start"], s["start"] + s["n"]) for s in some]))
-            for part, values in zip(parts, (start, *Words(t, min_words).hashes(start, start + min_words))):
+            words = Words(t, min_words)
+            for part, values in zip(parts, (start, *(words.hashes(start, start + min_words, f) for f in (0, 1)))):
                 part.append(values)
             ends.append(ends[-1] + len(start))
         columns = [pa.array(np.concatenate([np.zeros(0, np.int64), *p]), pa.int64()).cast(t) for p, (_, t) in zip(parts, fields)]
@@ -199,9 +206,9 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "d
     return later.union(single.select("id", "th", "start", (F.col("start") + min_words).alias("stop")))
 
 
-def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "doc_id", text: str = "text", cut: str = "_cut") -> DataFrame:
     """The documents' own columns with later occurrences of repeated passages cut from the text, and
-    `_cut` (number of lines that words were cut from).
+    `cut` (number of lines that words were cut from), a name the documents must not have.
 
     A passage is a run of at least `min_words` words (compared without the white space between them),
     wherever in a line it begins or ends. The first occurrence by doc_id (null last), text hash and word
@@ -209,6 +216,8 @@ def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "
     Rows equal in doc_id and text count as one occurrence and are cut alike. A null text stays null, an
     empty one empty; a text that is cut altogether becomes empty. Nothing shorter is touched.
     """
+    if cut in docs.columns:
+        raise ValueError(f"the documents have a column {cut}; name another one")
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
     id_, th = _keyed(packed, f"_row.{doc_id}", f"_row.{text}")
     packed = packed.withColumn("_id", id_).withColumn("_th", th)
@@ -219,7 +228,15 @@ def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "
     cuts = cuts.select(F.col("id").alias("_id"), F.col("th").alias("_th"), "_spans")
     cuts = stash(cuts, "line-cuts")
     release(docs.sparkSession, scratch)  # nothing reads it any more
-    joined = packed.join(cuts.hint("merge"), ["_id", "_th"], "left")  # one plan at every size
-    joined = joined.select("_row", _without()(F.col(f"_row.{text}"), F.col("_spans")).alias("_short"))
-    columns = [F.col("_short.text").alias(text) if c == text else F.col(f"_row.`{c}`").alias(c) for c in docs.columns]
-    return joined.select(*columns, F.col("_short.lines").alias("_cut"))
+    own = [F.col(f"_row.`{c}`").alias(c) for c in docs.columns]
+    cut_ids = stash(cuts.select("_id").distinct(), "line-cut-ids")
+    untouched = None
+    some = packed
+    if is_small(cut_ids):  # documents without a cut, most of them, aren't moved
+        some = packed.join(F.broadcast(cut_ids), "_id", "left_semi")
+        untouched = packed.join(F.broadcast(cut_ids), "_id", "left_anti").select(*own, F.lit(0).cast("long").alias(cut))
+    joined = some.join(cuts.hint("merge"), ["_id", "_th"], "left")
+    joined = joined.select("_row", _without()(F.col(f"_row.`{text}`"), F.col("_spans")).alias("_short"))
+    columns = [F.col("_short.text").alias(text) if c == text else column for c, column in zip(docs.columns, own)]
+    short = joined.select(*columns, F.col("_short.lines").alias(cut))
+    return short if untouched is None else short.unionByName(untouched)

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-import public_tokenizers
-
 from vestigo.llm import bpe, cuckoo, jaccard, language, linededup, mixing, ordermin, pieces, repair, secrets, sharding, vectorcodes, warc
+from vestigo.llm.joins import unused_name
 from vestigo.llm.registry import query, table
 
 
@@ -23,8 +23,9 @@ def op2(spark, sf):
 
 @query("op3_line_dedup")
 def op3(spark, sf):
-    cut = linededup.without_repeats(table(spark, sf, "documents"))
-    return cut.select("doc_id", "text", F.col("_cut").alias("cut_lines"))
+    docs = table(spark, sf, "documents")
+    cut = unused_name(docs.columns, "_cut")
+    return linededup.without_repeats(docs, cut=cut).select("doc_id", "text", F.col(cut).alias("cut_lines"))
 
 
 _DIGIT = "substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST((v >> {0}) & 31 AS INT), 1)"
