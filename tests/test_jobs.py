@@ -3,17 +3,21 @@
 from __future__ import annotations
 
 import datetime
+import difflib
 import hashlib
 import hmac
+import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import Window, functions as F
 
 from vestigo.functions.plates import norm_plate, pattern_quality, spaceless, with_validation
+from vestigo.functions.text import matching_blocks_ratio, matching_characters
 from vestigo.functions.times import minute_range
-from vestigo.operators import bench as B, detections as D, fusion as U, integrity as I, prep as N, vehicles as V, video as T, web as P
+from vestigo.operators import bench as B, detections as D, fusion as U, integrity as I, places as L, prep as N, vehicles as V, video as T, web as P
 from vestigo.operators.spread import spread_quantiles, spread_rank
 from vestigo.session import checkpoint_dir
 from vestigo.streaming import events as E
@@ -216,7 +220,7 @@ def test_fuzzy_join_equals_all_pairs(spark):
 
 def test_matching_blocks_similarity(spark):
     df = spark.createDataFrame([("WORLD", "WORD"), ("ABC", "XYZ"), ("GOL", "GOL")], "a string, b string")
-    got = [r[0] for r in df.select(V.matching_blocks_percent(F.col("a"), F.col("b"))).collect()]
+    got = [r[0] for r in df.select(matching_blocks_ratio(F.col("a"), F.col("b")) * 100).collect()]
     assert got == pytest.approx([800 / 9, 0.0, 100.0])
 
 
@@ -351,3 +355,143 @@ def test_ranked_lists_give_the_best_rows_of_all(spark):
     for r in V.vehicle_search(query_frame, index_frame, reference_frame, limit).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append((r.make, r.model, r.year, r.colour, r.score, r.source))
     assert got == want
+
+
+def test_crowded_images_equal_a_scan_of_all_kept_boxes(spark):
+    """Suppression, merging and tracking of an image with thousands of boxes."""
+    rnd = random.Random(9)
+    rows = []
+    for i in range(3000):
+        x, y, side = rnd.uniform(0, 900), rnd.uniform(0, 900), 2 ** rnd.uniform(2, 7)
+        rows.append((2 if i < 40 else 1, i, x, y, x + side, y + side * rnd.uniform(0.5, 1.5), round(rnd.random(), 2), rnd.choice(["primary", "secondary"])))
+    boxes = spark.createDataFrame(rows, "evidence_id long, det_id long, x1 double, y1 double, x2 double, y2 double, confidence double, source string")
+
+    def share(a, b):
+        w, h = min(a[4], b[4]) - max(a[2], b[2]), min(a[5], b[5]) - max(a[3], b[3])
+        inter = w * h if w > 0 and h > 0 else 0.0
+        union = (a[4] - a[2]) * (a[5] - a[3]) + (b[4] - b[2]) * (b[5] - b[3]) - inter
+        return inter / union if union > 0 else 0.0
+
+    for image in (1, 2):
+        mine = [r for r in rows if r[0] == image]
+        kept = []
+        for r in sorted(mine, key=lambda r: (-r[6], r[1])):
+            if all(share(r, k) < D.NMS_IOU for k in kept):
+                kept.append(r)
+        assert {r.det_id for r in D.nms(boxes).where(F.col("evidence_id") == image).collect()} == {r[1] for r in kept}
+        merged = []
+        for r in sorted(mine, key=lambda r: (r[7] != "primary", r[1])):
+            slot = next((i for i, k in enumerate(merged) if share(r, k) >= D.NMS_IOU), None)
+            if slot is None:
+                merged.append(r)
+            elif r[6] > merged[slot][6]:
+                merged[slot] = r
+        got = D.merge_detections(boxes, cap=None).where(F.col("evidence_id") == image).orderBy("merged_rank").collect()
+        assert [r.det_id for r in got] == [r[1] for r in sorted(merged, key=lambda r: -r[6])]
+        last, want = [], {}
+        for r in sorted(mine, key=lambda r: r[1]):
+            slot = next((i for i, k in enumerate(last) if share(r, k) >= T.TRACK_IOU), None)
+            if slot is None:
+                last.append(r)
+                slot = len(last) - 1
+            last[slot] = r
+            want[r[1]] = slot + 1
+        tracks = T.assign_tracks(boxes.withColumnRenamed("evidence_id", "video_id"), ["det_id"]).where(F.col("video_id") == image)
+        assert {r.det_id: r.track_id for r in tracks.collect()} == want
+
+
+def test_matching_characters_equal_the_standard_library(spark):
+    rnd = random.Random(10)
+    for _ in range(3000):
+        a, b = ("".join(rnd.choice("ABC1") for _ in range(rnd.randint(0, 14))) for _ in range(2))
+        assert matching_characters(a, b) == sum(m.size for m in difflib.SequenceMatcher(None, a, b).get_matching_blocks())
+
+
+def test_names_alike_by_blocks_are_never_missed(spark):
+    """Best name by matching blocks against scoring every pair, short and gapped names among them."""
+    rnd = random.Random(13)
+    word = lambda n: "".join(rnd.choice("ABCDE") for _ in range(n))
+    gapped = lambda s: "".join(c + ("X" if i % 2 else "") for i, c in enumerate(s))
+    needles = ["AB", "ABCDEFGHIJ", *[word(rnd.randint(1, 12)) for _ in range(40)], *[f"{word(3)} {word(4)}" for _ in range(10)]]
+    names = ["AXB", "ABXCDXEFXGHXIJ", *[gapped(n) for n in needles[2:12]], *[word(rnd.randint(1, 12)) for _ in range(60)], *[f"{word(3)} {word(4)}" for _ in range(10)]]
+    left = spark.createDataFrame([(n,) for n in needles], "needle string")
+    right = spark.createDataFrame([(n, i) for i, n in enumerate(names)], "name string, position long")
+    got = {r.needle: (r.name, r.score) for r in V.fuzzy_name_join(left, right, similarity="blocks").collect()}
+    want = {}
+    for a in needles:
+        best = None
+        for i, b in enumerate(names):
+            shared = len([w for w in a.split(" ") if w in b.split(" ")])
+            pct = 200.0 * matching_characters(a, b) / (len(a) + len(b))
+            score = 200.0 if a == b else 80.0 * (a in b) + 40.0 * (b in a) + 28.0 * shared + 30.0 * shared / len(a.split(" ")) + 0.45 * pct
+            if score >= V.NAME_FLOOR and (best is None or score > best[1]):
+                best = (b, score)
+        if best:
+            want[a] = (best[0], round(best[1], 6))
+    assert {k: (v[0], round(v[1], 5)) for k, v in got.items()} == {k: (v[0], round(v[1], 5)) for k, v in want.items()}
+    assert got["ABCDEFGHIJ"][0] == "ABXCDXEFXGHXIJ"
+
+
+@pytest.mark.parametrize("radius", [3.0, 400.0, 3000.0])
+def test_nearest_places_equal_a_scan_everywhere(spark, radius):
+    """Cell borders, the date line, the poles and repeated places, against every place."""
+    rnd = random.Random(int(radius))
+    step = radius / 111.195
+    lats = [-90.0, 90.0, 89.99, 0.0, step, -step, 2 * step]
+    lons = [-180.0, 180.0, 179.999, -179.999, 0.0, step, 359.0]
+    spot = lambda: (rnd.choice([*lats, rnd.uniform(-90, 90)]), rnd.choice([*lons, rnd.uniform(-180, 180)]))
+    near = lambda p: (max(-90.0, min(90.0, p[0] + rnd.uniform(-1, 1) * step)), p[1] + rnd.uniform(-1, 1) * step / max(0.02, math.cos(math.radians(p[0]))))
+    points = [(i, *spot()) for i in range(150)] + [(900, None, 1.0), (901, float("nan"), 1.0)]
+    places = [(i, f"p{i}", *near(points[i % 150][1:])) for i in range(300)] + [(400 + i, "twin", *points[i][1:]) for i in range(5)] * 2
+    places = [p for p in places if abs(p[3]) <= 360]
+
+    def km(a, b):
+        h = math.sin(math.radians(b[0] - a[0]) / 2) ** 2 + math.cos(math.radians(a[0])) * math.cos(math.radians(b[0])) * math.sin(math.radians(b[1] - a[1]) / 2) ** 2
+        return 2 * L.EARTH_KM * math.asin(math.sqrt(min(1.0, h)))
+
+    frame = spark.createDataFrame(points, "point_id long, latitude double, longitude double")
+    there = spark.createDataFrame(places, "place_id long, name string, latitude double, longitude double")
+    got = {r.point_id: (r.place_id, r.distance_km) for r in L.nearest_places(frame, there, radius).collect()}
+    assert len(got) == len(points) and got[900] == got[901] == (None, None)
+    for i, lat, lon in points[:150]:
+        found = min(((round(km((lat, lon), p[2:]), 6), p[0]) for p in places if km((lat, lon), p[2:]) <= radius), default=None)
+        if found is None:
+            assert got[i] == (None, None)
+        else:
+            assert abs(got[i][1] - found[0]) < 0.002 and (got[i][0] == found[1] or abs(km((lat, lon), next(p for p in places if p[0] == got[i][0])[2:]) - found[0]) < 1e-5)
+
+
+def test_nearest_vectors_by_chunks_ties_and_lists(spark, monkeypatch):
+    rnd = np.random.default_rng(3)
+    base = rnd.normal(size=(40, 16))
+    rows = [(int(i), [float(x) for x in base[i % 40] + (0 if i % 3 else 0.2) * rnd.normal(size=16)]) for i in range(900)]  # many equal vectors
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    queries = vectors.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id")
+    unit = np.array([v for _, v in rows])
+    unit = unit / (np.sqrt((unit**2).sum(axis=1, keepdims=True)) + 1e-8)
+    whole = V._nearest(pd.DataFrame({"query_id": [0, 1], "v": [unit[0], unit[7]]}), pd.DataFrame({"vec_id": np.arange(900), "v": list(unit)}), 7)
+    sims = unit[[0, 7]] @ unit.T
+    monkeypatch.setattr(V, "VECTOR_CHUNK", 64)
+    chunked = V._nearest(pd.DataFrame({"query_id": [0, 1], "v": [unit[0], unit[7]]}), pd.DataFrame({"vec_id": np.arange(900), "v": list(unit)}), 7)
+    for found in (whole, chunked):
+        for q in (0, 1):
+            mine = found[found["query_id"] == q]
+            assert np.allclose(sorted(mine["similarity"]), sorted(sims[q])[-7:])
+    exact = V.knn_search(queries, vectors, 5)
+    every = V.knn_search_lists(queries, vectors, 5, lists=8, probes=8, slice_rows=300)
+    similar = lambda df: sorted((r.query_id, r["rank"], round(r.similarity, 9)) for r in df.collect())
+    assert similar(every) == similar(exact)
+
+
+def test_recall_of_coarse_lists(spark):
+    vectors = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    queries = vectors.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id")
+    recall = V.knn_recall(V.knn_search_lists(queries, vectors), V.knn_search(queries, vectors)).first()
+    assert recall.neighbours == 500 and recall.recall >= 0.9
+
+
+def test_caps_can_be_lifted(spark):
+    reads = spark.createDataFrame([(1, i, f"AB{chr(65 + i % 26)}{i % 10}{i // 26}2{i % 7}", "e", 0.5, i) for i in range(60)], "user_id long, id long, ocr string, origin string, c double, n long")
+    from vestigo.operators.spread import within
+
+    assert reads.where(within(F.col("n"), 5)).count() == 6 and reads.where(within(F.col("n"), None)).count() == 60

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from collections import Counter
+
+import pandas as pd
+from pyspark.sql import Column, functions as F, types as T
 
 # Accented letters and their plain forms, one to one.
 ACCENTED = "ÁÀÂÃÄÅÇÉÈÊËÍÌÎÏÑÓÒÔÕÖÚÙÛÜÝáàâãäåçéèêëíìîïñóòôõöúùûüýÿ"
@@ -53,3 +56,35 @@ def years_in(c: Column) -> Column:
     return F.transform(
         F.regexp_extract_all(c, F.lit("(19\\d{2}|20\\d{2})"), F.lit(1)), lambda y: y.cast("int")
     )
+
+
+def matching_characters(a: str, b: str) -> int:
+    """Characters in the longest common block (the first in a, then in b) and, in turn, on either side of it.
+
+    A longer block is looked for only where one is left to find, and stretches without a common
+    character are passed over, as the bag of their characters bounds what they can add.
+    """
+    found, open_ = 0, [(a, b)]
+    while open_:
+        x, y = open_.pop()
+        if not x or not y or not (Counter(x) & Counter(y)):
+            continue
+        best = start = 0
+        for i in range(len(x)):
+            while i + best < len(x) and x[i : i + best + 1] in y:
+                best, start = best + 1, i
+        at = y.find(x[start : start + best])
+        found += best
+        open_ += [(x[:start], y[:at]), (x[start + best :], y[at + best :])]
+    return found
+
+
+@F.pandas_udf(T.DoubleType())
+def matching_blocks_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Twice the matching characters over all characters; 0 for two empty texts. Equal pairs of a batch are counted once."""
+    known: dict[tuple[str, str], float] = {}
+    for pair in zip(a, b):
+        if pair not in known:
+            x, y = pair
+            known[pair] = 2.0 * matching_characters(x, y) / (len(x) + len(y)) if x or y else 0.0
+    return pd.Series([known[pair] for pair in zip(a, b)])

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from vestigo.functions.numbers import clamp, exact_avg, exact_sum, ratio, rnd
+from vestigo.functions.text import matching_blocks_ratio
 from vestigo.operators.spread import spread_quantiles
+from vestigo.session import stash
 
 # Manifest targets and difficulty classes.
 HARD = ("hard", "critical")
@@ -443,17 +445,16 @@ def recommended_thresholds(cases: DataFrame) -> DataFrame:
 
 
 def case_scores(rows: DataFrame) -> DataFrame:
-    """Score of a reading against the expected text: exact, similar, confident, plate-like."""
-    longest = F.greatest(F.length("expected"), F.length("observed"))
-    distance = F.levenshtein(F.col("expected"), F.col("observed"))
-    similarity = F.when((F.col("expected") != "") & (longest > 0), 1.0 - distance / longest).otherwise(0.0)
+    """Score of a reading against the expected text: exact, similar (share of matching blocks), confident, plate-like."""
+    similarity = F.when(F.col("expected") != "", matching_blocks_ratio(F.col("expected"), F.col("observed"))).otherwise(0.0)
     exact = F.when((F.col("expected") != "") & (F.col("observed") == F.col("expected")), 1.0).otherwise(0.0)
     final = exact * 0.65 + similarity * 0.20 + F.col("confidence") * 0.10 + F.col("pattern") * 0.05
     return rows.withColumn("exact", exact).withColumn("similarity", similarity).withColumn("final", final)
 
 
 def config_summary(scored: DataFrame) -> DataFrame:
-    """Rates per configuration, by segment and over all segments."""
+    """Rates per configuration, by segment and over all segments. The scores are stored, as several passes read them."""
+    scored = stash(scored.select("config", "segment", "exact", "similarity", "confidence", "final"), "config-scores")
     c, s = F.col("config"), F.col("segment")
     sums = scored.groupingSets([[c, s], [c]], c, s).agg(
         F.grouping("segment").alias("_all"),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 Box = tuple[float, float, float, float]
 
@@ -22,9 +23,11 @@ class BoxIndex:
 
     A box lives at the level of its longer side (a power of two) in the one cell that holds its
     corner. Overlapping boxes have sides within 1/threshold of each other, so a search reads few
-    levels, and there the cells whose boxes can reach it.
+    levels, and there the cells whose boxes can reach it. While there are few boxes it reads them all.
     """
 
+    FEW = 24
+
     def __init__(self, threshold: float):
         if not 0.0 < threshold <= 1.0:
             raise ValueError("an overlap threshold lies above 0, up to 1")
@@ -65,12 +68,14 @@ class BoxIndex:
             if not here:
                 del self.cells[place]
 
-    def overlapping(self, box: Box) -> list[int]:
-        """Numbers of the boxes that overlap this one enough, rising."""
+    def near(self, box: Box) -> Iterator[int]:
+        """Numbers of the boxes that may overlap this one enough; each once, in no order."""
         place = self._place(box)
         if place is None:
-            return []
-        found = []
+            return
+        if len(self.boxes) <= self.FEW:
+            yield from self.boxes
+            return
         for level in range(place[0] - self.levels_apart, place[0] + self.levels_apart + 1):
             if not self.at_level.get(level):
                 continue
@@ -79,7 +84,15 @@ class BoxIndex:
             rows = range(math.floor(box[1] / pitch) - 1, math.floor(box[3] / pitch) + 1)
             for x in columns:
                 for y in rows:
-                    for number in self.cells.get((level, x, y), ()):
-                        if overlap_share(box, self.boxes[number]) >= self.threshold:
-                            found.append(number)
-        return sorted(found)
+                    yield from self.cells.get((level, x, y), ())
+
+    def overlapping(self, box: Box) -> list[int]:
+        """Numbers of the boxes that overlap this one enough, rising."""
+        return sorted(n for n in self.near(box) if overlap_share(box, self.boxes[n]) >= self.threshold)
+
+    def first(self, box: Box) -> int | None:
+        """Lowest number of those."""
+        return min((n for n in self.near(box) if overlap_share(box, self.boxes[n]) >= self.threshold), default=None)
+
+    def meets(self, box: Box) -> bool:
+        return any(overlap_share(box, self.boxes[n]) >= self.threshold for n in self.near(box))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from vestigo.functions.geometry import BOX, box_of, iou
 from vestigo.functions.numbers import rnd
+from vestigo.operators.boxes import BoxIndex
 from vestigo.operators.ordered import ordered_fold
 from vestigo.operators.spread import falling_bucket, spread_rank
 
@@ -18,7 +18,6 @@ MERGE_CAP = 12
 MIN_READ_LENGTH = 6
 
 
-
 def priority_score(width: float, height: float) -> Column:
     x1, y1, x2, y2 = [F.col(c) for c in BOX]
     area = F.greatest(F.lit(1.0), x2 - x1) * F.greatest(F.lit(1.0), y2 - y1)
@@ -45,31 +44,22 @@ def nms(detections: DataFrame, threshold: float = NMS_IOU) -> DataFrame:
     """Greedy non-maximum suppression per image: a box stays if no kept box overlaps it enough.
 
     Boxes are read by falling confidence (missing counts as 0), then det_id, each image by one task
-    that holds only the coordinates of the boxes kept so far. A box without area overlaps none.
+    that holds only the kept boxes, found by size and place (`BoxIndex`), so a box meets few of them
+    however many there are. A box without area overlaps none.
     """
     columns = [c for c in detections.columns if c != "evidence_id"]
-    places = [columns.index(c) for c in BOX]
-
-    def add(kept: list[np.ndarray], row: tuple) -> list[tuple]:
-        x1, y1, x2, y2 = box = np.array([row[i] for i in places], dtype=np.float64)
-        count, rows = int(kept[0][0, 0]), kept[1]
-        old = rows[:count]
-        inter = np.maximum(0.0, np.minimum(x2, old[:, 2]) - np.maximum(x1, old[:, 0])) * np.maximum(
-            0.0, np.minimum(y2, old[:, 3]) - np.maximum(y1, old[:, 1])
-        )
-        union = (x2 - x1) * (y2 - y1) + (old[:, 2] - old[:, 0]) * (old[:, 3] - old[:, 1]) - inter
-        share = np.divide(inter, union, out=np.zeros(count), where=union > 0)
-        if (share >= threshold).any():
+    i1, j1, i2, j2 = [columns.index(c) for c in BOX]
+
+    def add(kept: BoxIndex, row: tuple) -> list[tuple]:
+        box = (float(row[i1]), float(row[j1]), float(row[i2]), float(row[j2]))
+        if kept.meets(box):
             return []
-        if count == len(rows):
-            kept[1] = rows = np.concatenate([rows, np.empty_like(rows)])
-        rows[count] = box
-        kept[0][0, 0] = count + 1
+        kept.put(len(kept), box)
         return [row]
 
     turned = detections.withColumn("_turn", -F.coalesce("confidence", F.lit(0.0)))
     return ordered_fold(
-        turned, "evidence_id", ["_turn", "det_id"], columns, lambda: [np.zeros((1, 1)), np.empty((16, 4))], add, lambda kept: [],
+        turned, "evidence_id", ["_turn", "det_id"], columns, lambda: BoxIndex(threshold), add, lambda kept: [],
         T.StructType([detections.schema["evidence_id"], *[detections.schema[c] for c in columns]]),
     )
 
@@ -82,28 +72,27 @@ def merge_detections(detections: DataFrame, threshold: float = NMS_IOU, cap: int
     columns = [c for c in detections.columns if c != "evidence_id"]
     at = {c: i for i, c in enumerate(columns)}
 
-    def overlap(a: tuple, b: tuple) -> float:
-        ax1, ay1, ax2, ay2 = (a[at[c]] for c in BOX)
-        bx1, by1, bx2, by2 = (b[at[c]] for c in BOX)
-        inter = max(0.0, min(ax2, bx2) - max(ax1, bx1)) * max(0.0, min(ay2, by2) - max(ay1, by1))
-        union = (ax2 - ax1) * (ay2 - ay1) + (bx2 - bx1) * (by2 - by1) - inter
-        return inter / union if union > 0.0 else 0.0
-
-    def add(kept: list, box: tuple) -> None:
-        for slot, other in enumerate(kept):
-            if overlap(box, other) >= threshold:
-                if box[at["confidence"]] > other[at["confidence"]]:
-                    kept[slot] = box
-                return
-        kept.append(box)
-
-    def close(kept: list) -> list:
-        ranked = sorted(kept, key=lambda b: -b[at["confidence"]])[:cap]
+    i1, j1, i2, j2 = [at[c] for c in BOX]
+
+    def add(kept: tuple[BoxIndex, list], row: tuple) -> None:
+        index, rows = kept
+        box = (float(row[i1]), float(row[j1]), float(row[i2]), float(row[j2]))
+        slot = index.first(box)
+        if slot is None:
+            index.put(len(rows), box)
+            rows.append(row)
+        elif row[at["confidence"]] > rows[slot][at["confidence"]]:
+            index.put(slot, box)
+            rows[slot] = row
+
+    def close(kept: tuple[BoxIndex, list]) -> list:
+        ranked = sorted(kept[1], key=lambda b: -b[at["confidence"]])[:cap]
         return [(*box, rank + 1) for rank, box in enumerate(ranked)]
 
     turned = detections.withColumn("_turn", F.when(F.col("source") == "primary", 0).otherwise(1))
     schema = detections.withColumn("merged_rank", F.lit(1)).schema
-    return ordered_fold(turned, "evidence_id", ["_turn", "det_id"], columns, list, add, close, schema)
+    start = lambda: (BoxIndex(threshold), [])
+    return ordered_fold(turned, "evidence_id", ["_turn", "det_id"], columns, start, add, close, schema)
 
 
 def detector_fallback_union(

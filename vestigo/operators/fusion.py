@@ -17,7 +17,8 @@ from vestigo.functions.plates import (
     validator_pattern,
     with_validation,
 )
-from vestigo.operators.spread import falling_bucket, spread_rank
+from vestigo.operators.spread import falling_bucket, spread_rank, within
+from vestigo.session import stash
 
 # Weights of the fused score and the repeat bonus.
 CONF_WEIGHT, PATTERN_WEIGHT, BOX_WEIGHT = 0.60, 0.30, 0.10
@@ -201,7 +202,7 @@ def fused_verdict(evidence: DataFrame, reads: DataFrame) -> DataFrame:
     return _verdicts(evidence, text_candidates(normalize_reads(reads)))
 
 
-def plate_analyses(detections: DataFrame, reads: DataFrame, cap: int = PLATE_CANDIDATE_CAP) -> DataFrame:
+def plate_analyses(detections: DataFrame, reads: DataFrame, cap: int | None = PLATE_CANDIDATE_CAP) -> DataFrame:
     """Reads joined to their detection by rounded box, best `cap` per detection.
 
     Evidence without detections falls back to one group per read box, or `full_image`.
@@ -223,6 +224,7 @@ def plate_analyses(detections: DataFrame, reads: DataFrame, cap: int = PLATE_CAN
         rnd(F.col("confidence"), 4).alias("confidence"),
         composite.alias("composite"),
     )
+    scored = stash(scored, "analysis-reads")  # scored once, ranked once, read by each branch below
     boxed = detections.select(
         "evidence_id",
         "det_id",
@@ -230,8 +232,9 @@ def plate_analyses(detections: DataFrame, reads: DataFrame, cap: int = PLATE_CAN
         "priority_rank",
         F.col("confidence").alias("detection_confidence"),
     )
+    boxed = stash(boxed, "analysis-boxes")
     loose = (
-        scored.join(detections.select("evidence_id").distinct(), "evidence_id", "left_anti")
+        scored.join(boxed.select("evidence_id").distinct(), "evidence_id", "left_anti")
         .withColumn("bbox", F.when(F.col("bbox") == "", "full_image").otherwise(F.col("bbox")))
     )
     # Groups are numbered by their first read; a read's group is few rows once pre-aggregated.
@@ -250,7 +253,7 @@ def plate_analyses(detections: DataFrame, reads: DataFrame, cap: int = PLATE_CAN
         targets.select("evidence_id", "det_id", "bbox")
         .join(pool, ["evidence_id", "bbox"])
         .withColumn("_n", F.row_number().over(top))
-        .where(F.col("_n") <= cap)
+        .where(within(F.col("_n"), cap))
         .groupBy("evidence_id", "det_id", "bbox")
         .agg(
             F.array_sort(F.collect_list(F.struct("_n", "text", "engine", "confidence", "composite"))).alias("cands")

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from vestigo.functions.numbers import exact_avg, rnd
 from vestigo.functions.plates import norm_plate
 from vestigo.functions.text import filled
+from vestigo.operators.spread import within
 
 HISTORY_LIMIT = 20
 MIN_PLATE = 7
@@ -48,7 +49,7 @@ FALLBACK_STATUS = "estimado_fontes_abertas"
 OCR_SCHEMA = "best struct<text:string,engine:string,pattern:string,avg_conf:double>, forensic struct<analysis_id:string>"
 
 
-def history_by_plate(cases: DataFrame, targets: DataFrame, limit: int = HISTORY_LIMIT) -> DataFrame:
+def history_by_plate(cases: DataFrame, targets: DataFrame, limit: int | None = HISTORY_LIMIT) -> DataFrame:
     """Earlier cases of the same user with the same best text, newest first, for all targets at once.
 
     `cases`: id, user_id, filename, ocr (JSON), case_time. `targets`: user_id, plate.
@@ -72,7 +73,7 @@ def history_by_plate(cases: DataFrame, targets: DataFrame, limit: int = HISTORY_
     return (
         parsed.join(wanted, ["user_id", "plate"])
         .withColumn("rank", F.row_number().over(newest).cast("bigint"))
-        .where(F.col("rank") <= limit)
+        .where(within(F.col("rank"), limit))
     )
 
 

@@ -13,7 +13,8 @@ from vestigo.functions.plates import (
     slot_hint,
 )
 from vestigo.functions.times import minute_index, minute_range
-from vestigo.operators.spread import settle
+from vestigo.operators.spread import settle, within
+from vestigo.session import stash
 
 # Region words that mean the whole scene; caps.
 SCENE_WORDS = ("raw_input", "full_image", "scene", "ocr_result", "whole_image")
@@ -50,6 +51,8 @@ def partial_sources(results: DataFrame, candidates: DataFrame) -> DataFrame:
     """
     one = F.lit(1)
     plain = results.withColumn("avg_conf", F.coalesce("avg_conf", F.lit(0.0))).withColumn("score", F.coalesce("score", F.lit(0.0)))
+    # derived once: entries, whole texts and characters read the same stored results
+    plain = stash(plain.select("evidence_id", "engine", "avg_conf", "score", "region", "raw_entries", "text", "chars"), "partial-results")
     entries = plain.select(
         "evidence_id", "engine", "avg_conf", "score", F.col("region").alias("_region"), F.explode("raw_entries").alias("e")
     )
@@ -96,6 +99,7 @@ def partial_sources(results: DataFrame, candidates: DataFrame) -> DataFrame:
         .withColumn("region", named_region)
         .drop("_r", "_support")
     )
+    kept = stash(kept, "partial-kept")
     chars = plain.where(~_scene_region(F.col("region"))).select(
         "evidence_id", "engine", "region", F.explode("chars").alias("c")
     )
@@ -121,8 +125,8 @@ def _support_label() -> Column:
     return F.format_string("%d motor(es) | %d leitura(s)", "support_count", "source_count")
 
 
-def partial_candidates(sources: DataFrame, cap: int = FRAGMENT_CAP) -> DataFrame:
-    """Fragments of each evidence with their backing, best `cap`."""
+def partial_candidates(sources: DataFrame, cap: int | None = FRAGMENT_CAP) -> DataFrame:
+    """Fragments of each evidence with their backing, best `cap` (all for None)."""
     n = F.count(F.lit(1))
     grouped = sources.groupBy("evidence_id", "text").agg(
         n.alias("source_count"),
@@ -161,13 +165,13 @@ def partial_candidates(sources: DataFrame, cap: int = FRAGMENT_CAP) -> DataFrame
         "fragment_length",
         "text",
     )
-    return kept.withColumn("rank", F.row_number().over(best_first).cast("bigint")).where(F.col("rank") <= cap)
+    return kept.withColumn("rank", F.row_number().over(best_first).cast("bigint")).where(within(F.col("rank"), cap))
 
 
-def partial_overview(candidates: DataFrame, limit: int = OVERVIEW_CAP) -> DataFrame:
+def partial_overview(candidates: DataFrame, limit: int | None = OVERVIEW_CAP) -> DataFrame:
     """Count, leading fragment and a one-line summary per evidence."""
     shown = F.concat(F.col("text"), F.lit(" ("), _support_label(), F.lit(")"))
-    tops = F.collect_list(F.when(F.col("rank") <= limit, F.struct("rank", shown.alias("s"))))
+    tops = F.collect_list(F.when(within(F.col("rank"), limit), F.struct("rank", shown.alias("s"))))
     return candidates.groupBy("evidence_id").agg(
         F.count(F.lit(1)).alias("fragments"),
         F.min_by("text", "rank").alias("primary_text"),
@@ -175,7 +179,7 @@ def partial_overview(candidates: DataFrame, limit: int = OVERVIEW_CAP) -> DataFr
     )
 
 
-def video_partials(items: DataFrame, cap: int = VIDEO_CAP) -> DataFrame:
+def video_partials(items: DataFrame, cap: int | None = VIDEO_CAP) -> DataFrame:
     """Fragments of all frames of a video grouped by text, minute and shape, best `cap`.
 
     `items`: video_id, frame_index, frame_order, timestamp_seconds and the fields of a fragment.
@@ -241,7 +245,7 @@ def video_partials(items: DataFrame, cap: int = VIDEO_CAP) -> DataFrame:
         "text",
     )
     ranked = kept.withColumn("rank", F.row_number().over(best_first).cast("bigint"))
-    return ranked.where(F.col("rank") <= cap).drop("_first")
+    return ranked.where(within(F.col("rank"), cap)).drop("_first")
 
 
 def partial_match(fragments: DataFrame, plates: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from vestigo.functions.numbers import clamp, exact_sum, rnd
 from vestigo.functions.plates import norm_plate
 from vestigo.functions.text import mask_tail, norm_upper
 from vestigo.operators.spread import settle
+from vestigo.session import stash
 
 # Field aliases, first one present wins.
 ALIASES = {
@@ -235,15 +236,15 @@ def provider_consensus(scored: DataFrame) -> DataFrame:
         F.col("source_label").alias("label"),
         F.col("record_id").alias("id"),
     )
+    # Records are scored once; the best of a plate and the votes both read the stored scores.
+    told = ["plate", "record_id", "source_label", "source_kind", "lookup_score", "is_official", "public_count", "sensitive_count"]
+    scored = stash(scored.select(*told, *[f for f in fields if f not in told]), "provider-scores")
     ranked = scored.withColumn("_order", order).withColumn("_weight", F.greatest(F.lit(1.0), F.col("lookup_score") / 20.0))
     best = ranked.groupBy("plate").agg(
         F.count(F.lit(1)).alias("candidates_count"),
         F.min_by(F.struct("source_label", "source_kind", "lookup_score", *fields), "_order").alias("best"),
-    )
-    official = (
-        ranked.where("is_official")
-        .groupBy("plate")
-        .agg(F.count_distinct("source_label").alias("_official"))
+        # as many as there are providers
+        F.size(F.collect_set(F.when(F.col("is_official"), F.col("source_label")))).alias("_official"),
     )
     pairs = F.array(*[F.struct(F.lit(f).alias("field"), F.trim(F.col(f)).alias("value")) for f in fields])
     cast = ranked.select("plate", "_order", "_weight", "lookup_score", F.explode(pairs).alias("_f")).select(
@@ -263,6 +264,7 @@ def provider_consensus(scored: DataFrame) -> DataFrame:
             "_place", F.struct((-F.col("weight")).alias("w"), (-F.col("n")).alias("c"), (-F.col("top")).alias("t"), "first")
         )
     )
+    votes = stash(votes, "provider-votes")
     leading = Window.partitionBy("plate", "field").orderBy("_place")
     shown = F.struct("_r", F.concat(F.trim("value"), F.lit("x"), F.col("n").cast("string")).alias("s"))
     details = (
@@ -297,7 +299,7 @@ def provider_consensus(scored: DataFrame) -> DataFrame:
         names("split", "_line", "; ").alias("divergent_details"),
         *[F.max(F.when(F.col("field") == f, F.col("value"))).alias(f"_win_{f}") for f in fields],
     )
-    joined = best.join(official, "plate", "left").join(by_plate, "plate", "left")
+    joined = best.join(by_plate, "plate", "left")
     share = F.coalesce(rnd(F.col("_agreed") / F.col("fields_considered") * 100.0, 1), F.lit(0.0))
     blank = lambda c: F.trim(F.coalesce(c, F.lit(""))) == ""
     resolved = [

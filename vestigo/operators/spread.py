@@ -12,6 +12,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
+def within(rank: Column, cap: int | None) -> Column:
+    """Ranks up to a cap; all of them without one."""
+    return F.lit(True) if cap is None else rank <= cap
+
+
 def settle(df: DataFrame, *names: str) -> DataFrame:
     """Compute the named columns once. The optimizer copies a column's whole derivation into every
     expression that reads it; passing it through a generator stops that where it is long."""

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from vestigo.functions.numbers import rnd
-from vestigo.functions.text import norm_lower, norm_upper, years_in
+from vestigo.functions.text import matching_blocks_ratio, norm_lower, norm_upper, years_in
 from vestigo.session import stash
 
 # Search scores.
@@ -18,6 +18,11 @@ FALLBACK_SCORE = 0.35
 RANKED_TOP = 3
 # Most queries and vectors that meet in one task.
 QUERY_BLOCK, VECTOR_SLICE = 4_096, 65_536
+# Vectors of a slice that are compared at a time.
+VECTOR_CHUNK = 2_048
+# Coarse lists of the approximate search: vectors they are fitted on at most, queries that the number of
+# lists read is measured with, lists, and the share of neighbours to find on the sample.
+FIT_VECTORS, FIT_QUERIES, LISTS, AIMED_RECALL = 20_000, 500, 64, 0.96
 
 
 def build_reference(rows: DataFrame) -> DataFrame:
@@ -377,16 +382,19 @@ def _grams(c: Column, n: int) -> Column:
     )
 
 
-def _blocking_keys(c: Column, needle: bool) -> Column:
+def _blocking_keys(c: Column, needle: bool, blocks: bool) -> Column:
     """Keys of which any pair that can reach the floor shares one.
 
-    A pair scores through a shared word, through containment, or through at least 80 % similarity;
-    texts that similar share a run of three characters, or of two where both are short.
+    A pair scores through a shared word, through containment, or through at least 80 % similarity. By
+    edit distance, texts that similar share a run of three characters, or of two where both are short.
+    By matching blocks, runs of two may do at any length (parted by single strangers), and single
+    characters where two of them match among five.
     """
     none = F.array().cast("array<string>")
     words = F.transform(F.split(c, " "), lambda w: F.concat(F.lit("w:"), w))
     three = F.when(F.length(c) >= 3, F.transform(_grams(c, 3), lambda g: F.concat(F.lit("3:"), g))).otherwise(none)
-    two = F.when((F.length(c) >= 2) & (F.length(c) <= 9), F.transform(_grams(c, 2), lambda g: F.concat(F.lit("2:"), g))).otherwise(none)
+    pairing = F.length(c) >= 2 if blocks else (F.length(c) >= 2) & (F.length(c) <= 9)
+    two = F.when(pairing, F.transform(_grams(c, 2), lambda g: F.concat(F.lit("2:"), g))).otherwise(none)
     # Texts of one or two characters can only be contained: as themselves on one side, as runs on the other.
     tiny = F.when(F.length(c) <= 2, F.array(F.concat(F.lit("t:"), c))).otherwise(none)
     pairs = F.when(F.length(c) >= 2, _grams(c, 2)).otherwise(none)
@@ -394,27 +402,8 @@ def _blocking_keys(c: Column, needle: bool) -> Column:
     inside = F.transform(F.concat(_grams(c, 1), pairs), lambda g: F.concat(F.lit("s:"), g))
     small = F.when(F.length(c) <= 2, F.array(F.concat(F.lit("s:"), c))).otherwise(none)
     extra = F.concat(tiny, inside) if needle else F.concat(runs, small)
-    return F.array_distinct(F.concat(words, three, two, extra))
-
-
-@F.pandas_udf(T.DoubleType())
-def matching_blocks_percent(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Percent of characters in the longest common block and, recursively, on either side of it."""
-
-    def common(x: str, y: str) -> int:
-        best, i0, j0 = 0, 0, 0
-        for i in range(len(x)):
-            for j in range(len(y)):
-                n = 0
-                while i + n < len(x) and j + n < len(y) and x[i + n] == y[j + n]:
-                    n += 1
-                if n > best:
-                    best, i0, j0 = n, i, j
-        if best == 0:
-            return 0
-        return best + common(x[:i0], y[:j0]) + common(x[i0 + best :], y[j0 + best :])
-
-    return pd.Series([200.0 * common(x, y) / (len(x) + len(y)) if x or y else 0.0 for x, y in zip(a, b)])
+    one = F.when(F.length(c) <= 3, F.transform(_grams(c, 1), lambda g: F.concat(F.lit("1:"), g))).otherwise(none)
+    return F.array_distinct(F.concat(words, three, two, extra, *([one] if blocks else [])))
 
 
 def name_score(needle: Column, name: Column, percent: Column) -> Column:
@@ -443,11 +432,11 @@ def fuzzy_name_join(needles: DataFrame, names: DataFrame, floor: float = NAME_FL
         .groupBy("b")
         .agg(F.min_by("name", "position").alias("name"), F.min("position").alias("position"))
     )
-    left = a.select("a").distinct().select("a", F.explode(_blocking_keys(F.col("a"), True)).alias("key"))
-    right = b.select("b", F.explode(_blocking_keys(F.col("b"), False)).alias("key"))
+    left = a.select("a").distinct().select("a", F.explode(_blocking_keys(F.col("a"), True, similarity == "blocks")).alias("key"))
+    right = b.select("b", F.explode(_blocking_keys(F.col("b"), False, similarity == "blocks")).alias("key"))
     pairs = left.join(right, "key").select("a", "b").distinct()
     if similarity == "blocks":
-        percent = matching_blocks_percent(F.col("a"), F.col("b"))
+        percent = matching_blocks_ratio(F.col("a"), F.col("b")) * 100.0
     else:
         longest = F.greatest(F.length("a"), F.length("b"))
         percent = (1.0 - F.levenshtein("a", "b") / longest) * 100.0
@@ -519,20 +508,38 @@ def semantic_rerank(candidates: DataFrame, cases: DataFrame, vectors: DataFrame,
     )
 
 
+def _best_of(sims: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k largest of each row with their ids, largest first, of equal ones the smaller id."""
+    if sims.shape[1] > 2 * k:
+        # the k-th largest of each row is a limit; what lies at it is kept whole, as its ids decide
+        limit = np.partition(sims, sims.shape[1] - k, axis=1)[:, sims.shape[1] - k, None]
+        kept = sims >= limit
+        width = int(kept.sum(axis=1).max())
+        order = np.argsort(~kept, axis=1, kind="stable")[:, :width]
+        inside = np.take_along_axis(kept, order, axis=1)
+        sims = np.where(inside, np.take_along_axis(sims, order, axis=1), -np.inf)
+        ids = np.take_along_axis(ids, order, axis=1)
+    order = np.lexsort((ids, -sims), axis=1)[:, :k]
+    return np.take_along_axis(sims, order, axis=1), np.take_along_axis(ids, order, axis=1)
+
+
 def _nearest(queries: pd.DataFrame, vectors: pd.DataFrame, k: int) -> pd.DataFrame:
-    """The k best vectors of a slice for each query of a block."""
+    """The k best vectors of a slice for each query of a block; the slice is read in chunks, and only the
+    best so far are held beside a chunk's similarities."""
     names = ["query_id", "vec_id", "similarity"]
     if queries.empty or vectors.empty:
         return pd.DataFrame({n: [] for n in names})
-    sims = np.stack(queries["v"].to_numpy()) @ np.stack(vectors["v"].to_numpy()).T
-    ids = np.broadcast_to(vectors["vec_id"].to_numpy(), sims.shape)
-    order = np.lexsort((ids, -sims), axis=1)[:, :k]
+    asked = np.stack(queries["v"].to_numpy())
+    sims = ids = None
+    for at in range(0, len(vectors), VECTOR_CHUNK):
+        part = vectors.iloc[at : at + VECTOR_CHUNK]
+        new = asked @ np.stack(part["v"].to_numpy()).T
+        new_ids = np.broadcast_to(part["vec_id"].to_numpy(), new.shape)
+        if sims is not None:
+            new, new_ids = np.hstack([sims, new]), np.hstack([ids, new_ids])
+        sims, ids = _best_of(new, new_ids, k)
     return pd.DataFrame(
-        {
-            "query_id": np.repeat(queries["query_id"].to_numpy(), order.shape[1]),
-            "vec_id": np.take_along_axis(ids, order, axis=1).ravel(),
-            "similarity": np.take_along_axis(sims, order, axis=1).ravel(),
-        }
+        {"query_id": np.repeat(queries["query_id"].to_numpy(), sims.shape[1]), "vec_id": ids.ravel(), "similarity": sims.ravel()}
     )
 
 
@@ -563,6 +570,80 @@ def knn_search(queries: DataFrame, vectors: DataFrame, k: int = 5, block: int =
     return found.withColumn("rank", F.row_number().over(near).cast("bigint")).where(F.col("rank") <= k)
 
 
+def coarse_lists(vectors: DataFrame, k: int, lists: int = LISTS, recall: float = AIMED_RECALL, sample: int = FIT_VECTORS, rounds: int = 8) -> tuple[np.ndarray, int]:
+    """Unit centroids of coarse lists, and how many of them a query has to read.
+
+    Both come from at most `sample` vectors, those with the smallest hash of their id: the centroids by
+    rounds of means, the number by looking up in how manieth list the neighbours of some of them lie.
+    """
+    rows = vectors.select(unit(F.col("embedding")).alias("v"), F.xxhash64("vec_id").alias("h"), "vec_id").orderBy("h", "vec_id").limit(sample)
+    known = np.array([r.v for r in rows.select("v").collect()])
+    if not len(known):
+        return np.zeros((0, 0)), 0
+    centres = known[: min(lists, len(known))].copy()
+    for _ in range(rounds):
+        owner = (known @ centres.T).argmax(axis=1)
+        for i in range(len(centres)):
+            mine = known[owner == i]
+            if len(mine):
+                centres[i] = mine.sum(axis=0) / (np.linalg.norm(mine.sum(axis=0)) + 1e-8)
+    owner = (known @ centres.T).argmax(axis=1)
+    asked = known[:FIT_QUERIES]
+    ids = np.broadcast_to(np.arange(len(known)), (len(asked), len(known)))
+    _, near = _best_of(asked @ known.T, ids, k)
+    place = np.argsort(np.argsort(-(asked @ centres.T), axis=1, kind="stable"), axis=1)
+    places = np.sort(np.take_along_axis(place, owner[near], axis=1).ravel())
+    return centres, int(places[min(len(places) - 1, int(np.ceil(recall * len(places))))]) + 1
+
+
+def _probed(centres: np.ndarray, probes: int):
+    """UDF: the lists whose centroids are nearest to a unit vector, nearest first."""
+
+    @F.pandas_udf("array<int>")
+    def lists(v: pd.Series) -> pd.Series:
+        sims = np.stack(v.to_numpy()) @ centres.T
+        return pd.Series(list(np.argsort(-sims, axis=1, kind="stable")[:, :probes].astype(np.int32)))
+
+    return lists
+
+
+def knn_search_lists(
+    queries: DataFrame, vectors: DataFrame, k: int = 5, lists: int = LISTS, probes: int | None = None, slice_rows: int = VECTOR_SLICE
+) -> DataFrame:
+    """Approximate `knn_search`: every vector is in the coarse list of its nearest centroid, and a query
+    reads its `probes` nearest lists, by default as many as find nearly all neighbours on the sample.
+    Centroids come from a bounded sample; the index covers every vector.
+
+    Lists are cut into slices of bounded size, as a popular one may hold a large share of all vectors, and
+    queries into blocks. With `probes` equal to `lists` the answer is the exact one.
+    """
+    centres, enough = coarse_lists(vectors, k, lists)
+    if not len(centres):
+        return knn_search(queries, vectors, k)
+    probes = min(len(centres), probes or enough)
+    slices = max(1, -(-vectors.count() // slice_rows))
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    part = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    stored = vectors.select("vec_id", unit(F.col("embedding")).alias("v"), part("vec_id", slices).alias("s"))
+    stored = stored.withColumn("l", _probed(centres, 1)(F.col("v"))[0]).withColumn("b", every(blocks))
+    asked = queries.select("query_id", unit(F.col("embedding")).alias("v"), part("query_id", blocks).alias("b"))
+    asked = asked.withColumn("l", F.explode(_probed(centres, probes)(F.col("v")))).withColumn("s", every(slices))
+    found = (
+        asked.groupBy("l", "b", "s")
+        .cogroup(stored.groupBy("l", "b", "s"))
+        .applyInPandas(lambda q, v: _nearest(q, v, k), "query_id long, vec_id long, similarity double")
+    )
+    near = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), "vec_id")
+    return found.withColumn("rank", F.row_number().over(near).cast("bigint")).where(F.col("rank") <= k)
+
+
+def knn_recall(found: DataFrame, exact: DataFrame) -> DataFrame:
+    """Share of the exact neighbours that an approximate search found, over all queries."""
+    hits = exact.select("query_id", "vec_id").join(found.select("query_id", "vec_id").withColumn("_hit", F.lit(1)), ["query_id", "vec_id"], "left")
+    return hits.agg(F.count(F.lit(1)).alias("neighbours"), F.count("_hit").alias("found")).withColumn("recall", F.col("found") / F.col("neighbours"))
+
+
 # -- ranking and reports -----------------------------------------------------------------------
 
 

@@ -8,8 +8,9 @@ from vestigo.functions.geometry import BOX
 from vestigo.functions.numbers import exact_avg, exact_sum, rnd
 from vestigo.functions.plates import norm_fragment
 from vestigo.functions.times import minute_index, minute_range, timecode
+from vestigo.operators.boxes import BoxIndex
 from vestigo.operators.ordered import ordered_fold
-from vestigo.operators.spread import spread_rank
+from vestigo.operators.spread import spread_rank, within
 
 # Exposure, sampling, election and tracking.
 MID_LUMA, MAX_PENALTY = 128.0, 0.7
@@ -71,7 +72,7 @@ def sample_frames(frames: DataFrame, max_frames: int = 12, bucket: Column | None
     return numbered.join(picks, ["video_id", "position"]).select("video_id", "position", "frame_index")
 
 
-def video_candidates(frames: DataFrame, cap: int = CANDIDATE_CAP) -> DataFrame:
+def video_candidates(frames: DataFrame, cap: int | None = CANDIDATE_CAP) -> DataFrame:
     """Readings grouped by text, pattern and minute of the video, ranked, best `cap` per video.
 
     `frames`: video_id, frame_index, frame_order, timestamp_seconds, ocr, pattern, confidence, score,
@@ -135,7 +136,7 @@ def video_candidates(frames: DataFrame, cap: int = CANDIDATE_CAP) -> DataFrame:
     )
     return (
         named.withColumn("rank", F.row_number().over(best_first).cast("bigint"))
-        .where(F.col("rank") <= cap)
+        .where(within(F.col("rank"), cap))
         .drop("first_order")
         .withColumn("label", F.concat_ws(" | ", "minute_range", "text", "pattern"))
     )
@@ -217,24 +218,18 @@ def assign_tracks(detections: DataFrame, order: list[str], threshold: float = TR
     """Track number of every detection: the first track whose last box overlaps it, else a new one.
 
     The choice depends on every earlier one, so a video is read in order by one task that holds only
-    the last box of each track; rows leave as they are read.
+    the last box of each track, found by size and place; rows leave as they are read.
     """
-    columns = ["det_id", *BOX]
-
-    def add(last: list, row: tuple) -> list[tuple]:
-        det, x1, y1, x2, y2 = row
-        for i, (a1, b1, a2, b2) in enumerate(last):
-            w, h = min(x2, a2) - max(x1, a1), min(y2, b2) - max(y1, b1)
-            inter = w * h if w >= 0 and h >= 0 else 0.0
-            union = (x2 - x1) * (y2 - y1) + (a2 - a1) * (b2 - b1) - inter
-            if union > 0 and inter / union >= threshold:
-                last[i] = (x1, y1, x2, y2)
-                return [(det, i + 1)]
-        last.append((x1, y1, x2, y2))
-        return [(det, len(last))]
+
+    def add(last: BoxIndex, row: tuple) -> list[tuple]:
+        det, *box = row
+        track = last.first(tuple(box))
+        track = len(last) + 1 if track is None else track
+        last.put(track, tuple(box))
+        return [(det, track)]
 
     schema = detections.select("video_id", "det_id", F.lit(1).cast("bigint").alias("track_id")).schema
-    return ordered_fold(detections, "video_id", order, columns, list, add, lambda last: [], schema)
+    return ordered_fold(detections, "video_id", order, ["det_id", *BOX], lambda: BoxIndex(threshold), add, lambda last: [], schema)
 
 
 def track_summary(tracked: DataFrame) -> DataFrame:

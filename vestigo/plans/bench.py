@@ -9,7 +9,7 @@ from vestigo.functions.plates import norm_plate, pattern_quality
 from vestigo.operators import bench as B, fusion as U, prep as N
 from vestigo.plans.derived import _PLATE, add, load, read, with_tables
 from vestigo.plans.fusion import FUSED_SQL, NORM, clean, quality_sql
-from vestigo.plans.registry import query, r, xsum
+from vestigo.plans.registry import matching_sql, query, r, xsum
 
 # -- derived tables ----------------------------------------------------------------------------
 
@@ -444,10 +444,10 @@ def recommended_thresholds(spark, sf):
 # -- configurations ----------------------------------------------------------------------------
 
 _CONFIG_SQL = (
-    with_tables("config_rows")
-    + f""", s1 AS (SELECT *, CASE WHEN expected <> '' THEN 1.0::DOUBLE - levenshtein(expected, observed)/greatest(length(expected),
-      length(observed)) ELSE 0.0 END AS similarity, CASE WHEN observed = expected AND expected <> '' THEN 1.0 ELSE 0.0
-      END::DOUBLE AS exact, {quality_sql('observed')} AS pattern FROM config_rows),
+    with_tables("config_rows", recursive=True)
+    + f""", {matching_sql("SELECT DISTINCT expected AS a, observed AS b FROM config_rows WHERE expected <> ''")},
+    s1 AS (SELECT c.*, coalesce(2.0::DOUBLE*matched/(length(expected)+length(observed)), 0.0) AS similarity, CASE WHEN observed = expected AND expected <> '' THEN 1.0 ELSE 0.0
+      END::DOUBLE AS exact, {quality_sql('observed')} AS pattern FROM config_rows c LEFT JOIN matching ON a = expected AND b = observed),
     s2 AS (SELECT *, exact*0.65 + similarity*0.20 + confidence*0.10 + pattern*0.05 AS final FROM s1),
     s3 AS (SELECT config, segment, exact, similarity, confidence, final FROM s2 UNION ALL
       SELECT config, 'all', exact, similarity, confidence, final FROM s2),

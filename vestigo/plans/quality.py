@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vestigo.functions.plates import CONFUSABLE
-from vestigo.operators import fusion as U, quality as Q
+from vestigo.operators import places as G, fusion as U, quality as Q
 from vestigo.plans.derived import add, load, read, with_tables
 from vestigo.plans.fusion import FUSED_SQL, clean
 from vestigo.plans.registry import query, r, xsum
@@ -404,3 +404,33 @@ def gps_context(spark, sf):
         F.col("c_acctbal").alias("altitude"),
     )
     return Q.gps_context(exif)
+
+
+#: Kilometres within which a place counts as near.
+_NEAR_KM = 250.0
+
+
+@query(
+    "nearest_places",
+    f"""WITH p AS (SELECT c_custkey AS point_id, CASE WHEN c_custkey%11=0 THEN NULL ELSE ((c_custkey*7919)%179000)/1000.0::DOUBLE - 89.5 END AS latitude,
+      ((c_custkey*104729)%360000)/1000.0::DOUBLE - 180.0 AS longitude FROM customer),
+    g AS (SELECT s_suppkey AS place_id, s_name AS name, ((s_suppkey*15485)%179000)/1000.0::DOUBLE - 89.5 AS lat, ((s_suppkey*49979)%360000)/1000.0::DOUBLE - 180.0 AS lon FROM supplier),
+    d AS (SELECT point_id, place_id, name, 2*6371.0088::DOUBLE*asin(sqrt(least(1.0::DOUBLE, pow(sin((radians(lat)-radians(latitude))/2), 2)
+      + cos(radians(latitude))*cos(radians(lat))*pow(sin((radians(lon)-radians(longitude))/2), 2)))) AS km FROM p, g WHERE latitude IS NOT NULL),
+    n AS (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY {r('km', 6)}, place_id) AS rn FROM d WHERE km <= {_NEAR_KM})
+    SELECT p.point_id, latitude, longitude, place_id, name AS place, {r('km', 3)} AS distance_km FROM p LEFT JOIN n ON n.point_id = p.point_id AND rn = 1""",
+)
+def nearest_places(spark, sf):
+    place = lambda key, step, size: (F.col(key) * step % size) / 1000.0
+    points = read(spark, sf, "customer").select(
+        F.col("c_custkey").alias("point_id"),
+        F.when(F.col("c_custkey") % 11 != 0, place("c_custkey", 7919, 179000) - 89.5).alias("latitude"),
+        (place("c_custkey", 104729, 360000) - 180.0).alias("longitude"),
+    )
+    places = read(spark, sf, "supplier").select(
+        F.col("s_suppkey").alias("place_id"),
+        F.col("s_name").alias("name"),
+        (place("s_suppkey", 15485, 179000) - 89.5).alias("latitude"),
+        (place("s_suppkey", 49979, 360000) - 180.0).alias("longitude"),
+    )
+    return G.nearest_places(points, places, _NEAR_KM)

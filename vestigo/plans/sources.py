@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import functions as F, types as T
+from pyspark.sql import Window, functions as F, types as T
 
 from vestigo.functions.numbers import rnd
 from vestigo.operators import bench as B, integrity as I, webhooks as K
@@ -58,6 +58,26 @@ def case_history_table(spark, sf):
     return S.load_case_history(spark, path).select("user_id", "filename", F.col("case_time").cast("bigint").alias("case_time"), "ocr")
 
 
+#: The user whose cases the next query asks for.
+_ONE_USER = 7
+
+
+@query(
+    "case_history_by_user",
+    with_tables("case_history")
+    + f""", mine AS (SELECT user_id, filename, epoch_us(case_time)//1000000 AS case_time, ocr FROM case_history WHERE user_id = {_ONE_USER})
+    SELECT *, rank() OVER (ORDER BY case_time DESC) AS place FROM mine""",
+)
+def case_history_by_user(spark, sf):
+    """One user's cases, newest first; the place in that order is read off the rows as they come."""
+    path = scratch(spark, "cases")
+    cases = load(spark, sf, "case_history").select("user_id", "filename", "ocr", "color_info", F.col("case_time").cast("timestamp").alias("case_time"))
+    S.append_case_history(cases, path)
+    mine = S.load_case_history(spark, path, user_id=_ONE_USER).withColumn("case_time", F.col("case_time").cast("bigint"))
+    place = F.rank().over(Window.partitionBy("user_id").orderBy(F.col("case_time").desc()))
+    return mine.select("user_id", "filename", "case_time", "ocr", place.cast("bigint").alias("place"))
+
+
 @query(
     "load_reference",
     with_tables("vehicle_rows")

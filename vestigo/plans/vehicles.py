@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from vestigo.operators import vehicles as V
 from vestigo.plans.derived import add, load, read, with_tables
-from vestigo.plans.registry import query, r
+from vestigo.plans.registry import matching_sql, query, r
 
 add(
     "vehicle_rows",
@@ -167,6 +167,25 @@ def fuzzy_name_join(spark, sf):
     return V.fuzzy_name_join(_needles(spark, sf), names)
 
 
+@query(
+    "fuzzy_name_join_blocks",
+    with_tables("vehicle_rows", recursive=True)
+    + _NEEDLE_SQL
+    + f""", a AS (SELECT needle, trim(regexp_replace(upper(needle), '[^A-Z0-9]+', ' ', 'g')) AS a FROM needles),
+    b AS (SELECT trim(regexp_replace(upper(model), '[^A-Z0-9]+', ' ', 'g')) AS b, arg_min(model, row_id) AS name, min(row_id) AS position FROM vehicle_rows GROUP BY 1),
+    {matching_sql("SELECT DISTINCT a, b FROM a, b")},
+    w AS (SELECT *, list_intersect(string_split(a, ' '), string_split(b, ' ')) AS common, len(string_split(a, ' ')) AS nw FROM a, b),
+    s AS (SELECT needle, name, position, CASE WHEN a = b THEN 200.0::DOUBLE ELSE (CASE WHEN contains(b, a) THEN 80 ELSE 0 END) +
+      (CASE WHEN contains(a, b) THEN 40 ELSE 0 END) + len(common)*28.0::DOUBLE + len(common)/nw*30.0::DOUBLE +
+      2.0::DOUBLE*matched/(length(a)+length(b))*100.0::DOUBLE*0.45::DOUBLE END AS score FROM w JOIN matching USING (a, b)),
+    k AS (SELECT *, row_number() OVER (PARTITION BY needle ORDER BY score DESC, position) AS n FROM s WHERE score >= 36)
+    SELECT needle, name, position, {r('score', 6)} AS score FROM k WHERE n = 1""",
+)
+def fuzzy_name_join_blocks(spark, sf):
+    names = load(spark, sf, "vehicle_rows").select(F.col("model").alias("name"), F.col("row_id").alias("position"))
+    return V.fuzzy_name_join(_needles(spark, sf), names, similarity="blocks")
+
+
 @query(
     "pick_year",
     with_tables("vehicle_rows", "vehicle_queries")
@@ -236,6 +255,15 @@ def knn_search(spark, sf):
     return found.withColumn("similarity", V.rnd(F.col("similarity"), 6))
 
 
+@query("knn_search_lists", "SELECT count(*) * 5 AS neighbours, true AS recall_holds FROM embeddings")
+def knn_search_lists(spark, sf):
+    """The approximate search over all vectors, held against the exact one: it finds at least nine in ten neighbours."""
+    vectors = read(spark, sf, "embeddings")
+    queries = vectors.select(F.col("vec_id").alias("query_id"), "embedding")
+    recall = V.knn_recall(V.knn_search_lists(queries, vectors), V.knn_search(queries, vectors))
+    return recall.select("neighbours", (F.col("recall") >= 0.9).alias("recall_holds"))
+
+
 # -- ranking and reports -----------------------------------------------------------------------
 
 
