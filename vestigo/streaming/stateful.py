@@ -134,65 +134,71 @@ def _ms(value: Any) -> int:
 
 
 class _Tracks(StatefulProcessor):
-    """Per video: detections that wait for the watermark, and the last box of each track."""
+    """Videos that share a key: detections that wait for the watermark, the last box of each track, and
+    when each video was last seen."""
 
     def __init__(self, threshold: float, idle_ms: int):
         self.threshold, self.idle_ms = threshold, idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "seconds double, det_id bigint, at bigint, x1 double, y1 double, x2 double, y2 double")
-        self.last = handle.getListState("last", "track bigint, x1 double, y1 double, x2 double, y2 double")
-        self.due = handle.getValueState("due", "wakes_at bigint, seen_at bigint")
+        box = "x1 double, y1 double, x2 double, y2 double"
+        self.waiting = handle.getListState("waiting", f"video_id bigint, seconds double, det_id bigint, at bigint, {box}")
+        self.last = handle.getListState("last", f"video_id bigint, track bigint, {box}")
+        self.seen = handle.getListState("seen", "video_id bigint, at bigint")
+        self.due = handle.getValueState("due", "wakes_at bigint")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        columns = ["timestamp_seconds", "det_id", "event_time", "x1", "y1", "x2", "y2"]
-        arrived = [(float(s), int(det), _ms(at), *map(float, box)) for s, det, at, *box in _rows_of(rows, columns) if not _is_marker(at)]
+        columns = ["video_id", "timestamp_seconds", "det_id", "event_time", "x1", "y1", "x2", "y2"]
+        arrived = [(int(v), float(s), int(det), _ms(at), *map(float, box)) for v, s, det, at, *box in _rows_of(rows, columns) if not _is_marker(at)]
         if arrived:
-            wakes_at, seen_at = self.due.get() or (None, None)
-            times = [r[2] for r in arrived]
             self.waiting.appendList(arrived)
-            # a timer set for the end of an idle video gives way to the new detections
-            idle = wakes_at is not None and wakes_at == seen_at + self.idle_ms
-            earliest = min(times) if wakes_at is None or idle else min(wakes_at, *times)
-            self._wake(wakes_at, earliest, max(times) if seen_at is None else max(seen_at, *times))
+            seen = dict(self.seen.get())
+            for r in arrived:
+                seen[r[0]] = max(seen.get(r[0], r[3]), r[3])
+            self.seen.put(list(seen.items()))
+            self._wake(min(r[3] for r in arrived))
         yield from ()
 
-    def _wake(self, before: int | None, at: int, seen_at: int) -> None:
-        """Keeps one timer a video: at the earliest waiting detection, or when the video counts as ended."""
-        if before is not None and before != at:
-            self.handle.deleteTimer(before)
-        if before != at:
+    def _wake(self, at: int) -> None:
+        """Keeps one timer a key, at the earliest moment asked for since the last one fired."""
+        before = (self.due.get() or (None,))[0]
+        if before is None or at < before:
+            if before is not None:
+                self.handle.deleteTimer(before)
             self.handle.registerTimer(at)
-        self.due.update((at, seen_at))
+            self.due.update((at,))
 
     def handleExpiredTimer(self, key: tuple, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
         watermark = timerValues.getCurrentWatermarkInMs()
-        _, seen_at = self.due.get()
-        waiting = sorted(self.waiting.get())
-        ready, left = [r for r in waiting if r[2] <= watermark], [r for r in waiting if r[2] > watermark]
-        ended = not left and watermark >= seen_at + self.idle_ms
+        self.due.clear()
+        ready, left = [], []
+        for r in self.waiting.get():
+            (ready if r[3] <= watermark else left).append(tuple(r))
+        seen = dict(self.seen.get())
+        kept = {r[0] for r in left} | {v for v, at in seen.items() if at + self.idle_ms > watermark}
+        tracks: dict[int, BoxIndex] = {}
+        for video, track, *box in self.last.get():
+            tracks.setdefault(video, BoxIndex(self.threshold)).put(track, tuple(box))
         out = []
-        if ready:
-            index = BoxIndex(self.threshold)
-            for track, *box in self.last.get():
-                index.put(track, tuple(box))
-            for _, det, _, *box in ready:
-                hits = index.overlapping(tuple(box))
-                track = hits[0] if hits else len(index) + 1
-                index.put(track, tuple(box))
-                out.append((key[0], det, track))
-            if not ended:
-                self.last.put([(track, *box) for track, box in index.boxes.items()])
-        if ended:
-            for state in (self.waiting, self.last, self.due):
+        for video, _, det, _, *box in sorted(ready):
+            index = tracks.setdefault(video, BoxIndex(self.threshold))
+            track = index.first(tuple(box))
+            track = len(index) + 1 if track is None else track
+            index.put(track, tuple(box))
+            out.append((video, det, track))
+        for state, rows in (
+            (self.waiting, left),
+            (self.last, [(v, t, *box) for v, index in tracks.items() if v in kept for t, box in index.boxes.items()]),
+            (self.seen, [(v, at) for v, at in seen.items() if v in kept]),
+        ):
+            if rows:
+                state.put(rows)
+            else:
                 state.clear()
-        elif left:
-            self.waiting.put(left)
-            self._wake(None, min(r[2] for r in left), seen_at)
-        else:
-            self.waiting.clear()
-            self._wake(None, seen_at + self.idle_ms, seen_at)
+        moments = [r[3] for r in left] + [max(seen[v] + self.idle_ms, watermark + 1) for v in kept]
+        if moments:
+            self._wake(min(moments))
         if out:
             yield pd.DataFrame(out, columns=["video_id", "det_id", "track_id"])
 
@@ -200,15 +206,16 @@ class _Tracks(StatefulProcessor):
         pass
 
 
-def tracks(detections: DataFrame, lateness: str, threshold: float = TRACK_IOU, idle_seconds: int = 3600) -> DataFrame:
+def tracks(detections: DataFrame, lateness: str, threshold: float = TRACK_IOU, idle_seconds: int = 3600, keys: int = 1024) -> DataFrame:
     """Track number of every detection, as the batch job gives it, though detections arrive in any order
     within the lateness: they wait until the watermark has passed them and leave by (timestamp_seconds,
     det_id). A video counts as ended, and its state goes, when nothing came for `idle_seconds` of event time.
 
+    Videos share `keys` state keys by a hash of their id, as each key costs a few calls a micro-batch.
     `detections`: video_id, det_id, event_time (rising with timestamp_seconds), timestamp_seconds, x1, y1, x2, y2.
     """
-    known = detections.withWatermark("event_time", lateness)
-    return known.groupBy("video_id").transformWithStateInPandas(
+    known = detections.withWatermark("event_time", lateness).withColumn("_key", F.pmod(F.xxhash64("video_id"), F.lit(keys)))
+    return known.groupBy("_key").transformWithStateInPandas(
         statefulProcessor=_Tracks(threshold, idle_seconds * 1000),
         outputStructType="video_id bigint, det_id bigint, track_id bigint",
         outputMode="Append",
