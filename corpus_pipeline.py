@@ -93,7 +93,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`, each written to the shared folder and read by the next."""
+    """All stages over `documents`, each written to the shared folder and read by the next, whose end deletes
+    it; the last stage's folder holds the result and stays."""
     tune(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
@@ -101,4 +102,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         path = f"{folder}/{number}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if number:
+            release(spark, [f"{folder}/{number - 1}"])
     return docs
